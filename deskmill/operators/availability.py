@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deskmill.functions.times import DAY_US, HOUR_US
 from deskmill.operators.intervals import longest, overlap_join
@@ -50,15 +51,18 @@ def not_cancelled(appointments: DataFrame) -> DataFrame:
     return appointments.filter("status != 'cancelled'")
 
 
+def wished_span(requests: DataFrame) -> tuple[str, str]:
+    """SQL for start and end of the wished slot in micros, as ``_start`` and ``_end``."""
+    kind = requests.schema["duration_minutes"].dataType
+    exact = "bigint" if isinstance(kind, T.IntegralType) else "decimal(18,6)"
+    length = f"cast(cast(duration_minutes AS {exact}) * 60000000 AS bigint)"
+    return "unix_micros(start) AS _start", f"unix_micros(start) + {length} AS _end"
+
+
 def _wishes(requests: DataFrame) -> DataFrame:
     """Request columns under the names used in the joins, times in micros."""
     return requests.selectExpr(
-        "request_id",
-        "calendar_id AS _r_cal",
-        "arrival",
-        "unix_micros(start) AS _start",
-        "unix_micros(start) + cast(cast(duration_minutes AS decimal(18,6)) * 60000000 AS bigint)"
-        " AS _end",
+        "request_id", "calendar_id AS _r_cal", "arrival", *wished_span(requests)
     )
 
 
@@ -181,11 +185,10 @@ def _longest_busy(appointments: DataFrame, booked: DataFrame | None) -> Column:
     return DAY_US + longest(_standing(appointments, booked), ("_a_start", "_a_end"))
 
 
-def conflicting(
-    requests: DataFrame, appointments: DataFrame, booked: DataFrame | None = None
+def blocked_wishes(
+    wishes: DataFrame, appointments: DataFrame, booked: DataFrame | None = None
 ) -> DataFrame:
-    """Requests (in join form) with at least one conflict; a request may come twice."""
-    wishes = _wishes(requests)
+    """Wishes (in join form) with at least one conflict; a wish may come twice."""
     return overlap_join(
         wishes,
         busy_times(appointments, booked),
@@ -222,7 +225,7 @@ def suggest_slots(
     zero bits are the answer.
     """
     window = "_r_cal", "request_id", "arrival", "_start", "_end"
-    wishes = conflicting(requests, appointments, booked).selectExpr(
+    wishes = blocked_wishes(_wishes(requests), appointments, booked).selectExpr(
         *window,
         f"_start + {HOUR_US}L + least(_end - _start, 0L) AS _from",
         f"_start + {LAST_HOUR * HOUR_US}L + greatest(_end - _start, 0L) AS _until",

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from deskmill.functions.times import booking_message
 from deskmill.operators.availability import (
     NO_CONFLICTS,
+    blocked_wishes,
     conflict_lists,
     conflict_pairs,
-    conflicting,
     conflicts,
+    wished_span,
 )
 from deskmill.operators.ids import assign_ids
 from deskmill.operators.intervals import label_islands, overlap_join
@@ -37,28 +38,24 @@ _SLOT = "calendar_id bigint, _start bigint, _end bigint, arrival timestamp, requ
 def _open_slots(requests: DataFrame, appointments: DataFrame) -> DataFrame:
     """Distinct wished slots that no standing appointment blocks.
 
-    A blocked request is turned down whatever else happens, and turning it down
-    changes nothing. Of the requests for one and the same slot only the earliest
-    can win: what stands against it stands against the others too, and if it wins
-    it is itself in their way. So one row per slot is left, found with a partial
-    aggregate, and a busy calendar shrinks to its distinct slots.
+    Of the requests for one and the same slot only the earliest can win: what
+    stands against it stands against the others too, and if it wins it is itself in
+    their way. So one row per slot is left, found with a partial aggregate, and a
+    busy calendar shrinks to its distinct slots before anything is joined. A
+    blocked slot is turned down whatever else happens, which changes nothing.
     """
-    blocked = conflicting(requests, appointments).select("request_id")
-    return (
-        requests.join(blocked, "request_id", "left_anti")
-        .selectExpr(
-            "calendar_id",
-            "unix_micros(start) AS _start",
-            "unix_micros(start) + cast(cast(duration_minutes AS decimal(18,6)) * 60000000 AS bigint)"
-            " AS _end",
-            "arrival",
-            "request_id",
+    slots = durable(
+        requests.selectExpr(
+            "calendar_id", *wished_span(requests), "struct(arrival, request_id) AS _turn"
         )
         .filter("calendar_id IS NOT NULL AND _start IS NOT NULL AND _end IS NOT NULL")
         .groupBy("calendar_id", "_start", "_end")
-        .agg(F.expr("min(struct(arrival, request_id))").alias("_first"))
+        .agg(F.min("_turn").alias("_first"))
         .selectExpr("calendar_id", "_start", "_end", "_first.arrival", "_first.request_id")
     )
+    wishes = slots.withColumnRenamed("calendar_id", "_r_cal")
+    blocked = blocked_wishes(wishes, appointments).select("request_id")
+    return slots.join(blocked, "request_id", "left_anti")
 
 
 def _in_islands(slots: DataFrame) -> DataFrame:
@@ -143,7 +140,7 @@ def admit(slots: DataFrame, fold_slots: int = FOLD_SLOTS, batch_slots: int = BAT
     columns = ["calendar_id", "_start", "_end", "arrival", "request_id"]
     served = Window.partitionBy("calendar_id", "island").orderBy("arrival", "request_id")
     winners: DataFrame | None = None
-    pending = slots
+    pending = durable(slots)
     while True:
         pending = durable(_in_islands(pending).select(*columns, "island"))
         sizes = pending.groupBy("calendar_id", "island").agg(F.count("*").alias("_slots"))
@@ -180,7 +177,9 @@ def admit(slots: DataFrame, fold_slots: int = FOLD_SLOTS, batch_slots: int = BAT
             conflicts("_start", "_end", "_w_start", "_w_end"),
             "left_semi",
         )
-        pending = waiting.join(beaten.select("request_id"), "request_id", "left_anti").select(*columns)
+        pending = durable(
+            waiting.join(beaten.select("request_id"), "request_id", "left_anti").select(*columns)
+        )
 
 
 def accept(
@@ -194,7 +193,8 @@ def accept(
     won = admit(_open_slots(requests, appointments)).select("request_id")
     accepted = requests.join(won, "request_id", "left_semi")
     known = (appointments if existing_ids is None else existing_ids).selectExpr("id AS appointment_id")
-    return assign_ids(accepted, known, ["arrival", "request_id"], "appointment_id")
+    # every caller reads the accepted rows several times
+    return durable(assign_ids(accepted, known, ["arrival", "request_id"], "appointment_id"))
 
 
 def as_booked(accepted: DataFrame) -> DataFrame:

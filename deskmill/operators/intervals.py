@@ -90,38 +90,38 @@ def label_islands(df: DataFrame, key: str, low: str, high: str, out: str = "isla
     """Label the groups of spans that hang together by overlap, per key.
 
     ``low < high`` is required; touching spans stay apart. The label is the first
-    ``low`` of the group. Works on one row per distinct ``(key, low)``, and a key
-    is scanned day by day with what reaches in from earlier days, so no task sees
-    all rows of a busy key.
+    ``low`` of the group. Spans should be distinct: a key is scanned day by day,
+    with what reaches in from earlier days, so a task holds the distinct spans of
+    one key and day at most. ``df`` is read three times, so it should be a table.
     """
-    edges = (
-        df.groupBy(key, low)
-        .agg(F.max(high).alias("_reach"))
-        .withColumn("_day", F.expr(_floor(low, DAY_US)))
-    )
     days = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy(key, "_day").orderBy(low)
-    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = within.rangeBetween(Window.unboundedPreceding, -1)
 
+    spans = df.withColumn("_day", F.expr(_floor(low, DAY_US)))
     reach_in = (
-        edges.groupBy(key, "_day")
-        .agg(F.max("_reach").alias("_day_reach"))
-        .select(key, "_day", F.max("_day_reach").over(days).alias("_reach_in"))
+        spans.groupBy(key, "_day")
+        .agg(F.max(high).alias("_reach"))
+        .select(key, "_day", F.max("_reach").over(days).alias("_reach_in"))
     )
-    opened = edges.join(reach_in, [key, "_day"]).withColumn(
-        "_before", F.greatest(F.max("_reach").over(earlier), F.col("_reach_in"))
+    opened = (
+        spans.join(reach_in, [key, "_day"])
+        .withColumn("_before", F.max(high).over(earlier))
+        .withColumn(
+            "_opens",
+            F.expr(
+                f"CASE WHEN coalesce({low} >= greatest(_before, _reach_in), true) THEN {low} END"
+            ),
+        )
     )
-    opened = opened.withColumn(
-        "_opens",
-        F.when(F.col("_before").isNull() | (F.col(low) >= F.col("_before")), F.col(low)),
-    ).withColumn("_own", F.max("_opens").over(so_far))
     open_in = (
         opened.groupBy(key, "_day")
-        .agg(F.max("_opens").alias("_last_open"))
-        .select(key, "_day", F.max("_last_open").over(days).alias("_open_in"))
+        .agg(F.max("_opens").alias("_open"))
+        .select(key, "_day", F.max("_open").over(days).alias("_open_in"))
     )
-    labels = opened.join(open_in, [key, "_day"]).select(
-        key, low, F.coalesce("_own", "_open_in").alias(out)
+    return (
+        opened.withColumn("_own", F.max("_opens").over(within))
+        .join(open_in, [key, "_day"])
+        .withColumn(out, F.coalesce("_own", "_open_in"))
+        .drop("_day", "_reach_in", "_before", "_opens", "_own", "_open_in")
     )
-    return df.join(labels, [key, low])
