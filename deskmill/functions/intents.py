@@ -65,14 +65,23 @@ def json_object(text: Column) -> Column:
     """Members of exactly one JSON object as text, NULL when it is anything else.
 
     Wrapping in brackets makes trailing data visible: the parser itself would
-    stop after the first value and ignore the rest.
+    stop after the first value and ignore the rest. Of equal keys the last counts.
     """
     wrapped = F.from_json(
         F.concat(F.lit("["), text, F.lit("]")),
         f"array<{_ENTITIES}>",
         {"allowSingleQuotes": "false"},
     )
-    return F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
+    members = F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
+    names = F.array_distinct(F.map_keys(members))
+    entries = F.map_entries(members)
+
+    def last(name: Column) -> Column:
+        return F.element_at(F.filter(entries, lambda e: e["key"] == name), -1)["value"]
+
+    return F.when(
+        F.size(names) < F.size(members), F.map_from_arrays(names, F.transform(names, last))
+    ).otherwise(members)
 
 
 def entity(entities: Column, name: str) -> Column:

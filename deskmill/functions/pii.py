@@ -13,12 +13,13 @@ _ASCII = {
 }
 
 # The same patterns for text outside ASCII. Java's own \w and \b differ from the
-# intended ones there, so letters, numbers and the word edge are spelled out.
+# intended ones there, so letters, numbers and the word edge are spelled out. The
+# look-ahead only spares the costly edge test where no match can begin.
 _W = r"\p{L}\p{N}_"
 _EDGE = rf"(?:(?<=[{_W}])(?![{_W}])|(?<![{_W}])(?=[{_W}]))"
 _WIDE = {
     "EMAIL": rf"{_EDGE}[{_W}.\-]+@[{_W}.\-]+\.[{_W}]+{_EDGE}",
-    "PHONE": rf"{_EDGE}\+?[\p{{Nd}}\-()]{{10,}}{_EDGE}",
+    "PHONE": rf"(?=[+\p{{Nd}}\-()]){_EDGE}\+?[\p{{Nd}}\-()]{{10,}}{_EDGE}",
     "NAME": rf"(?=[A-Z]){_EDGE}[A-Z][a-z]+ [A-Z][a-z]+{_EDGE}",
 }
 
