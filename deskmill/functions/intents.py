@@ -61,27 +61,33 @@ def reply_object(reply: Column) -> Column:
     return F.when(inside, F.substring(reply, first, last - first + 1))
 
 
-def json_object(text: Column) -> Column:
-    """Members of exactly one JSON object as text, NULL when it is anything else.
+def with_json_object(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """Add the members of exactly one JSON object as text, NULL for anything else.
 
     Wrapping in brackets makes trailing data visible: the parser itself would
     stop after the first value and ignore the rest. Of equal keys the last counts.
+    Parsing is a column of its own, so that it happens once.
     """
     wrapped = F.from_json(
         F.concat(F.lit("["), text, F.lit("]")),
         f"array<{_ENTITIES}>",
         {"allowSingleQuotes": "false"},
     )
-    members = F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
-    names = F.array_distinct(F.map_keys(members))
-    entries = F.map_entries(members)
-
-    def last(name: Column) -> Column:
-        return F.element_at(F.filter(entries, lambda e: e["key"] == name), -1)["value"]
-
-    return F.when(
-        F.size(names) < F.size(members), F.map_from_arrays(names, F.transform(names, last))
-    ).otherwise(members)
+    last_of_equal = """map_from_arrays(array_distinct(map_keys(_members)),
+        transform(array_distinct(map_keys(_members)),
+            name -> element_at(filter(map_entries(_members), e -> e.key = name), -1).value))"""
+    return (
+        df.withColumn("_wrapped", wrapped)
+        .withColumn("_members", F.expr("CASE WHEN size(_wrapped) = 1 THEN get(_wrapped, 0) END"))
+        .withColumn(
+            out,
+            F.expr(
+                f"""CASE WHEN size(array_distinct(map_keys(_members))) < size(_members)
+                    THEN {last_of_equal} ELSE _members END"""
+            ),
+        )
+        .drop("_wrapped", "_members")
+    )
 
 
 def entity(entities: Column, name: str) -> Column:
@@ -98,23 +104,19 @@ def parse_replies(df: DataFrame, column: str, out: str = "parsed") -> DataFrame:
     """
     reply, found, entities = F.col(column), F.col("_object"), F.col("_entities")
     broken = found.isNotNull() & entities.isNull()
-    return (
-        df.withColumn("_object", reply_object(reply))
-        .withColumn("_entities", json_object(found))
-        .withColumn(
-            out,
-            F.struct(
-                F.when(entities.isNull(), "unknown")
-                .otherwise(entity(entities, "intent"))
-                .alias("intent"),
-                F.lit(REPLY_CONFIDENCE).alias("confidence"),
-                entities.alias("entities"),
-                F.when(found.isNull(), reply).alias("text"),
-                F.when(broken, reply).alias("raw"),
-            ),
-        )
-        .drop("_object", "_entities")
-    )
+    parsed = with_json_object(df.withColumn("_object", reply_object(reply)), found, "_entities")
+    return parsed.withColumn(
+        out,
+        F.struct(
+            F.when(entities.isNull(), "unknown")
+            .otherwise(entity(entities, "intent"))
+            .alias("intent"),
+            F.lit(REPLY_CONFIDENCE).alias("confidence"),
+            entities.alias("entities"),
+            F.when(found.isNull(), reply).alias("text"),
+            F.when(broken, reply).alias("raw"),
+        ),
+    ).drop("_object", "_entities")
 
 
 def build_prompt(text: Column, previous: Column) -> Column:

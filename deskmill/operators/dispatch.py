@@ -98,18 +98,13 @@ def dispatch_calendar(df: DataFrame, appointments: DataFrame) -> DataFrame:
     Needs ``request_id, calendar_id, arrival, action, entities``. Rows count as
     served in arrival order: a check sees the bookings accepted before it.
     """
-    # read by five branches below: parse the replies once
+    # Read by several branches below, each with its own filter: without a table
+    # between, the replies would be parsed again inside every filter.
+    served = durable(df.select("request_id", "calendar_id", "arrival", "action", "entities"))
     calls = durable(
-        calendar_calls(df).selectExpr(
-            "request_id",
-            "calendar_id",
-            "arrival",
-            "action",
-            "start",
-            "duration_minutes",
-            "title",
-            "entities['datetime'] AS _asked",
-        )
+        calendar_calls(served)
+        .withColumn("_asked", F.expr("entities['datetime']"))
+        .drop("entities")
     )
     usable = calls.filter("start IS NOT NULL")
     wanted = "request_id", "calendar_id", "arrival", "start", "duration_minutes", "title"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskmill.functions.intents import json_object
+from deskmill.functions.intents import with_json_object
 from deskmill.functions.times import parse_iso
 
 # Reasons given to the caller, and the default slot length.
@@ -27,7 +27,7 @@ def validate_bookings(forms: DataFrame, payload: str = "payload") -> DataFrame:
     """
     fields = F.col("_form")
     return (
-        forms.withColumn("_form", json_object(F.trim(F.col(payload))))
+        with_json_object(forms, F.trim(F.col(payload)), "_form")
         .withColumn("start", parse_iso(F.try_element_at(fields, F.lit("start_datetime"))))
         .withColumns(
             {
