@@ -6,7 +6,7 @@ import bisect
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskmill.functions.times import booking_message
@@ -128,45 +128,68 @@ def _admit(island: pd.DataFrame) -> pd.DataFrame:
     return queue[list(wins())][["calendar_id", "_start", "_end", "arrival", "request_id"]]
 
 
+def _earliest(slots: DataFrame, batch_slots: int) -> tuple[DataFrame, DataFrame]:
+    """Split each island into about its earliest ``batch_slots`` and the rest.
+
+    Slots are numbered by arrival with a range sort; the cut per island is a
+    quantile of these numbers (a mergeable sketch), so no task sees a whole island.
+    Any cut that is a prefix of the arrivals is right.
+    """
+    numbered = durable(assign_ids(slots, None, ["arrival", "request_id"], "_turn"))
+    halves = ", ".join(f"{0.5 ** n!r}D" for n in range(1, 41))
+    cuts = (
+        numbered.groupBy("calendar_id", "island")
+        .agg(
+            F.count("*").alias("_slots"),
+            F.expr(f"percentile_approx(_turn, array({halves}), 100000)").alias("_at"),
+        )
+        .selectExpr(
+            "calendar_id",
+            "island",
+            f"""CASE WHEN _slots > {batch_slots}
+                THEN _at[cast(ceil(log2(_slots / {batch_slots})) AS int) - 1] END AS _cut""",
+        )
+    )
+    split = numbered.join(cuts, ["calendar_id", "island"])
+    now = "_cut IS NULL OR _turn <= _cut"
+    return tuple(
+        split.filter(part).drop("_turn", "_cut") for part in (now, f"NOT ({now})")
+    )
+
+
 def admit(slots: DataFrame, fold_slots: int = FOLD_SLOTS, batch_slots: int = BATCH_SLOTS) -> DataFrame:
     """The slots that win when each calendar is served in arrival order.
 
     Slots of different islands never meet, so islands are served side by side. An
-    island above ``batch_slots`` takes its earliest ``batch_slots`` first; what
-    collides with the winners drops out, and the rest, now in smaller islands,
-    takes the next round. Every round settles at least that many slots of each
-    such island, and nothing is left over at the end.
+    island above ``batch_slots`` takes its earliest ones first; what collides with
+    the winners drops out, and the rest, now in smaller islands, takes the next
+    round. Every round settles some slots of each such island, typically nearly
+    all, and nothing is left over at the end.
     """
     columns = ["calendar_id", "_start", "_end", "arrival", "request_id"]
-    served = Window.partitionBy("calendar_id", "island").orderBy("arrival", "request_id")
+    group = ["calendar_id", "island"]
     winners: DataFrame | None = None
     pending = durable(slots)
     while True:
         pending = durable(_in_islands(pending).select(*columns, "island"))
-        sizes = pending.groupBy("calendar_id", "island").agg(F.count("*").alias("_slots"))
+        sizes = pending.groupBy(*group).agg(F.count("*").alias("_slots"))
         largest = sizes.agg(F.max("_slots")).first()[0] or 0
+        waiting = None
         if largest <= fold_slots:
             won = _fold(pending)
         else:
-            big = sizes.filter(F.col("_slots") > fold_slots).select("calendar_id", "island")
-            head = pending.join(big, ["calendar_id", "island"], "left_semi")
+            big = sizes.filter(F.col("_slots") > fold_slots).select(*group)
+            head = pending.join(big, group, "left_semi")
             if largest > batch_slots:
-                head = (
-                    head.withColumn("_turn", F.row_number().over(served))
-                    .filter(F.col("_turn") <= batch_slots)
-                    .drop("_turn")
-                )
-            small = pending.join(big, ["calendar_id", "island"], "left_anti")
-            won = _fold(small).unionByName(
-                head.groupBy("calendar_id", "island").applyInPandas(_admit, _SLOT)
+                head, waiting = _earliest(head, batch_slots)
+            won = _fold(pending.join(big, group, "left_anti")).unionByName(
+                head.groupBy(*group).applyInPandas(_admit, _SLOT)
             )
-        if largest <= batch_slots:
-            return won if winners is None else winners.unionByName(won)
-        won = durable(won)
+        if waiting is not None:
+            won = durable(won)
         winners = won if winners is None else winners.unionByName(won)
-        waiting = pending.join(head.select("request_id"), "request_id", "left_anti").join(
-            big, ["calendar_id", "island"], "left_semi"
-        )
+        if waiting is None:
+            return winners
         taken = won.selectExpr("calendar_id AS _w_cal", "_start AS _w_start", "_end AS _w_end")
         beaten = overlap_join(
             waiting,

@@ -12,9 +12,9 @@ _LOCAL_BITS = 33  # width of the row counter inside monotonically_increasing_id
 
 
 def assign_ids(
-    rows: DataFrame, existing: DataFrame, order: list[str], id_col: str = "id"
+    rows: DataFrame, existing: DataFrame | None, order: list[str], id_col: str = "id"
 ) -> DataFrame:
-    """Number ``rows`` in ``order`` after the highest id of ``existing``.
+    """Number ``rows`` in ``order`` after the highest id of ``existing`` (or from 1).
 
     A range sort spreads the rows; ids are the rows before the partition plus the
     position within it. The sorted copy is written once, because the two passes
@@ -39,7 +39,9 @@ def assign_ids(
             ).alias("_before"),
         )
     )
-    highest = F.coalesce(existing.agg(F.max(id_col)).scalar(), F.lit(0))
+    highest = F.lit(0)
+    if existing is not None:
+        highest = F.coalesce(existing.agg(F.max(id_col)).scalar(), highest)
     local = F.col("_pos").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     # one row per range partition: safe to broadcast at any table size
     return (
