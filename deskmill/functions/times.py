@@ -16,6 +16,10 @@ _ISO = (
     r"([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:\d{2})?)?\z"
 )
 
+# End of a wished slot as SQL; minutes may be fractional, zero or negative.
+SLOT_END = """start + make_dt_interval(0, 0, 0,
+    cast(cast(duration_minutes AS decimal(18,6)) * 60 AS decimal(18,6)))"""
+
 
 def parse_iso(text: Column) -> Column:
     """Timestamp of an ISO string, NULL when it is not one."""
@@ -30,16 +34,6 @@ def iso(ts: Column) -> Column:
     )
 
 
-def plus_minutes(ts: Column, minutes: Column) -> Column:
-    """End time of a slot; minutes may be fractional, zero or negative."""
-    seconds = minutes.cast("decimal(18,6)") * 60
-    return ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
-
-
-def plus_hours(ts: Column, hours: Column) -> Column:
-    return ts + F.make_dt_interval(F.lit(0), hours.cast("int"))
-
-
 def floor_to(micros: Column, width: int) -> Column:
     """Start of the ``width``-micros cell that holds ``micros``."""
     return micros - F.pmod(micros, F.lit(width))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskmill.functions.times import booking_message
+from deskmill.functions.times import SLOT_END, booking_message
 from deskmill.operators.availability import (
     NO_CONFLICTS,
     blocked_wishes,
@@ -227,8 +227,7 @@ def as_booked(accepted: DataFrame) -> DataFrame:
         "calendar_id",
         "title",
         "start",
-        "start + make_dt_interval(0, 0, 0, cast(cast(duration_minutes AS decimal(18,6)) * 60"
-        " AS decimal(18,6))) AS end",
+        f"{SLOT_END} AS end",
         "arrival AS since_ts",
         "request_id AS since_id",
     )
@@ -276,8 +275,7 @@ def appointment_rows(accepted: DataFrame) -> DataFrame:
         "title",
         given("description", "string", "''"),
         "start",
-        "start + make_dt_interval(0, 0, 0, cast(cast(duration_minutes AS decimal(18,6)) * 60"
-        " AS decimal(18,6))) AS end",
+        f"{SLOT_END} AS end",
         given("attendees", "array<string>", "cast(array() AS array<string>)"),
         "'confirmed' AS status",
         "arrival AS created_at",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deskmill.functions.times import SLOT_END
 from deskmill.operators.booking import accept, appointment_rows, outcomes
 from deskmill.schemas import APPOINTMENTS
 from deskmill.session import durable, fresh_dir
@@ -17,9 +18,8 @@ _STORED = T.StructType([*APPOINTMENTS.fields, T.StructField("batch", T.LongType(
 
 def _near(appointments: DataFrame, requests: DataFrame) -> DataFrame:
     """Appointments that reach into the time the requests ask about."""
-    wished = "start + make_dt_interval(0, 0, 0, cast(duration_minutes * 60 AS decimal(18,6)))"
     low, high = requests.selectExpr(
-        f"min(least(start, {wished}))", f"max(greatest(start, {wished}))"
+        f"min(least(start, {SLOT_END}))", f"max(greatest(start, {SLOT_END}))"
     ).first()
     if low is None:
         return appointments.filter(F.lit(False))
