@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmill.llm import mixing, packing, quality, simhash
+from deskmill.llm import linedup, mixing, packing, quality, simhash
 from deskmill.llm.common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,12 @@ def op2_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linedup.dedup_lines(docs)
+
+
 @query
 def op8_source_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
