@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmill.llm import linedup, mixing, packing, quality, simhash
+from deskmill.llm import htmltext, linedup, mixing, packing, quality, simhash, spots
 from deskmill.llm.common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,11 +25,22 @@ def query(job: Query) -> Query:
     return run
 
 
+@query
+def op1_spot_signatures(spark, sf_dir):
+    return spots.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_main_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.with_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op7_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
