@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmill.llm import htmltext, linedup, mixing, packing, quality, simhash, spots
+from deskmill.llm import chat, htmltext, linedup, mixing, packing, quality, separators, simhash, spots
 from deskmill.llm.common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,22 @@ def op3_main_text(spark, sf_dir):
     return htmltext.with_main_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+@query
+def op4_token_counts(spark, sf_dir):
+    return separators.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_chat_formatting(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = F.inline(
+        F.array(*(F.struct(F.lit(-7).cast("long"), F.lit(t).cast("long"), F.lit(r), F.lit(said)) for t, r in ((0, "user"), (1, "assistant"))))
+    )
+    probe = spark.range(1).select(extra).toDF("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(turns.unionByName(probe)))
+
+
 @query
 def op7_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
