@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmill.llm import chat, htmltext, linedup, mixing, packing, quality, separators, simhash, spots
+from deskmill.llm import chat, htmltext, linedup, mixing, packing, quality, sanitise, separators, simhash, spots
 from deskmill.llm.common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,11 @@ def op4_token_counts(spark, sf_dir):
     return separators.token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_sanitise(spark, sf_dir):
+    return sanitise.span_report(sanitise.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 @query
 def op6_chat_formatting(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -80,5 +85,12 @@ def op10_quality_rules(spark, sf_dir):
     return quality.with_verdict(docs).drop("text", "cleaned")
 
 
+@query
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 #: SQL counterparts, where SQL can express the query.
 ORACLE: dict[str, str] = {}
