@@ -27,6 +27,11 @@ def encrypt_col(plain: Column, key: bytes) -> Column:
     return F.aes_encrypt(plain, F.lit(bytearray(key)), F.lit("GCM"))
 
 
+def try_decrypt_col(token: Column, key: bytes) -> Column:
+    """Bytes behind a token, NULL where the key is wrong or the token was changed."""
+    return F.try_aes_decrypt(token, F.lit(bytearray(key)), F.lit("GCM"))
+
+
 def decrypt_col(token: Column, key: bytes) -> Column:
     """Bytes behind a token; a wrong key or a changed token fails the query."""
     return F.aes_decrypt(token, F.lit(bytearray(key)), F.lit("GCM"))

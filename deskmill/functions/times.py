@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 SECOND_US = 1_000_000
 HOUR_US = 3600 * SECOND_US
 DAY_US = 24 * HOUR_US
+# The first and the last instant of the years 1 to 9999.
+FIRST_US = -62_135_596_800_000_000
+LAST_US = 253_402_300_799_999_999
 
 # Extended ISO-8601 only; basic (20250301T150000) and week (2025-W09-6) forms
 # are not accepted.

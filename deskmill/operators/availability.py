@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deskmill.functions.times import DAY_US, HOUR_US
+from deskmill.functions.times import DAY_US, FIRST_US, HOUR_US, LAST_US
 from deskmill.operators.intervals import longest, overlap_join
 
 # Suggestions are whole hours after the wish, before seven days.
@@ -52,11 +52,18 @@ def not_cancelled(appointments: DataFrame) -> DataFrame:
 
 
 def wished_span(requests: DataFrame) -> tuple[str, str]:
-    """SQL for start and end of the wished slot in micros, as ``_start`` and ``_end``."""
+    """SQL for start and end of the wished slot in micros, as ``_start`` and ``_end``.
+
+    An end outside the calendar (years 1 to 9999) is NULL; such a wish meets nothing.
+    """
     kind = requests.schema["duration_minutes"].dataType
-    exact = "bigint" if isinstance(kind, T.IntegralType) else "decimal(18,6)"
-    length = f"cast(cast(duration_minutes AS {exact}) * 60000000 AS bigint)"
-    return "unix_micros(start) AS _start", f"unix_micros(start) + {length} AS _end"
+    exact = "decimal(19,0)" if isinstance(kind, T.IntegralType) else "decimal(18,6)"
+    length = f"cast(duration_minutes AS {exact}) * 60000000"
+    end = f"try_cast(unix_micros(start) + {length} AS bigint)"
+    return (
+        "unix_micros(start) AS _start",
+        f"CASE WHEN {end} BETWEEN {FIRST_US}L AND {LAST_US}L THEN {end} END AS _end",
+    )
 
 
 def _wishes(requests: DataFrame) -> DataFrame:

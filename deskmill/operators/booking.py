@@ -24,6 +24,8 @@ from deskmill.session import durable
 
 # Fixed value: the message of a turned-down booking.
 NOT_AVAILABLE = "Slot not available"
+# Added here: a request without a calendar or a readable time can win nothing.
+INCOMPLETE = "No calendar or time given"
 
 MINUTE_US = 60_000_000
 
@@ -97,21 +99,32 @@ class _Admitted:
         # proper slots never overlap each other, so both lists are sorted
         self.starts: list[int] = []
         self.ends: list[int] = []
-        self.odd: list[tuple[int, int]] = []
+        # Slots of no or negative length. One that starts no later and ends no earlier
+        # than another never decides, so starts and ends both rise in these lists.
+        self.odd_starts: list[int] = []
+        self.odd_ends: list[int] = []
 
     def blocks(self, start: int, end: int) -> bool:
         before = bisect.bisect_left(self.starts, end)
         if before and self.ends[before - 1] > start:
             return True
-        return any((s < end and e > start) or (s >= start and e <= end) for s, e in self.odd)
+        # such a slot is in the way iff it starts no earlier and ends no later
+        at = bisect.bisect_left(self.odd_starts, start)
+        return at < len(self.odd_ends) and self.odd_ends[at] <= end
 
     def add(self, start: int, end: int) -> None:
         if end > start:
             at = bisect.bisect_left(self.starts, start)
             self.starts.insert(at, start)
             self.ends.insert(at, end)
-        else:
-            self.odd.append((start, end))
+            return
+        at = bisect.bisect_left(self.odd_starts, start)
+        if at < len(self.odd_ends) and self.odd_ends[at] <= end:
+            return
+        upto = bisect.bisect_right(self.odd_starts, start)
+        first = bisect.bisect_left(self.odd_ends, end, 0, upto)
+        self.odd_starts[first:upto] = [start]
+        self.odd_ends[first:upto] = [end]
 
 
 def _admit(island: pd.DataFrame) -> pd.DataFrame:
@@ -133,11 +146,12 @@ def _earliest(slots: DataFrame, batch_slots: int) -> tuple[DataFrame, DataFrame]
 
     Slots are numbered by arrival with a range sort; the cut per island is a
     quantile of these numbers (a mergeable sketch), so no task sees a whole island.
-    Any cut that is a prefix of the arrivals is right.
+    Any cut that is a prefix of the arrivals is right, but both parts must see the same
+    one: the sketch may differ from run to run, so the cuts are written down.
     """
     numbered = durable(assign_ids(slots, None, ["arrival", "request_id"], "_turn"))
     halves = ", ".join(f"{0.5 ** n!r}D" for n in range(1, 41))
-    cuts = (
+    cuts = durable(
         numbered.groupBy("calendar_id", "island")
         .agg(
             F.count("*").alias("_slots"),
@@ -248,13 +262,17 @@ def outcomes(requests: DataFrame, appointments: DataFrame, accepted: DataFrame)
     turned_down = requests.join(ids, "request_id", "left_anti")
     reasons = conflict_lists(conflict_pairs(turned_down, appointments, as_booked(accepted)))
     booked = F.col("appointment_id").isNotNull()
+    end = wished_span(requests)[1].removesuffix(" AS _end")
+    incomplete = F.expr(f"calendar_id IS NULL OR start IS NULL OR ({end}) IS NULL")
     return (
         requests.join(ids, "request_id", "left")
         .join(reasons, "request_id", "left")
         .withColumns(
             {
                 "success": booked,
-                "message": F.when(booked, booking_message(F.col("start"))).otherwise(NOT_AVAILABLE),
+                "message": F.when(booked, booking_message(F.col("start")))
+                .when(incomplete, INCOMPLETE)
+                .otherwise(NOT_AVAILABLE),
                 "conflicts": F.expr(f"coalesce(conflicts, {NO_CONFLICTS})"),
             }
         )

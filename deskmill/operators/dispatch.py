@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskmill.functions.times import booking_message, iso, parse_iso
-from deskmill.operators.availability import availability
+from deskmill.operators.availability import suggest_slots, wished_span
 from deskmill.operators.booking import NOT_AVAILABLE, accept, as_booked
 from deskmill.session import durable
 
@@ -71,7 +71,7 @@ def calendar_calls(df: DataFrame, accept_duration_minutes: bool = False) -> Data
 
     ``duration`` is read, 60 where it is missing. The key that prompts ask for,
     ``duration_minutes``, is ignored unless ``accept_duration_minutes``. Where time
-    or length cannot be read, ``start`` is NULL.
+    or length cannot be read, or the end lies outside the calendar, ``start`` is NULL.
     """
     duration = f"""CASE WHEN map_contains_key(entities, 'duration')
         THEN try_cast(entities['duration'] AS decimal(18,6)) ELSE {DEFAULT_MINUTES} END"""
@@ -81,9 +81,11 @@ def calendar_calls(df: DataFrame, accept_duration_minutes: bool = False) -> Data
             THEN try_cast(entities['duration_minutes'] AS decimal(18,6)) ELSE {duration} END"""
     asked = df.filter("action IN ('check', 'book')").withColumn("duration_minutes", F.expr(duration))
     start = parse_iso(F.expr("entities['datetime']"))
+    asked = asked.withColumn("start", F.when(F.col("duration_minutes").isNotNull(), start))
+    end = wished_span(asked)[1].removesuffix(" AS _end")
     return asked.withColumns(
         {
-            "start": F.when(F.col("duration_minutes").isNotNull(), start),
+            "start": F.when(F.expr(end).isNotNull(), F.col("start")),
             "title": F.expr(
                 f"""CASE WHEN map_contains_key(entities, 'title') THEN entities['title']
                     ELSE '{DEFAULT_TITLE}' END"""
@@ -119,9 +121,10 @@ def dispatch_calendar(df: DataFrame, appointments: DataFrame) -> DataFrame:
         .otherwise(booking_message(F.col("start")))
         .alias("_said"),
     )
-    checked = availability(checks, appointments, booked=as_booked(accepted)).select(
+    # A suggestion is looked for where a conflict stands, and only there: no pairs are needed.
+    checked = suggest_slots(checks, appointments, 1, as_booked(accepted)).select(
         "request_id",
-        "available",
+        F.lit(True).alias("_taken"),
         iso(F.get("suggested_times", F.lit(0))).alias("_suggested"),
     )
     return (
@@ -133,7 +136,7 @@ def dispatch_calendar(df: DataFrame, appointments: DataFrame) -> DataFrame:
             F.expr(
                 f"""CASE WHEN start IS NULL THEN {_text(FAILED)}
                 WHEN action = 'book' THEN _said
-                WHEN available THEN {_around(IS_AVAILABLE, "_asked")}
+                WHEN _taken IS NULL THEN {_around(IS_AVAILABLE, "_asked")}
                 WHEN _suggested IS NOT NULL THEN {_around(HOW_ABOUT, "_suggested")}
                 ELSE {_text(NO_AVAILABILITY)} END"""
             ).alias("response"),

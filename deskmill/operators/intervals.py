@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from deskmill.functions.times import DAY_US
 
 # Spans up to 32 days meet in day cells; longer ones, and whatever meets them, in
-# cells of 1,024 days. A coarse cell is told apart by its odd last micro.
+# cells of 1,024 days. A coarse cell carries its channel as last micro: 1 for a long
+# span on the left, 2 for a long one on the right that meets a short one. So two short
+# spans never meet in a coarse cell.
 LONG_US = 32 * DAY_US
 COARSE_US = 1024 * DAY_US
 
@@ -23,19 +25,25 @@ def _floor(micros: str, width: int) -> str:
 
 
 def _cells(df: DataFrame, side: str, span: tuple[str, str], other_has_long: Column) -> DataFrame:
+    """Rows once per cell they reach, in every channel they take part in."""
     low, high = f"least({span[0]}, {span[1]})", f"greatest({span[0]}, {span[1]})"
     l, h, long_ = f"_{side}_low", f"_{side}_high", f"_{side}_long"
     fine = f"sequence({_floor(l, DAY_US)}, {_floor(h, DAY_US)}, {DAY_US}L)"
-    coarse = f"sequence({_floor(l, COARSE_US)} + 1, {_floor(h, COARSE_US)} + 1, {COARSE_US}L)"
+
+    def coarse(channel: int) -> str:
+        return f"sequence({_floor(l, COARSE_US)} + {channel}, {_floor(h, COARSE_US)} + {channel}, {COARSE_US}L)"
+
+    # Left: long in 1, short in 2. Right: long in 1 and 2, short in 1.
+    wide, narrow = (coarse(1), coarse(2)) if side == "l" else (f"concat({coarse(1)}, {coarse(2)})", coarse(1))
     return (
         df.selectExpr("*", f"{low} AS {l}", f"{high} AS {h}", f"{high} - {low} > {LONG_US}L AS {long_}")
         .withColumn(f"_{side}_wide", other_has_long)
         .selectExpr(
             "*",
-            f"explode(CASE WHEN {long_} THEN {coarse} WHEN _{side}_wide THEN concat({fine}, {coarse})"
+            f"explode(CASE WHEN {long_} THEN {wide} WHEN _{side}_wide THEN concat({fine}, {narrow})"
             f" ELSE {fine} END) AS _{side}_cell",
         )
-        .drop(h, f"_{side}_wide")
+        .drop(h, long_, f"_{side}_wide")
     )
 
 
@@ -78,11 +86,10 @@ def overlap_join(
     on = F.expr(
         f"""{keys[0]} = {keys[1]} AND _l_cell = _r_cell
         AND _l_cell = CASE WHEN {is_fine} THEN {_floor(latest, DAY_US)}
-                           ELSE {_floor(latest, COARSE_US)} + 1 END
-        AND ({is_fine} OR _l_long OR _r_long)
+                           ELSE {_floor(latest, COARSE_US)} + pmod(_l_cell, {DAY_US}L) END
         AND ({condition})"""
     )
-    helper = [f"_{side}_{part}" for side in "lr" for part in ("low", "long", "cell")]
+    helper = [f"_{side}_{part}" for side in "lr" for part in ("low", "cell")]
     return a.join(b, on, how).drop(*helper)
 
 

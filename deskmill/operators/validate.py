@@ -34,8 +34,8 @@ def validate_bookings(forms: DataFrame, payload: str = "payload") -> DataFrame:
                 "title": F.try_element_at(fields, F.lit("title")),
                 "duration_minutes": F.expr(
                     f"""CASE WHEN map_contains_key(_form, 'duration')
-                        THEN try_cast(_form['duration'] AS int)
-                        WHEN _form IS NOT NULL THEN {DEFAULT_MINUTES} END"""
+                        THEN try_cast(_form['duration'] AS decimal(18,6))
+                        WHEN _form IS NOT NULL THEN cast({DEFAULT_MINUTES} AS decimal(18,6)) END"""
                 ),
                 "attendees": F.expr(
                     """coalesce(from_json(_form['attendees'], 'array<string>'),
@@ -47,7 +47,8 @@ def validate_bookings(forms: DataFrame, payload: str = "payload") -> DataFrame:
                           OR NOT map_contains_key(_form, 'start_datetime') THEN '{MISSING}'
                         WHEN start IS NULL THEN '{BAD_DATETIME}'
                         WHEN map_contains_key(_form, 'duration')
-                          AND try_cast(_form['duration'] AS int) IS NULL THEN '{BAD_DURATION}' END"""
+                          AND try_cast(_form['duration'] AS decimal(18,6)) IS NULL
+                          THEN '{BAD_DURATION}' END"""
                 ),
             }
         )
@@ -61,7 +62,11 @@ def validate_availability(
     """Read an availability query; ``reject_reason`` is NULL for good ones."""
     return queries.withColumn("start", parse_iso(F.col(datetime_col))).withColumns(
         {
-            "duration_minutes": F.coalesce(duration_col, F.lit(DEFAULT_MINUTES)).cast("int"),
-            "reject_reason": F.when(F.col("start").isNull(), BAD_DATETIME_FORMAT),
+            "duration_minutes": F.when(F.col(duration_col).isNull(), DEFAULT_MINUTES).otherwise(
+                F.col(duration_col).try_cast("int")
+            ),
+            "reject_reason": F.when(F.col("start").isNull(), BAD_DATETIME_FORMAT).when(
+                F.col(duration_col).isNotNull() & F.col(duration_col).try_cast("int").isNull(), BAD_DURATION
+            ),
         }
     )

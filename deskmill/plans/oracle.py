@@ -33,7 +33,8 @@ def _reply(variant: str) -> str:
         || '  "title": "Task ' || event_id || '"' || chr(10) || '}}'
     WHEN 6 THEN '{{"intent": "cancel_appointment", "confidence": 0.99}}'
     WHEN 7 THEN '{{"intent": "check_availability", "datetime": "' || {_MOMENT}
-        || '", "duration": 90, "duration_minutes": 30}}'
+        || '", "duration": ' || CASE event_id % 5 WHEN 0 THEN '999999999999' WHEN 1 THEN '-30'
+            WHEN 2 THEN '22.5' ELSE '90' END || ', "duration_minutes": 30}}'
     ELSE '{{"intent": "book_appointment"' END"""
 
 
@@ -87,7 +88,8 @@ VIEWS = {
         || CASE WHEN event_id % 8 = 1 THEN '' ELSE ', "start_datetime": "'
             || CASE event_id % 8 WHEN 2 THEN '2024-13-01T10:00:00' WHEN 4 THEN {_DAY}
                 WHEN 7 THEN {_SPACED} ELSE {_TIME} END || '"' END
-        || CASE WHEN event_id % 8 = 5 THEN '' ELSE ', "duration": ' || (15 * (event_id % 7)) END
+        || CASE WHEN event_id % 8 = 5 THEN '' ELSE ', "duration": '
+            || CASE WHEN event_id % 7 = 3 THEN '45.5' ELSE (15 * (event_id % 7))::VARCHAR END END
         || CASE WHEN event_id % 8 = 6
             THEN ', "attendees": ["a' || user_id || '@example.com", "b@example.com"]' ELSE '' END
         || '}}' AS payload
@@ -215,6 +217,7 @@ _BOOK = _sql(
 
 # -- masking -----------------------------------------------------------------
 
+# The kinds of personal data.
 _KINDS = {
     "EMAIL": r"\b[\w\.-]+@[\w\.-]+\.\w+\b",
     "PHONE": r"\b\+?[\d\-\(\)]{10,}\b",
@@ -263,6 +266,7 @@ _SPOKEN = """SELECT call_sid, ts, event_id, speech_result AS text FROM call_turn
 
 _CALL_TURNS = _sql(_CALLS, "call_turns", utterances=_SPOKEN, ruled=VIEWS["ruled"])
 
+# Fixed value: the prompt. The replies in the views above are fixed as well.
 _PROMPT = """'Analyze the user request and output JSON with intent and entities.
 Possible intents: check_availability, book_appointment, create_task, cancel_appointment, unknown.
 
@@ -304,11 +308,12 @@ _DISPATCHED = f"""SELECT *,
     FROM (SELECT *, {_INTENT} AS intent FROM parsed)"""
 
 _ASKED = f"""SELECT request_id, calendar_id, arrival, action, {_key('datetime')} AS asked,
-    try_cast({_key('datetime')} AS TIMESTAMP) AS s,
-    try_cast({_key('datetime')} AS TIMESTAMP)
-        + to_minutes(coalesce({_key('duration')}::BIGINT, 60)) AS e,
+    CASE WHEN minutes < 1000000000 THEN try_cast({_key('datetime')} AS TIMESTAMP) END AS s,
+    CASE WHEN minutes < 1000000000 THEN try_cast({_key('datetime')} AS TIMESTAMP)
+        + to_microseconds((minutes * 60000000)::BIGINT) END AS e,
     coalesce({_key('title')}, 'Appointment') AS title
-    FROM dispatched WHERE action IN ('check', 'book')"""
+    FROM (SELECT *, coalesce({_key('duration')}::DECIMAL(18, 6), 60) AS minutes
+        FROM dispatched WHERE action IN ('check', 'book'))"""
 
 _CALENDAR_REPLIES = _sql(
     """SELECT r.request_id, r.action,
@@ -479,7 +484,8 @@ ORACLE = {
     "validate_booking_requests": _sql(
         """SELECT form_id, payload->>'$.title' AS title,
             try_cast(payload->>'$.start_datetime' AS TIMESTAMP) AS "start",
-            coalesce((payload->>'$.duration')::INTEGER, 60) AS duration_minutes,
+            coalesce((payload->>'$.duration')::DECIMAL(18, 6), 60)::DECIMAL(18, 6)
+                AS duration_minutes,
             coalesce(array_to_string((payload->'$.attendees')::VARCHAR[], ','), '') AS attendees,
             CASE WHEN NOT list_contains(json_keys(payload), 'title')
                     OR NOT list_contains(json_keys(payload), 'start_datetime')

@@ -111,7 +111,8 @@ def booking_forms(ev: DataFrame) -> DataFrame:
             CASE WHEN event_id % 8 = 1 THEN ''
                  ELSE concat(', "start_datetime": "', {when}, '"') END,
             CASE WHEN event_id % 8 = 5 THEN ''
-                 ELSE concat(', "duration": ', 15 * (event_id % 7)) END,
+                 ELSE concat(', "duration": ', CASE WHEN event_id % 7 = 3 THEN '45.5'
+                     ELSE cast(15 * (event_id % 7) AS string) END) END,
             CASE WHEN event_id % 8 = 6
                  THEN concat(', "attendees": ["a', user_id, '@example.com", "b@example.com"]')
                  ELSE '' END, '}}') AS payload""",
@@ -145,7 +146,8 @@ def _reply(variant: str) -> str:
             '  "title": "Task ', event_id, '"', chr(10), '}}')
         WHEN 6 THEN '{{"intent": "cancel_appointment", "confidence": 0.99}}'
         WHEN 7 THEN concat('{{"intent": "check_availability", "datetime": "', {moment},
-            '", "duration": 90, "duration_minutes": 30}}')
+            '", "duration": ', CASE event_id % 5 WHEN 0 THEN '999999999999' WHEN 1 THEN '-30'
+                WHEN 2 THEN '22.5' ELSE '90' END, ', "duration_minutes": 30}}')
         ELSE '{{"intent": "book_appointment"' END"""
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,7 +36,8 @@ def get_spark(app: str = "deskmill", master: str | None = None, **conf: str) ->
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where the setting is absent, as in tests.
+    Where the setting is absent, a local master gets a temporary folder, as in tests. On a
+    cluster that is an error: executors would each write to a disk of their own.
     """
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
@@ -46,6 +48,8 @@ def checkpoint_root(spark: SparkSession) -> str:
             context.setCheckpointDir(shared)
         return shared
     if not context.getCheckpointDir():
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="deskmill-"))
     return context.getCheckpointDir()
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deskmill.functions.times import SLOT_END
+from deskmill.operators.availability import wished_span
 from deskmill.operators.booking import accept, appointment_rows, outcomes
 from deskmill.schemas import APPOINTMENTS
 from deskmill.session import durable, fresh_dir
@@ -18,8 +18,9 @@ _STORED = T.StructType([*APPOINTMENTS.fields, T.StructField("batch", T.LongType(
 
 def _near(appointments: DataFrame, requests: DataFrame) -> DataFrame:
     """Appointments that reach into the time the requests ask about."""
-    low, high = requests.selectExpr(
-        f"min(least(start, {SLOT_END}))", f"max(greatest(start, {SLOT_END}))"
+    spans = requests.selectExpr("start", *wished_span(requests)).filter("_start IS NOT NULL AND _end IS NOT NULL")
+    low, high = spans.selectExpr(
+        "timestamp_micros(min(least(_start, _end)))", "timestamp_micros(max(greatest(_start, _end)))"
     ).first()
     if low is None:
         return appointments.filter(F.lit(False))
