@@ -217,6 +217,13 @@ LABELLED = (
     ((6, 0.0, 70, 0.0, 50, 0.0, 0, 0, 0, 1, 0), 1),
     ((18, 0.0, 40, 0.0, 5, 0.0, 0, 0, 0, 0, 0), 1),
     ((9, 0.0, 40, 0.0, 12, 0.0, 0, 0, 0, 0, 1), 1),
+    ((60, 0.0, 60, 0.0, 1, 0.0, 0, 0, 0, 0, 0), 1),
+    ((45, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 0, 0), 1),
+    ((90, 0.0, 80, 0.0, 4, 1.0, 0, 0, 0, 0, 0), 1),
+    ((28, 0.1, 70, 0.0, 3, 0.7, 0, 0, 0, 0, 0), 1),
+    ((300, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0), 1),
+    ((1, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0), 0),
+    ((7, 0.0, 5, 0.8, 2, 1.0, 0, 0, 0, 0, 0), 0),
     ((3, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 1), 0),
     ((5, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 0, 0), 0),
     ((4, 0.0, 3, 0.0, 5, 0.0, 0, 0, 0, 0, 0), 0),

@@ -108,7 +108,9 @@ def failing_rule(line: str, n_words: int, rules: Rules) -> str | None:
         return "punctuation"
     if len(_MARK.findall(line)) > max(1.0, rules.marks_per_word * n_words):
         return "punctuation"
-    if n_words >= 3 and len(_UPPER.findall(line)) > rules.upper_share * len(line):
+    upper = len(_UPPER.findall(line)) if n_words >= 3 else 0
+    # Few capitals in the line are few among its letters: most lines end here.
+    if upper > 0.1 * len(line) and upper > rules.upper_share * len(_LETTERED.findall(line)):
         return "shouting"
     if n_words < rules.short_words and not line.rstrip().endswith(_ENDS):
         return "navigation"
