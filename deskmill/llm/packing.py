@@ -39,7 +39,9 @@ CAPACITY = 2048
 # Groups that the pieces of one length are numbered in.
 SALTS = 64
 # Steps after which local search ends; the plan is complete at any step.
-MAX_STEPS = 5_000
+MAX_STEPS = 2_000
+# Bins in a row that no step improves before it ends as well: those left are fuller still.
+MAX_FAILURES = 12
 
 
 # -- pieces ------------------------------------------------------------------
@@ -146,9 +148,9 @@ def local_search(kinds: list[Kind], capacity: int, max_steps: int = MAX_STEPS) -
     least = -(-total // capacity)
     full = [k for k in kinds if k.room == 0]
     loose = [k for k in kinds if k.room > 0]
-    steps = 0
+    steps = failures = 0
     loose.sort(key=lambda k: k.room)
-    while loose and steps < max_steps and sum(k.bins for k in full) + sum(k.bins for k in loose) > least:
+    while loose and failures < MAX_FAILURES and steps < max_steps and sum(k.bins for k in full) + sum(k.bins for k in loose) > least:
         kind = loose.pop()
         donor = Kind(sorted(kind.items), 1, kind.room)
         kind = Kind(kind.items, kind.bins - 1, kind.room)
@@ -183,6 +185,7 @@ def local_search(kinds: list[Kind], capacity: int, max_steps: int = MAX_STEPS) -
                 else:
                     full.append(merged)
                 break
+        failures = failures + 1 if donor.items else 0
         if donor.items:
             full.append(donor)  # nothing improves it any more
         if kind.bins:  # nor its like, if nothing did
