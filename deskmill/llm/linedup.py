@@ -12,17 +12,18 @@ Lines of fewer than ``MIN_WORDS`` distinct words stay: they recur in good text.
    positional filter and a parity filter (bit parities of the word hashes differ in
    at most as many bits as the sets differ in words).
 4. In groups of many near copies nearly all pairs are similar. So every posting is first
-   tested against the earliest of its list; only postings it does not pass with meet
-   the whole list. Survivors are verified on whole word sets. A line that passed with
+   tested against the earliest of its list; only postings that it does not pass with (or of
+   lines too long for a sharp test) meet the whole list. Survivors are verified on whole word sets. A line that passed with
    the earliest, yet was not verified to be similar to anything, is joined again without
    that short cut; so no match is lost.
 
 Everything is DataFrame operations. What reaches the driver is the table of bucket
 counts, whose size is fixed. Word hashes have 58 bits, lines' hashes 64.
+Ids are whole numbers of at most 64 bits.
 
 Null and empty texts have no lines that could go. Repeated rows with one id keep the
 lines they share once per line number: they are the same lines, and the row itself stays.
-Rows with a null id are ordered first. An empty table stays empty; further columns
+A null id counts as the smallest id there is. An empty table stays empty; further columns
 pass through.
 """
 
@@ -45,6 +46,8 @@ BUCKETS = 1 << 16
 CLASSES = 62
 # A line that makes up more than this share of all lines is hot: fewer than its inverse are.
 HOT_SHARE = 1e-4
+# Words up to which parities of 64 bits tell sets apart; longer lines take no short cut.
+QUICK_WORDS = 120
 # Rows up to which the list of affected documents is broadcast instead of shuffled.
 BROADCAST_ROWS = 300_000
 
@@ -92,11 +95,18 @@ def _parity(keys: Column) -> Column:
     )
 
 
-def line_sets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+def lines_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(d, ln, line)``: all lines, in lower case. A null id counts as the smallest there is."""
+    docs = df.select(_order_id(F.col(doc_id)).alias("d"), F.col(text).alias("t"))
+    return docs.select("d", F.posexplode(F.split(F.lower("t"), "\n")).alias("ln", "line"))
+
+
+def _order_id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
+
+
+def line_sets(lines: DataFrame, rarity: Column) -> DataFrame:
     """``(d, ln, keys)``: every line of at least ``MIN_WORDS`` words, as ordered word hashes."""
-    docs = df.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
-    rarity = _rarity(word_buckets(docs, "t"))
-    lines = docs.select("d", F.posexplode(F.split(F.lower("t"), "\n")).alias("ln", "line"))
     hashed = lines.select("d", "ln", _word_hashes(F.col("line")).alias("hashes"))
     return hashed.filter(F.size("hashes") >= MIN_WORDS).select(
         "d", "ln", _ordered(F.col("hashes"), rarity).alias("keys")
@@ -109,31 +119,47 @@ def _prefix_length(n: Column) -> Column:
 
 
 def _may_match(x: str, y: str) -> Column:
-    """Length, positional and parity filters for two postings of one word."""
+    """Parity, length and positional filters for two postings of one word.
+
+    The similar share at least ``(n1 + n2) t / (1 + t)`` words and differ in the others.
+    """
     a, b = THRESHOLD
-    n1, n2, p1, p2 = f"{x}n", f"{y}n", f"{x}p", f"{y}p"
-    # Overlap needed: (n1 + n2) * t / (1 + t), in whole numbers.
+    n1, n2 = f"shiftright({x}np, 32)", f"shiftright({y}np, 32)"
+    after1, after2 = (f"({n} - ({s}np & 4294967295))" for n, s in ((n1, x), (n2, y)))
     return F.expr(
-        f"{b} * least({n1}, {n2}) >= {a} * greatest({n1}, {n2})"
-        f" and {a + b} * (1 + least({n1} - {p1}, {n2} - {p2}) - 1) >= {a} * ({n1} + {n2})"
-        f" and {a + b} * bit_count({x}s ^ {y}s) <= {b - a} * ({n1} + {n2})"
+        f"{a + b} * bit_count({x}s ^ {y}s) <= {b - a} * ({n1} + {n2})"
+        f" and {b} * least({n1}, {n2}) >= {a} * greatest({n1}, {n2})"
+        f" and {a + b} * least({after1}, {after2}) >= {a} * ({n1} + {n2})"
     )
 
 
 def _earlier(y: str, x: str) -> Column:
-    return F.expr(f"struct({y}d, {y}ln) < struct({x}d, {x}ln)")
+    return F.expr(f"{y}d < {x}d or ({y}d = {x}d and {y}ln < {x}ln)")
 
 
 def postings(lines: DataFrame) -> DataFrame:
-    """One row per prefix word of every line: ``(w, d, ln, n, p, s)``."""
-    word = F.posexplode("prefix").alias("p", "w")
-    return lines.select(word, "d", "ln", "n", "s").select("w", "d", "ln", "n", "p", "s")
+    """One row per prefix word of every line: ``(w, d, ln, np, s)``.
+
+    ``w`` is half of the word's hash: more would only keep apart what the filters and the
+    verification keep apart anyway. ``np`` holds the line's words and the word's position.
+    """
+    spread = lines.select(F.posexplode("prefix").alias("p", "k"), "d", "ln", "n", "s")
+    return spread.select(
+        F.hash("k").alias("w"),
+        "d",
+        "ln",
+        F.expr("shiftleft(cast(n as bigint), 32) | p").alias("np"),
+        "s",
+    ).filter("w is not null and d is not null")
 
 
 def _as(df: DataFrame, prefix: str) -> DataFrame:
     return df.select("w", *(F.col(c).alias(prefix + c) for c in df.columns if c != "w"))
 
 
+PAIR = ["xd", "xln", "yd", "yln"]
+
+
 def candidates(lines: DataFrame, later: DataFrame | None = None) -> DataFrame:
     """``(xd, xln, yd, yln, quick)``: pairs of a line and an earlier one that may be similar.
 
@@ -141,61 +167,62 @@ def candidates(lines: DataFrame, later: DataFrame | None = None) -> DataFrame:
     pairs of those lines only, all of them, without the short cut.
     """
     posts = postings(lines)
-    pair = ["xd", "xln", "yd", "yln"]
     if later is not None:
-        x = _as(postings(later), "x")
+        x = _few(durable(_as(postings(later), "x")))
         found = x.join(_as(posts, "y"), "w").filter(_earlier("y", "x") & _may_match("x", "y"))
-        return found.select(*pair).distinct().withColumn("quick", F.lit(False))
+        return found.select(*PAIR).distinct().withColumn("quick", F.lit(False))
     posts = posts.repartition("w")
-    in_list = Window.partitionBy("w").orderBy("xd", "xln")
-    first = F.first(F.struct("xd", "xln", "xn", "xp", "xs")).over(in_list)
-    headed = _as(posts, "x").withColumn("f", first)
-    headed = headed.select(
-        "w", "xd", "xln", "xn", "xp", "xs",
-        *(F.col(f"f.x{c}").alias(f"y{c}") for c in ("d", "ln", "n", "p", "s")),
-    ).withColumn("own", F.expr("xd <=> yd and xln = yln"))
-    quick = headed.filter(~F.col("own") & _may_match("x", "y")).select(*pair)
+    in_list = Window.partitionBy("w").orderBy("d", "ln")
+    parts = ("d", "ln", "np", "s")
+    headed = posts.withColumn("f", F.first(F.struct(*parts)).over(in_list)).select(
+        "w",
+        *(F.col(c).alias(f"x{c}") for c in parts),
+        *(F.col(f"f.{c}").alias(f"y{c}") for c in parts),
+    )
+    other = F.expr("not (xd = yd and xln = yln)")
+    short = F.expr(f"shiftright(xnp, 32) <= {QUICK_WORDS}")
+    quick = headed.filter(other & short & _may_match("x", "y")).select(*PAIR)
     slow = (
-        headed.filter(~F.col("own") & ~_may_match("x", "y"))
-        .select("w", "xd", "xln", "xn", "xp", "xs")
+        headed.filter(other & ~(short & _may_match("x", "y")))
+        .select("w", *(f"x{c}" for c in parts))
         .join(_as(posts, "y"), "w")
         .filter(_earlier("y", "x") & _may_match("x", "y"))
-        .select(*pair)
+        .select(*PAIR)
     )
     return (
         quick.withColumn("quick", F.lit(True))
         .unionByName(slow.withColumn("quick", F.lit(False)))
-        .groupBy(*pair)
+        .groupBy(*PAIR)
         .agg(F.max("quick").alias("quick"))
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole word sets are similar enough."""
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` (a written table) to be broadcast if it is measured to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, rarity: Column) -> DataFrame:
+    """The later lines of pairs whose whole word sets are similar enough."""
     a, b = THRESHOLD
-    ends = pairs.select("xd", "xln").union(pairs.select("yd", "yln")).distinct()
-    known = durable(
-        sets.join(ends.toDF("ed", "eln"), F.expr("d <=> ed and ln = eln"), "left_semi")
-    )
-    x = known.select(F.col("d").alias("xd"), F.col("ln").alias("xln"), F.col("keys").alias("xk"))
-    y = known.select(F.col("d").alias("yd"), F.col("ln").alias("yln"), F.col("keys").alias("yk"))
-    on = lambda s: F.expr(f"pairs.{s}d <=> known_{s}.{s}d and pairs.{s}ln = known_{s}.{s}ln")
-    joined = (
-        pairs.alias("pairs")
-        .join(x.alias("known_x"), on("x"))
-        .join(y.alias("known_y"), on("y"))
-        .select("pairs.xd", "pairs.xln", "xk", "yk")
-    )
+    ends = durable(pairs.select("xd", "xln").union(pairs.select("yd", "yln")).distinct().toDF("d", "ln"))
+    # Only lines that are in some pair are turned into sets again.
+    known = durable(line_sets(lines.join(_few(ends), ["d", "ln"], "left_semi"), rarity))
+    x = known.toDF("xd", "xln", "xk")
+    y = known.toDF("yd", "yln", "yk")
+    joined = pairs.join(x, ["xd", "xln"]).join(y, ["yd", "yln"])
     common = F.size(F.array_intersect("xk", "yk"))
-    return joined.filter(common * (a + b) >= (F.size("xk") + F.size("yk")) * a).select("xd", "xln").distinct()
+    alike = common * (a + b) >= (F.size("xk") + F.size("yk")) * a
+    return joined.filter(alike).select("xd", "xln").distinct()
 
 
 def removed_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(d, ln)``: the lines that have an earlier match, as a written table."""
-    sets = line_sets(df, doc_id, text)
+    rarity = _rarity(word_buckets(df, text))
+    every = lines_of(df, doc_id, text)
     n = F.size("keys")
     lines = durable(
-        sets.select(
+        line_sets(every, rarity).select(
             "d",
             "ln",
             F.xxhash64("keys").alias("h"),
@@ -207,35 +234,28 @@ def removed_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # Lines with one and the same set: the earliest stands for all.
     heads = durable(
         lines.groupBy("h", "n").agg(F.min(F.struct("d", "ln")).alias("head"), F.count("*").alias("c"))
-    )
+    ).select("h", "n", F.col("head.d").alias("hd"), F.col("head.ln").alias("hln"), "c")
     total = heads.agg(F.sum("c")).first()[0] or 0
-    hot = heads.filter(F.col("c") > HOT_SHARE * total).select(
-        F.col("h").alias("hh"), F.col("n").alias("hn"), F.col("head").alias("hot_head")
-    )
+    hot = heads.filter(F.col("c") > HOT_SHARE * total).drop("c")
     distinct = (
-        lines.join(F.broadcast(hot), (F.col("h") == F.col("hh")) & (F.col("n") == F.col("hn")), "left")
-        .filter("hot_head is null or (hot_head.d <=> d and hot_head.ln = ln)")
+        lines.join(F.broadcast(hot), ["h", "n"], "left")
+        .filter("hd is null or (hd = d and hln = ln)")
         .select("d", "ln", "n", "s", "prefix")
     )
     pairs = durable(candidates(distinct))
-    similar = durable(_verified(pairs.select("xd", "xln", "yd", "yln"), sets))
+    similar = durable(_verified(pairs.select(*PAIR), every, rarity))
     tested = pairs.filter("quick").select("xd", "xln").distinct()
-    missed = durable(
-        tested.alias("t").join(
-            similar.alias("s"), F.expr("t.xd <=> s.xd and t.xln = s.xln"), "left_anti"
-        )
-    )
+    missed = durable(tested.join(similar, ["xd", "xln"], "left_anti"))
     if not missed.isEmpty():
-        again = distinct.join(missed, F.expr("d <=> xd and ln = xln"), "left_semi")
-        more = _verified(durable(candidates(distinct, again)).drop("quick"), sets)
-        similar = similar.unionByName(more)
+        again = distinct.join(_few(missed).toDF("d", "ln"), ["d", "ln"], "left_semi")
+        more = durable(candidates(distinct, again)).select(*PAIR)
+        similar = similar.unionByName(_verified(more, every, rarity))
     # What holds for a line holds for all that have its set.
-    gone = similar.join(lines, F.expr("d <=> xd and ln = xln")).select(
-        F.col("h").alias("gh"), F.col("n").alias("gn")
-    ).distinct()
-    judged = lines.select("d", "ln", "h", "n").join(heads.select("h", "n", "head", "c"), ["h", "n"])
-    later = judged.filter("c > 1 and not (head.d <=> d and head.ln = ln)").select("d", "ln")
-    matched = judged.join(gone, F.expr("h = gh and n = gn"), "left_semi").select("d", "ln")
+    narrow = lines.select("d", "ln", "h", "n")
+    gone = narrow.join(similar.toDF("d", "ln"), ["d", "ln"], "left_semi").select("h", "n").distinct()
+    matched = narrow.join(gone, ["h", "n"], "left_semi").select("d", "ln")
+    repeated = heads.filter("c > 1")
+    later = narrow.join(repeated, ["h", "n"]).filter("hd <> d or hln <> ln").select("d", "ln")
     return durable(later.unionByName(matched).distinct())
 
 
@@ -243,10 +263,7 @@ def without_removed(df: DataFrame, removed: DataFrame, doc_id: str, text: str) -
     """``df`` with its text cut down to the lines that stay, and how many went."""
     key, gone, cut = fresh(df, "_line_id", "_gone", "n_removed_lines")
     per_doc = removed.groupBy(F.col("d").alias(key)).agg(F.collect_list("ln").alias(gone))
-    per_doc = durable(per_doc)
-    if per_doc.count() <= BROADCAST_ROWS:
-        per_doc = F.broadcast(per_doc)
-    joined = df.join(per_doc, F.col(doc_id).eqNullSafe(F.col(key)), "left")
+    joined = df.join(_few(durable(per_doc)), _order_id(F.col(doc_id)) == F.col(key), "left")
     numbered = F.split(F.col(text), "\n")
     kept = F.array_join(F.filter(numbered, lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
     cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept)
