@@ -199,7 +199,11 @@ def disclosing_terms(spotted: DataFrame, limits: Thresholds = Thresholds()) -> D
     pairs = seen.groupBy("term", "entity", "kind").agg(
         F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id").alias("n_both")
     )
-    likely = durable(pairs.filter(F.col("contexts") >= limits.min_contexts))
+    # A term is in at least as many documents as it was seen in near any entity. Those that
+    # fall short of the share even so need not be counted: common words, above all.
+    met = seen.groupBy("term").agg(F.count_distinct("doc_id").alias("n_met"))
+    enough = pairs.filter(F.col("contexts") >= limits.min_contexts).join(met, "term")
+    likely = durable(enough.filter(F.col("n_both") >= limits.min_share * F.col("n_met")).drop("n_met"))
     result = "term string, kind string, share double, bits double"
     if likely.isEmpty():
         return spotted.sparkSession.createDataFrame([], result)
