@@ -56,3 +56,8 @@ def outbound(
     allowed = consent_gate(wanted, enabled).withColumn("provider", choose_provider(configured))
     masked = mask_pii(allowed.filter(F.col("provider").isNotNull()), text, "prompt")
     return masked.select(id_col, "provider", "prompt")
+
+
+def write_outbound(sent: DataFrame, path: str) -> None:
+    """Append outbound rows, one folder per provider: what a sender picks up."""
+    sent.write.mode("append").partitionBy("provider").parquet(path)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskmill.functions.times import DAY_US, floor_to
 from deskmill.session import durable
 
 _LOCAL_BITS = 33  # width of the row counter inside monotonically_increasing_id
@@ -51,34 +50,41 @@ def assign_ids(
     )
 
 
-def ordinal(df: DataFrame, key: str, ts: str, order: list[str], out: str) -> DataFrame:
-    """Position of each row within its key, by ``order`` (which starts with ``ts``).
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` cut into about equal ranges of ``order``, numbered in that order by ``_range``.
 
-    Counted per key and day, plus the rows of earlier days, so that a key with a
-    large share of the table spreads over many tasks.
+    Written once, because every reader must see the same borders. A key that holds a
+    third of the rows, all of them at one instant even, spreads over a third of the ranges.
     """
-    day = floor_to(F.unix_micros(F.col(ts)), DAY_US)
-    daily = df.withColumn("_day", day)
+    return durable(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+
+
+def ordinal(df: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
+    """Position of each row within its key, by ``order``.
+
+    Counted per key and range of rows, plus the key's rows in earlier ranges.
+    """
+    ranged = in_ranges(df, [key, *order])
     before = (
-        daily.groupBy(key, "_day")
+        ranged.groupBy(key, "_range")
         .agg(F.count("*").alias("_rows"))
         .select(
             key,
-            "_day",
+            "_range",
             F.coalesce(
                 F.sum("_rows").over(
                     Window.partitionBy(key)
-                    .orderBy("_day")
+                    .orderBy("_range")
                     .rowsBetween(Window.unboundedPreceding, -1)
                 ),
                 F.lit(0),
             ).alias("_before"),
         )
     )
-    local: Column = F.row_number().over(Window.partitionBy(key, "_day").orderBy(*order))
+    local: Column = F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order))
     return (
-        daily.withColumn("_local", local)
-        .join(before, [key, "_day"])
+        ranged.withColumn("_local", local)
+        .join(before, [key, "_range"])
         .withColumn(out, (F.col("_before") + F.col("_local")).cast("bigint"))
-        .drop("_day", "_local", "_before")
+        .drop("_range", "_local", "_before")
     )

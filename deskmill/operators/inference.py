@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deskmill.functions.intents import parse_replies, rule_intent
+from deskmill.session import durable
 
 # What is asked about every image.
 QUESTIONS = {
@@ -20,27 +21,47 @@ QUESTIONS = {
 
 
 def infer(
-    df: DataFrame, load: Callable[[], Callable[[str], str]], prompt: str = "prompt"
+    df: DataFrame,
+    load: Callable[[], Callable],
+    prompt: str = "prompt",
+    batched: bool = False,
+    reply: str = "reply",
 ) -> DataFrame:
     """Add ``reply``: the model's answer to ``prompt``, NULL where the call raised.
 
-    ``load`` runs once per partition and returns the model call.
+    ``load`` runs once per partition and returns the model call: one prompt to one
+    answer or, ``batched``, a list of prompts to a list of answers. A batch that raises is
+    asked again prompt by prompt. Answers that are no text are NULL. Only the prompts go
+    to Python. A table is written once with its answers, so that steps which read it
+    several times neither pay for a model call twice nor see two answers to one prompt.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType())])
 
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(T.StringType())
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
 
-        def ask(text: str) -> str | None:
+        def one(text: str) -> object:
             try:
-                return model(text)
+                return model([text])[0] if batched else model(text)
             except Exception:  # a failed row falls back, the job goes on
                 return None
 
+        def many(texts: list[str]) -> list:
+            if batched:
+                try:
+                    answers = list(model(texts))
+                    if len(answers) == len(texts):
+                        return answers
+                except Exception:  # one bad prompt does not spoil its batch
+                    pass
+            return [one(text) for text in texts]
+
         for batch in batches:
-            yield batch.assign(reply=[ask(text) for text in batch[prompt]])
+            answers = [a if isinstance(a, str) else None for a in many(batch.tolist())]
+            yield pd.Series(answers, index=batch.index, dtype=object)
 
-    return df.mapInPandas(call, schema)
+    answered = df.withColumn(reply, ask.asNondeterministic()(F.col(prompt)))
+    return answered if df.isStreaming else durable(answered)
 
 
 def intents_with_fallback(df: DataFrame, text: str = "text", reply: str = "reply") -> DataFrame:

@@ -5,42 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskmill.functions.times import DAY_US
+from deskmill.operators.ids import in_ranges
 
 
 def with_previous(
-    df: DataFrame, key: str, ts: str, order: list[str], carried: dict[str, str]
+    df: DataFrame, key: str, order: list[str], carried: dict[str, str]
 ) -> DataFrame:
     """Add columns of the row before, within ``key`` and by ``order``.
 
-    ``carried`` maps new column names to existing ones; ``order`` starts with
-    ``ts``. Rows without a key get no context. A key is cut into days: the row
-    before is looked up within the day, and only the first row of a day takes the
-    last row of an earlier one. So a key that holds a third of the table spreads
-    over as many tasks as it has days, and rows without a key over all tasks.
+    ``carried`` maps new column names to existing ones. Rows without a key get no
+    context. The rows are cut into ranges of key and order: the row before is looked up
+    within the range, and only the first row of a key in a range takes the key's last
+    row of an earlier one. So a task's share does not depend on how the keys are
+    spread, and one row per key and range is carried across.
     """
     payload = "struct(" + ", ".join(f"{src} AS {new}" for new, src in carried.items()) + ")"
-    day = f"unix_micros({ts}) - pmod(unix_micros({ts}), {DAY_US}L)"
-    spread = f"xxhash64({', '.join(order)})"
-    rows = df.withColumn("_day", F.expr(f"CASE WHEN {key} IS NULL THEN {spread} ELSE {day} END"))
-    within = Window.partitionBy(key, "_day").orderBy(*order)
-    days = Window.partitionBy(key).orderBy("_day")
-    last_of_day = (
-        df.filter(F.col(key).isNotNull())
-        .withColumn("_day", F.expr(day))
-        .groupBy(key, "_day")
-        .agg(F.expr(f"max_by({payload}, struct({', '.join(order)}))").alias("_last"))
-        .select(key, "_day", F.lag("_last").over(days).alias("_carry"))
+    rows = in_ranges(df, [key, *order])
+    within = Window.partitionBy(key, "_range").orderBy(*order)
+    ranges = Window.partitionBy(key).orderBy("_range")
+    placed = rows.withColumn("_before", F.lag(F.expr(payload)).over(within))
+    last_of_range = (
+        rows.withColumn("_is_last", F.lead(F.lit(True)).over(within).isNull())
+        .filter(F.col("_is_last") & F.col(key).isNotNull())
+        .select(key, "_range", F.expr(payload).alias("_last"))
+        .select(key, "_range", F.lag("_last").over(ranges).alias("_carry"))
     )
-    joined = rows.withColumn("_before", F.lag(F.expr(payload)).over(within)).join(
-        last_of_day, [key, "_day"], "left"
+    return (
+        placed.join(last_of_range, [key, "_range"], "left")
+        .withColumns(
+            {
+                new: F.expr(f"CASE WHEN {key} IS NOT NULL THEN coalesce(_before, _carry).{new} END")
+                for new in carried
+            }
+        )
+        .drop("_range", "_before", "_carry")
     )
-    return joined.withColumns(
-        {
-            new: F.expr(f"CASE WHEN {key} IS NOT NULL THEN coalesce(_before, _carry).{new} END")
-            for new in carried
-        }
-    ).drop("_day", "_before", "_carry")
 
 
 def with_context(turns: DataFrame) -> DataFrame:
@@ -55,7 +54,6 @@ def with_context(turns: DataFrame) -> DataFrame:
     return with_previous(
         turns.withColumn("_session", session),
         "_session",
-        "ts",
         ["ts", "event_id"],
         {"prev_intent": "intent", "prev_response": "response"},
     ).drop("_session")

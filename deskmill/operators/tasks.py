@@ -55,4 +55,4 @@ def task_progress(tasks: DataFrame, analyses: DataFrame) -> DataFrame:
 def task_timeline(events: DataFrame, ids: DataFrame) -> DataFrame:
     """Events of the given tasks with their position, by time then event id."""
     wanted = events.join(ids.select("task_id"), "task_id", "left_semi")
-    return ordinal(wanted, "task_id", "ts", ["ts", "event_id"], "position")
+    return ordinal(wanted, "task_id", ["ts", "event_id"], "position")

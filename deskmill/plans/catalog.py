@@ -16,6 +16,7 @@ from deskmill.operators import booking, dispatch, gates, inference, resolve, ses
 from deskmill.plans import views
 from deskmill.session import fresh_dir
 from deskmill.sources import tables
+from deskmill.sources.calls import POSTED, read_call_turns
 from deskmill.streaming.bookings import stream_bookings
 from deskmill.streaming.calls import answer_calls, stream_calls
 from deskmill.streaming.masking import stream_pii_mask
@@ -38,6 +39,8 @@ NAMES = {
 def query(job: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        # A split that costs one more exchange is worth it where one calendar is hot.
+        spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         return job(spark, sf_dir)
 
     CATALOG[NAMES.get(job.__name__, job.__name__)] = run
@@ -122,6 +125,20 @@ def append_bookings(spark, sf_dir):
     return _naive(stored, "start", "end", "created_at")
 
 
+@query
+def seed_if_empty(spark, sf_dir):
+    """The global rule, on stored hours and on a table without any."""
+    stored = (
+        views.windows(views.events(spark, sf_dir))
+        .groupBy("day_of_week", "start_time", "end_time", "buffer_minutes")
+        .agg(F.min("calendar_id").alias("id"))
+        .select("id", "day_of_week", "start_time", "end_time", "buffer_minutes")
+    )
+    filled = tables.seed_if_empty(stored).withColumn("stored", F.lit(True))
+    seeded = tables.seed_if_empty(stored.filter("day_of_week > 6")).withColumn("stored", F.lit(False))
+    return filled.unionByName(seeded)
+
+
 @query
 def seed_default_windows(spark, sf_dir):
     ev = views.events(spark, sf_dir)
@@ -172,8 +189,10 @@ def encrypt_roundtrip(spark, sf_dir):
 @query
 def cloud_outbound(spark, sf_dir):
     docs = views.outbound_input(views.table(spark, sf_dir, "documents"))
-    sent = gates.outbound(docs, "doc_id", "text", {"anthropic"})
-    return sent.withColumn("prompt", _ascii_letters(F.col("prompt")))
+    path = fresh_dir(spark, "outbound")
+    gates.write_outbound(gates.outbound(docs, "doc_id", "text", {"anthropic"}), path)
+    sent = spark.read.schema("doc_id bigint, prompt string, provider string").parquet(path)
+    return sent.select("doc_id", "provider", _ascii_letters(F.col("prompt")).alias("prompt"))
 
 
 # -- intents and dialogue ----------------------------------------------------
@@ -236,7 +255,6 @@ def prompt_build(spark, sf_dir):
     turns = sessions.with_previous(
         _dialogue(views.events(spark, sf_dir)),
         "session_id",
-        "ts",
         ["ts", "event_id"],
         {"prev_intent": "intent", "prev_confidence": "confidence"},
     )
@@ -285,6 +303,16 @@ def call_turns(spark, sf_dir):
     return _naive(answer_calls(views.call_turns(views.events(spark, sf_dir))), "ts")
 
 
+@query
+def call_turns_landed(spark, sf_dir):
+    """Call turns that a webhook posted and that landed as JSON."""
+    turns = views.call_turns(views.events(spark, sf_dir))
+    path = fresh_dir(spark, "landed")
+    posted = turns.withColumnsRenamed(POSTED).write
+    posted.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    return _naive(answer_calls(read_call_turns(spark, path, posted=True)), "ts")
+
+
 def _stub_model() -> Callable[[str], str]:
     """Stands in for the caller's model: answers, talks, or fails."""
 
@@ -318,7 +346,7 @@ def validate_booking_requests(spark, sf_dir):
         "form_id",
         "title",
         "start",
-        "duration_minutes",
+        F.col("duration_minutes").cast("double").alias("duration_minutes"),
         F.array_join("attendees", ",").alias("attendees"),
         "reject_reason",
     )

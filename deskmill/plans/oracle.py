@@ -382,6 +382,15 @@ ORACLE = {
         *_CALENDAR,
         **_greedy("requests"),
     ),
+    "seed_if_empty": _sql(
+        """SELECT id, day_of_week, start_time, end_time, buffer_minutes, true AS stored FROM hours
+        UNION ALL
+        SELECT d.d + 1, d.d::INTEGER, '09:00', '17:00', 15, false
+        FROM (SELECT unnest(range(5)) AS d) d""",
+        hours="""SELECT min(user_id) AS id, (isodow(ts) - 1)::INTEGER AS day_of_week,
+            '08:00' AS start_time, '16:00' AS end_time, 10 AS buffer_minutes
+            FROM events WHERE event_type = 'signup' GROUP BY ALL""",
+    ),
     "seed_default_windows": _sql(
         """SELECT * FROM windows UNION ALL
         SELECT c.calendar_id, d.day_of_week::INTEGER, '09:00', '17:00', 15
@@ -471,6 +480,7 @@ ORACLE = {
     ),
     "call_turns": _CALL_TURNS,
     "stream_calls": _CALL_TURNS,
+    "call_turns_landed": _CALL_TURNS,
     "model_infer_fallback": _sql(
         """SELECT request_id,
             CASE WHEN text LIKE 'Are you FREE%' THEN 'check_availability' ELSE 'unknown' END
@@ -484,8 +494,7 @@ ORACLE = {
     "validate_booking_requests": _sql(
         """SELECT form_id, payload->>'$.title' AS title,
             try_cast(payload->>'$.start_datetime' AS TIMESTAMP) AS "start",
-            coalesce((payload->>'$.duration')::DECIMAL(18, 6), 60)::DECIMAL(18, 6)
-                AS duration_minutes,
+            coalesce((payload->>'$.duration')::DOUBLE, 60)::DOUBLE AS duration_minutes,
             coalesce(array_to_string((payload->'$.attendees')::VARCHAR[], ','), '') AS attendees,
             CASE WHEN NOT list_contains(json_keys(payload), 'title')
                     OR NOT list_contains(json_keys(payload), 'start_datetime')

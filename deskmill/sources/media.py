@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 # Registered image types by file extension, and the refusal.
 IMAGE_TYPES = {
+    "avif": "image/avif",
     "bmp": "image/bmp",
     "gif": "image/gif",
     "heic": "image/heic",
+    "ico": "image/vnd.microsoft.icon",
+    "jfif": "image/jpeg",
+    "jp2": "image/jp2",
     "jpeg": "image/jpeg",
     "jpg": "image/jpeg",
     "png": "image/png",

@@ -29,6 +29,9 @@ def stream_sessions(
     turn. Turns without a session pass by the state. Bound the micro-batch at the
     source: one session's turns of one micro-batch are ordered in one task.
     """
+    zone = turns.sparkSession.conf.get("spark.sql.session.timeZone")
+    if ttl is not None and zone not in ("UTC", "Etc/UTC", "GMT", "Z"):
+        raise ValueError(f"deadlines are kept in UTC; the session's zone is {zone}")
     before = [T.StructField(n, T.StringType()) for n in ("prev_intent", "prev_response")]
     schema = T.StructType([*turns.schema.fields, *before])
     timeout = (
@@ -51,7 +54,7 @@ def stream_sessions(
         end = rows.iloc[-1]
         state.update((end["intent"], end["response"]))
         if ttl is not None:
-            due = int((end["ts"] + ttl).timestamp() * 1000)
+            due = int((end["ts"] + ttl).tz_localize("UTC").timestamp() * 1000)
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield rows
 

@@ -134,4 +134,4 @@ def test_timeline_positions_of_a_hot_task(spark):
         ordered = sorted((ts, i) for t, ts, i in rows if t == task)
         assert [found[i] for _, i in ordered] == list(range(1, len(ordered) + 1))
     assert len(found) == sum(t != 3 for t, _, _ in rows)
-    assert ordinal(df, "task_id", "ts", ["ts", "event_id"], "n").count() == len(rows)
+    assert ordinal(df, "task_id", ["ts", "event_id"], "n").count() == len(rows)
