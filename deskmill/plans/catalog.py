@@ -12,7 +12,17 @@ from deskmill.functions.crypto import decrypt_col, derive_key, encrypt_col
 from deskmill.functions.pii import mask_pii, pii_entries, unmask
 from deskmill.functions.times import iso, naive
 from deskmill.operators import availability as av
-from deskmill.operators import booking, dispatch, gates, inference, resolve, sessions, tasks, validate
+from deskmill.operators import (
+    booking,
+    dispatch,
+    gates,
+    inference,
+    resolve,
+    sessions,
+    tasks,
+    turns,
+    validate,
+)
 from deskmill.plans import views
 from deskmill.session import fresh_dir
 from deskmill.sources import tables
@@ -164,8 +174,8 @@ def pii_mapping_documents(spark, sf_dir):
 
 @query
 def pii_mask_conversations(spark, sf_dir):
-    turns = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return mask_pii(turns, "text").select(
+    said = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return mask_pii(said, "text").select(
         "conv_id", "turn", _ascii_letters(F.col("masked")).alias("masked")
     )
 
@@ -252,14 +262,14 @@ def intent_json_extract(spark, sf_dir):
 
 @query
 def prompt_build(spark, sf_dir):
-    turns = sessions.with_previous(
+    followed = sessions.with_previous(
         _dialogue(views.events(spark, sf_dir)),
         "session_id",
         ["ts", "event_id"],
         {"prev_intent": "intent", "prev_confidence": "confidence"},
     )
     previous = intents.rule_repr(F.col("prev_intent"), F.col("prev_confidence"))
-    return turns.select(
+    return followed.select(
         "request_id", intents.build_prompt(F.col("text"), previous).alias("prompt")
     )
 
@@ -306,9 +316,9 @@ def call_turns(spark, sf_dir):
 @query
 def call_turns_landed(spark, sf_dir):
     """Call turns that a webhook posted and that landed as JSON."""
-    turns = views.call_turns(views.events(spark, sf_dir))
+    heard = views.call_turns(views.events(spark, sf_dir))
     path = fresh_dir(spark, "landed")
-    posted = turns.withColumnsRenamed(POSTED).write
+    posted = heard.withColumnsRenamed(POSTED).write
     posted.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
     return _naive(answer_calls(read_call_turns(spark, path, posted=True)), "ts")
 
@@ -328,14 +338,49 @@ def _stub_model() -> Callable[[str], str]:
 
 @query
 def model_infer_fallback(spark, sf_dir):
-    turns = views.utterances(views.events(spark, sf_dir)).select("request_id", "text")
+    heard = views.utterances(views.events(spark, sf_dir)).select("request_id", "text")
     no_context = F.lit(None).cast("string")
-    prompts = turns.withColumn("prompt", intents.build_prompt(F.col("text"), no_context))
+    prompts = heard.withColumn("prompt", intents.build_prompt(F.col("text"), no_context))
     answered = inference.intents_with_fallback(inference.infer(prompts, _stub_model))
     title = intents.entity(F.col("entities"), "title").alias("title")
     return answered.select("request_id", "intent", "confidence", title, "origin")
 
 
+def _local_model() -> Callable[[str], str]:
+    """Stands in for the local model of whole turns."""
+
+    def answer(prompt: str) -> str:
+        if 'Request: "Hello' in prompt or 'Request: "Add' in prompt:
+            raise RuntimeError("no answer")
+        if 'Request: "Are you FREE' in prompt:
+            return 'Here: {"intent": "check_availability", "title": "Call"}'
+        if 'Request: "Schedule' in prompt:
+            return '{"intent": "book_appointment", "datetime": "2024-02-15T10:00:00", "title": "Call"}'
+        if 'Request: "Please make' in prompt:
+            return '{"intent": "create_task", "title": "Noted"}'
+        return "Sorry, say again"
+
+    return answer
+
+
+def _cloud_model() -> Callable[[str], str | None]:
+    """Stands in for a cloud model: knows what to do with to-do items only."""
+    return lambda prompt: "Please make a task of it" if "todo" in prompt else None
+
+
+@query
+def process_text(spark, sf_dir):
+    ev = views.events(spark, sf_dir)
+    return turns.process_text(
+        views.turns(ev),
+        views.appointments(ev),
+        views.tasks(ev).select("task_id"),
+        _local_model,
+        _cloud_model,
+        {"anthropic"},
+    )
+
+
 # -- checks ------------------------------------------------------------------
 
 

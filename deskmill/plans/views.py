@@ -76,6 +76,20 @@ def utterances(ev: DataFrame) -> DataFrame:
     )
 
 
+def turns(ev: DataFrame) -> DataFrame:
+    """Utterances with the calendar they speak of."""
+    return ev.selectExpr(
+        "event_id AS request_id",
+        "event_id",
+        "user_id AS calendar_id",
+        "CASE WHEN event_id % 11 != 0 THEN cast(user_id AS string) END AS session_id",
+        "ts",
+        f"{TEXT} AS text",
+        "event_id % 2 = 0 AS use_cloud",
+        f"{CONSENT.format(id='event_id')} AS user_consent",
+    )
+
+
 def call_turns(ev: DataFrame) -> DataFrame:
     return ev.selectExpr(
         "concat('CA', user_id) AS call_sid",
