@@ -142,6 +142,7 @@ def postings(lines: DataFrame) -> DataFrame:
 
     ``w`` is half of the word's hash: more would only keep apart what the filters and the
     verification keep apart anyway. ``np`` holds the line's words and the word's position.
+    Nothing is ever null; saying so lets both readers of the shuffled postings share them.
     """
     spread = lines.select(F.posexplode("prefix").alias("p", "k"), "d", "ln", "n", "s")
     return spread.select(
@@ -150,7 +151,7 @@ def postings(lines: DataFrame) -> DataFrame:
         "ln",
         F.expr("shiftleft(cast(n as bigint), 32) | p").alias("np"),
         "s",
-    ).filter("w is not null and d is not null")
+    ).filter("w is not null and d is not null and np is not null and s is not null")
 
 
 def _as(df: DataFrame, prefix: str) -> DataFrame:
