@@ -2,7 +2,7 @@
 
 A token file is one long run of token ids in which an end-of-document id follows each
 document. It is kept as a table of blocks (``file``, ``block``, ``data``: little-endian
-unsigned 32-bit ids) whose borders ignore documents, so that files of any size can be
+unsigned ids of two or four bytes) whose borders ignore documents, so that files of any size can be
 read in parallel. Nothing in it says where documents begin.
 
 The scan finds all end ids of a block in one vectorised search. What is known of a block
@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from deskmill.llm.common import text_or_empty
 from deskmill.llm.tokens import encoder, vocabulary
-from deskmill.session import durable
+from deskmill.session import fresh_dir
 
 # The end-of-document id of the vocabulary.
 END_ID = 49_407
+# Bytes of an id: two hold any vocabulary of up to 65,536.
+ID_BYTES = 2
 # Ids of one block.
 BLOCK_IDS = 1 << 18
 
@@ -43,6 +45,7 @@ def write_token_files(
     path: str | None = None,
     end_id: int = END_ID,
     block_ids: int = BLOCK_IDS,
+    id_bytes: int = ID_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """``(blocks, manifest)``: one token file per input partition, and which documents it
     holds in which order: ``(file, ordinal, doc_id)``."""
@@ -50,7 +53,9 @@ def write_token_files(
     docs = df.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"file int, block long, data binary, ordinal long, doc_id {kind}"
-    size = 4 * block_ids
+    size = id_bytes * block_ids
+    if end_id >> 8 * id_bytes:
+        raise ValueError(f"{end_id} does not fit into {id_bytes} bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, end_id, plain_specials=True)
@@ -81,7 +86,7 @@ def write_token_files(
                 continue
             id_type = batch.column(0).type
             for ids in encode(batch.column(1).to_pylist()):
-                held += ids
+                held += _narrow(ids, id_bytes)
             whole = len(held) // size * size
             blocks = [bytes(held[i : i + size]) for i in range(0, whole, size)]
             del held[:whole]
@@ -89,13 +94,25 @@ def write_token_files(
         if held:
             yield rows([bytes(held)], pa.array([], id_type))
 
-    # Partitions of a written table are read alike by every later job; so is this one.
-    written = durable(docs.mapInArrow(run, schema))
+    # Written once: every later job reads the same files, blocks and order.
+    folder = fresh_dir(df.sparkSession, "token-files")
+    docs.mapInArrow(run, schema).write.option("compression", "zstd").parquet(folder)
+    written = df.sparkSession.read.schema(schema).parquet(folder)
     blocks = written.filter("data is not null").select("file", "block", "data")
     return blocks, written.filter("ordinal is not null").select("file", "ordinal", "doc_id")
 
 
-def scan_blocks(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
+def _narrow(ids: bytes, id_bytes: int) -> bytes:
+    """Four-byte ids in ``id_bytes`` each."""
+    if id_bytes == 4:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if wide.size and int(wide.max()) >> 8 * id_bytes:
+        raise ValueError(f"an id does not fit into {id_bytes} bytes")
+    return wide.astype(f"<u{id_bytes}").tobytes()
+
+
+def scan_blocks(blocks: DataFrame, end_id: int = END_ID, id_bytes: int = ID_BYTES) -> DataFrame:
     """Per block: its number of ends, the tokens before the first and after the last,
     and the lengths of the documents that lie between two ends of it."""
 
@@ -103,7 +120,7 @@ def scan_blocks(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
         for batch in batches:
             ends, head, tail, inner = [], [], [], []
             for data in batch.column(2):
-                ids = np.frombuffer(data.as_buffer(), "<u4")
+                ids = np.frombuffer(data.as_buffer(), f"<u{id_bytes}")
                 at = np.flatnonzero(ids == end_id)
                 ends.append(len(at))
                 head.append(int(at[0]) if len(at) else len(ids))
@@ -152,5 +169,6 @@ def token_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **se
     """``(doc_id, n_tokens)`` of every document, read back from its token file; the end
     id does not count."""
     blocks, manifest = write_token_files(df, doc_id, text, **settings)
-    counted = stitch(scan_blocks(blocks, settings.get("end_id", END_ID)))
+    layout = {k: settings[k] for k in ("end_id", "id_bytes") if k in settings}
+    counted = stitch(scan_blocks(blocks, **layout))
     return manifest.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
