@@ -6,6 +6,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +68,25 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """One folder for all steps that are written inside the block, removed at its end.
+
+    Consume the result inside: it may still read from there.
+    """
+    folder = fresh_dir(spark, "run")
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
-    """A new, unused path for a sink or a stream checkpoint."""
-    return os.path.join(checkpoint_root(spark), f"{purpose}-{uuid.uuid4().hex}")
+    """A new, unused path for a written step, a sink or a stream checkpoint."""
+    return os.path.join(_RUN.get() or checkpoint_root(spark), f"{purpose}-{uuid.uuid4().hex}")

@@ -135,3 +135,30 @@ def test_timeline_positions_of_a_hot_task(spark):
         assert [found[i] for _, i in ordered] == list(range(1, len(ordered) + 1))
     assert len(found) == sum(t != 3 for t, _, _ in rows)
     assert ordinal(df, "task_id", ["ts", "event_id"], "n").count() == len(rows)
+
+
+def test_run_folder_is_removed(spark):
+    import os
+
+    from deskmill.session import durable, run_folder
+
+    with run_folder(spark) as folder:
+        assert durable(spark.range(5)).count() == 5
+        assert os.listdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:"))
+
+
+def test_hot_key_at_one_instant_is_spread(spark):
+    """All rows of one key and instant: no task gets more than its share, ordinals are right."""
+    from deskmill.operators.ids import in_ranges
+
+    rows = spark.range(20_000).selectExpr("7L AS k", "timestamp'2024-01-01' AS ts", "id AS event_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is tiny
+    try:
+        ranged = in_ranges(rows, ["k", "ts", "event_id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+    assert len(sizes) >= 2 and max(sizes) <= 2 * 20_000 / len(sizes)
+    numbered = ordinal(rows, "k", ["ts", "event_id"], "n")
+    assert numbered.filter("n != event_id + 1").count() == 0 and numbered.count() == 20_000
