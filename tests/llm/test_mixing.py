@@ -66,10 +66,10 @@ def test_gradient_reaches_least_squares(spark):
     """Targets that nonnegative rates can meet are met."""
     rows = [(i, 10.0 + i, *( [0.8, 0.1, 0.1] if i % 3 == 0 else [0.1, 0.8, 0.1] if i % 3 == 1 else [0.1, 0.1, 0.8])) for i in range(90)]
     df = spark.createDataFrame(rows, "i int, w double, a double, b double, c double")
-    residuals, step = mixing.fit_rates(df, ["a", "b", "c"], "w", {"high": 0.5, "low": 0.3, "toxic": 0.2}, max_steps=200)
+    residuals, step = mixing.fit_rates(df, ["a", "b", "c"], "w", {"high": 0.5, "low": 0.3, "toxic": 0.2}, max_steps=400, highest=10.0)
     p = np.array([r[2:] for r in rows])
     w = np.array([r[1] for r in rows])
-    got = (w * mixing.replay(p, residuals, step, 1.0)) @ p
+    got = (w * mixing.replay(p, residuals, step, 10.0)) @ p
     assert np.allclose(got / got.sum(), [0.5, 0.3, 0.2], atol=0.01)
 
 
