@@ -44,8 +44,6 @@ MIN_WORDS = 5
 BUCKETS = 1 << 16
 # Rarity classes: log-scaled counts.
 CLASSES = 62
-# A line that makes up more than this share of all lines is hot: fewer than its inverse are.
-HOT_SHARE = 1e-4
 # Words up to which parities of 64 bits tell sets apart; longer lines take no short cut.
 QUICK_WORDS = 120
 # Rows up to which the list of affected documents is broadcast instead of shuffled.
@@ -236,13 +234,11 @@ def removed_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     heads = durable(
         lines.groupBy("h", "n").agg(F.min(F.struct("d", "ln")).alias("head"), F.count("*").alias("c"))
     ).select("h", "n", F.col("head.d").alias("hd"), F.col("head.ln").alias("hln"), "c")
-    total = heads.agg(F.sum("c")).first()[0] or 0
-    hot = heads.filter(F.col("c") > HOT_SHARE * total).drop("c")
-    distinct = (
-        lines.join(F.broadcast(hot), ["h", "n"], "left")
-        .filter("hd is null or (hd = d and hln = ln)")
-        .select("d", "ln", "n", "s", "prefix")
-    )
+    # Every other copy goes, and only the earliest meet one another.
+    narrow = lines.select("d", "ln", "h", "n")
+    repeated = _few(heads.filter("c > 1"))
+    later = durable(narrow.join(repeated, ["h", "n"]).filter("hd <> d or hln <> ln").select("d", "ln"))
+    distinct = lines.join(_few(later), ["d", "ln"], "left_anti").select("d", "ln", "n", "s", "prefix")
     pairs = durable(candidates(distinct))
     similar = durable(_verified(pairs.select(*PAIR), every, rarity))
     tested = pairs.filter("quick").select("xd", "xln").distinct()
@@ -251,13 +247,7 @@ def removed_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         again = distinct.join(_few(missed).toDF("d", "ln"), ["d", "ln"], "left_semi")
         more = durable(candidates(distinct, again)).select(*PAIR)
         similar = similar.unionByName(_verified(more, every, rarity))
-    # What holds for a line holds for all that have its set.
-    narrow = lines.select("d", "ln", "h", "n")
-    gone = narrow.join(similar.toDF("d", "ln"), ["d", "ln"], "left_semi").select("h", "n").distinct()
-    matched = narrow.join(gone, ["h", "n"], "left_semi").select("d", "ln")
-    repeated = heads.filter("c > 1")
-    later = narrow.join(repeated, ["h", "n"]).filter("hd <> d or hln <> ln").select("d", "ln")
-    return durable(later.unionByName(matched).distinct())
+    return durable(later.unionByName(similar.toDF("d", "ln")).distinct())
 
 
 def without_removed(df: DataFrame, removed: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -117,3 +117,13 @@ def docs_marker():
 
 def test_empty_table(spark):
     assert linedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_first_copy_stays_among_many_lines(spark):
+    """Sets found twice among over 20,000 lines, with near copies between."""
+    rows = [(i, " ".join(f"u{i}x{j}" for j in range(6))) for i in range(20_500)]
+    line = "one two three four five six seven eight nine"
+    rows += [(30_000, line), (30_001, line), (30_002, "other " + line), (30_003, "other " + line), (30_004, line.upper())]
+    found = linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    gone = {r.doc_id for r in found.filter("n_removed_lines > 0").collect()}
+    assert gone == {30_001, 30_002, 30_003, 30_004}
