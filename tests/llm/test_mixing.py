@@ -90,3 +90,16 @@ def test_edges(spark):
     assert mixed.count() == len(docs)
     assert mixed.filter("doc_id = 0").select("rate", "kept").distinct().count() == 1
     assert mixing.mix(df.limit(0), table).count() == 0
+
+
+@pytest.mark.parametrize("leak", [0.0, 0.005])
+def test_rare_toxic_domain_is_taken_out(spark, leak):
+    """At 1 % of the tokens, with the steps that the stage takes."""
+    high, low, toxic = (1 - 2 * leak, leak, leak), (leak, 1 - 2 * leak, leak), (leak, leak, 1 - 2 * leak)
+    rows = [(i, 10.0, *map(float, toxic if i % 100 == 0 else low if i % 100 < 12 else high)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "i int, w double, a double, b double, c double")
+    residuals, step = mixing.fit_rates(df, ["a", "b", "c"], "w", mixing.TARGETS)
+    rates = mixing.replay(np.array([toxic, low, high]), residuals, step, 1.0)
+    assert rates[0] < 0.001 and rates[2] > 0.99
+    if not leak:
+        assert abs(rates[1] * 11 - 88 * 5 / 95) < 0.01
