@@ -2,7 +2,8 @@
 
 Every line is judged on its own: punctuation (symbols for prose, shouting),
 navigation (short lines that end no sentence, lists of links) and boilerplate
-(phrases of legal and cookie notices). Failing lines are removed; a document that
+(phrases of legal and cookie notices, as whole words, where they make up half of the
+line, where there are several, or a legal formula in a short line). Failing lines are removed; a document that
 loses too large a share of its text, or fails the base rules on its whole text, is
 rejected.
 
@@ -68,7 +69,7 @@ class Rules:
 
 _ENDS = tuple(".!?…:;。！？؟।\"'”’»)]")
 _LETTERED = re.compile(r"[^\W\d_]")
-_NOTICE = re.compile("|".join(map(re.escape, BOILERPLATE)))
+_NOTICE = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, BOILERPLATE))})(?!\w)")
 _SYMBOL = re.compile(r"[#*$%&|<>{}\[\]~^=\\@_]")
 _MARK = re.compile(r"[!?]")
 _UPPER = re.compile("[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯĀĂĄĆČĎĐĒĘĚĞĪİŁŃŇŐŘŚŞŠŤŪŮŰŹŻŽ]")
@@ -116,11 +117,20 @@ def failing_rule(line: str, n_words: int, rules: Rules) -> str | None:
         return "navigation"
     if not _LETTERED.search(line):
         return "navigation"
-    if n_words <= rules.notice_words and _NOTICE.search(line.lower()):
+    if n_words <= rules.notice_words and _is_notice(_NOTICE.findall(line.lower()), n_words, rules):
         return "boilerplate"
     return None
 
 
+def _is_notice(phrases: list[str], n_words: int, rules: Rules) -> bool:
+    """Whether a line of ``n_words`` words that holds ``phrases`` is a notice, not a sentence about one."""
+    if not phrases:
+        return False
+    in_phrase = [len(p.split()) for p in phrases]
+    formula = max(in_phrase) >= 3 and n_words <= rules.short_words
+    return len(set(phrases)) > 1 or 2 * sum(in_phrase) >= n_words or formula
+
+
 def judge(text: str, rules: Rules) -> tuple:
     """The measures, the verdict and the cleaned text of one document."""
     words = text.encode().split()

@@ -94,3 +94,23 @@ def test_labelled_documents(spark, sf_dir):
     good = [r.kept for r in judged if r.quality == 1]
     poor = [r.kept for r in judged if r.quality == 0]
     assert all(good) and sum(poor) <= 0.1 * len(poor)
+
+
+@pytest.mark.parametrize(
+    "line, rule",
+    [
+        ("She kept a blog in which the journey was told day by day.", None),
+        ("The catalog in the hall lists every book that they own.", None),
+        ("There is good design in even the smallest of these tools.", None),
+        ("The news was spread more widely than anyone had hoped.", None),
+        ("Der Datenschutz ist in Europa seit Jahren ein Thema der Politik.", None),
+        ("Guests sign in at the desk before they go up to their rooms.", None),
+        ("The firm changed its privacy policy after the users complained.", None),
+        ("Click here to read more.", "boilerplate"),
+        ("This site uses cookies, see our privacy policy and our terms of use for all that they do.", "boilerplate"),
+        ("Impressum, Datenschutz, alle Rechte vorbehalten, bitte hier weiterlesen.", "boilerplate"),
+        ("Read our privacy policy.", "boilerplate"),
+    ],
+)
+def test_boilerplate_needs_whole_phrases_and_a_further_sign(line, rule):
+    assert quality.failing_rule(line, len(line.split()), quality.Rules()) == rule
