@@ -2,7 +2,8 @@
 
 A line is the set of its lower-cased words. A line goes if an earlier line (order:
 document id, then line number) has at least ``THRESHOLD`` Jaccard similarity with it.
-Lines of fewer than ``MIN_WORDS`` distinct words stay: they recur in good text.
+Only lines without a word are left aside. Up to three words, similar means equal, which
+the hash of the set tells; longer lines are joined.
 
 1. Words are counted over all documents in hash buckets; every line's word hashes
    are ordered by rarity.
@@ -39,7 +40,9 @@ from deskmill.session import durable
 
 # Similar lines share at least four of five words of their union.
 THRESHOLD = (4, 5)
-MIN_WORDS = 5
+MIN_WORDS = 1
+# Words from which a line can be similar to another set than its own.
+JOIN_WORDS = 4
 # Hash buckets in which words are counted.
 BUCKETS = 1 << 16
 # Rarity classes: log-scaled counts.
@@ -105,7 +108,8 @@ def _order_id(doc_id: Column) -> Column:
 
 def line_sets(lines: DataFrame, rarity: Column) -> DataFrame:
     """``(d, ln, keys)``: every line of at least ``MIN_WORDS`` words, as ordered word hashes."""
-    hashed = lines.select("d", "ln", _word_hashes(F.col("line")).alias("hashes"))
+    worded = lines.filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+    hashed = worded.select("d", "ln", _word_hashes(F.col("line")).alias("hashes"))
     return hashed.filter(F.size("hashes") >= MIN_WORDS).select(
         "d", "ln", _ordered(F.col("hashes"), rarity).alias("keys")
     )
@@ -238,7 +242,8 @@ def removed_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     narrow = lines.select("d", "ln", "h", "n")
     repeated = _few(heads.filter("c > 1"))
     later = durable(narrow.join(repeated, ["h", "n"]).filter("hd <> d or hln <> ln").select("d", "ln"))
-    distinct = lines.join(_few(later), ["d", "ln"], "left_anti").select("d", "ln", "n", "s", "prefix")
+    joining = lines.filter(F.col("n") >= JOIN_WORDS)
+    distinct = joining.join(_few(later), ["d", "ln"], "left_anti").select("d", "ln", "n", "s", "prefix")
     pairs = durable(candidates(distinct))
     similar = durable(_verified(pairs.select(*PAIR), every, rarity))
     tested = pairs.filter("quick").select("xd", "xln").distinct()

@@ -127,3 +127,23 @@ def test_first_copy_stays_among_many_lines(spark):
     found = linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     gone = {r.doc_id for r in found.filter("n_removed_lines > 0").collect()}
     assert gone == {30_001, 30_002, 30_003, 30_004}
+
+
+def test_short_lines(spark):
+    rows = [
+        (1, "read more\nshare this page\none two three four"),
+        (2, "Read  MORE\nshare that page\nfour three two one five\n\n \t"),
+        (3, "more read read\nx\none two three six\n\n \t"),
+        (4, "這是沒有空格的一段話\nx x x"),
+        (5, "這是沒有空格的一段話\n" + "ha " * 300),
+        (6, "ha"),
+    ]
+    found = {r.doc_id: r.text for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {
+        1: rows[0][1],
+        2: "share that page\n\n \t",
+        3: "x\none two three six\n\n \t",
+        4: "這是沒有空格的一段話",
+        5: "ha " * 300,
+        6: "",
+    }
