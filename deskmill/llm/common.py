@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from deskmill.session import durable
+
 # Rows of one Arrow batch: bounds a worker's memory where texts are long.
 BATCH_ROWS = 500
 
@@ -35,6 +37,28 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def with_row_key(df: DataFrame, doc_id: str, text: str, name: str) -> DataFrame:
+    """``df`` with a long ``name`` that, beside the id, tells documents apart.
+
+    Rows of one id and one text are one document and share it. Different texts of one id
+    have different keys, and each row without an id has its own; such rows are written
+    once, so that all readers see the same. It is zero for all other rows.
+    """
+    known, alone = df.filter(F.col(doc_id).isNotNull()), df.filter(F.col(doc_id).isNull())
+    digest = F.xxhash64(F.col(text), F.col(text).isNull())
+    (key,) = fresh(df, "_shared_id")
+    spread = known.groupBy(F.col(doc_id).alias(key)).agg(F.min(digest).alias("lo"), F.max(digest).alias("hi"))
+    shared = durable(spread.filter("lo <> hi").select(key))
+    if shared.isEmpty():
+        keyed = known.withColumn(name, F.lit(0).cast("long"))
+    else:
+        mine = F.when(F.col(key).isNotNull(), digest).otherwise(0)
+        keyed = known.join(shared, F.col(doc_id) == F.col(key), "left").withColumn(name, mine).drop(key)
+    if alone.isEmpty():
+        return keyed
+    return keyed.unionByName(durable(alone.withColumn(name, F.monotonically_increasing_id() + 1)))
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     column = F.col(text) if isinstance(text, str) else text
     return F.coalesce(column, F.lit(""))

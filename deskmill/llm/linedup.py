@@ -1,7 +1,7 @@
 """Line dedup: an exact set-similarity join over the lines of all documents.
 
 A line is the set of its lower-cased words. A line goes if an earlier line (order:
-document id, then line number) has at least ``THRESHOLD`` Jaccard similarity with it.
+document id, row key, line number) has at least ``THRESHOLD`` Jaccard similarity with it.
 Only lines without a word are left aside. Up to three words, similar means equal, which
 the hash of the set tells; longer lines are joined.
 
@@ -22,9 +22,10 @@ Everything is DataFrame operations. What reaches the driver is the table of buck
 counts, whose size is fixed. Word hashes have 58 bits, lines' hashes 64.
 Ids are whole numbers of at most 64 bits.
 
-Null and empty texts have no lines that could go. Repeated rows with one id keep the
-lines they share once per line number: they are the same lines, and the row itself stays.
-A null id counts as the smallest id there is. An empty table stays empty; further columns
+Null and empty texts have no lines that could go. Repeated rows with one id and one text
+are the same lines, and the row itself stays. Different texts of one id are documents of
+their own, in the order of a row key. A null id counts as the smallest id there is, and
+each row that has it is a document of its own. An empty table stays empty; further columns
 pass through.
 """
 
@@ -35,7 +36,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskmill.llm.common import fresh
+from deskmill.llm.common import fresh, with_row_key
 from deskmill.session import durable
 
 # Similar lines share at least four of five words of their union.
@@ -52,6 +53,9 @@ QUICK_WORDS = 120
 # Rows up to which the list of affected documents is broadcast instead of shuffled.
 BROADCAST_ROWS = 300_000
 
+# What tells a line: its document's id and row key, and its number.
+LINE = ["d", "r", "ln"]
+
 _BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
@@ -96,10 +100,10 @@ def _parity(keys: Column) -> Column:
     )
 
 
-def lines_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(d, ln, line)``: all lines, in lower case. A null id counts as the smallest there is."""
-    docs = df.select(_order_id(F.col(doc_id)).alias("d"), F.col(text).alias("t"))
-    return docs.select("d", F.posexplode(F.split(F.lower("t"), "\n")).alias("ln", "line"))
+def lines_of(df: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
+    """``(d, r, ln, line)``: all lines, in lower case. A null id counts as the smallest there is."""
+    docs = df.select(_order_id(F.col(doc_id)).alias("d"), F.col(row).alias("r"), F.col(text).alias("t"))
+    return docs.select("d", "r", F.posexplode(F.split(F.lower("t"), "\n")).alias("ln", "line"))
 
 
 def _order_id(doc_id: Column) -> Column:
@@ -107,11 +111,11 @@ def _order_id(doc_id: Column) -> Column:
 
 
 def line_sets(lines: DataFrame, rarity: Column) -> DataFrame:
-    """``(d, ln, keys)``: every line of at least ``MIN_WORDS`` words, as ordered word hashes."""
+    """``(d, r, ln, keys)``: every line of at least ``MIN_WORDS`` words, as ordered word hashes."""
     worded = lines.filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
-    hashed = worded.select("d", "ln", _word_hashes(F.col("line")).alias("hashes"))
+    hashed = worded.select(*LINE, _word_hashes(F.col("line")).alias("hashes"))
     return hashed.filter(F.size("hashes") >= MIN_WORDS).select(
-        "d", "ln", _ordered(F.col("hashes"), rarity).alias("keys")
+        *LINE, _ordered(F.col("hashes"), rarity).alias("keys")
     )
 
 
@@ -136,35 +140,36 @@ def _may_match(x: str, y: str) -> Column:
 
 
 def _earlier(y: str, x: str) -> Column:
-    return F.expr(f"{y}d < {x}d or ({y}d = {x}d and {y}ln < {x}ln)")
+    within = f"{y}r < {x}r or ({y}r = {x}r and {y}ln < {x}ln)"
+    return F.expr(f"{y}d < {x}d or ({y}d = {x}d and ({within}))")
 
 
 def postings(lines: DataFrame) -> DataFrame:
-    """One row per prefix word of every line: ``(w, d, ln, np, s)``.
+    """One row per prefix word of every line: ``(w, d, r, ln, np, s)``.
 
     ``w`` is half of the word's hash: more would only keep apart what the filters and the
     verification keep apart anyway. ``np`` holds the line's words and the word's position.
     Nothing is ever null; saying so lets both readers of the shuffled postings share them.
     """
-    spread = lines.select(F.posexplode("prefix").alias("p", "k"), "d", "ln", "n", "s")
+    spread = lines.select(F.posexplode("prefix").alias("p", "k"), *LINE, "n", "s")
     return spread.select(
         F.hash("k").alias("w"),
-        "d",
-        "ln",
+        *LINE,
         F.expr("shiftleft(cast(n as bigint), 32) | p").alias("np"),
         "s",
-    ).filter("w is not null and d is not null and np is not null and s is not null")
+    ).filter("w is not null and d is not null and r is not null and np is not null and s is not null")
 
 
 def _as(df: DataFrame, prefix: str) -> DataFrame:
     return df.select("w", *(F.col(c).alias(prefix + c) for c in df.columns if c != "w"))
 
 
-PAIR = ["xd", "xln", "yd", "yln"]
+X, Y = (["xd", "xr", "xln"], ["yd", "yr", "yln"])
+PAIR = [*X, *Y]
 
 
 def candidates(lines: DataFrame, later: DataFrame | None = None) -> DataFrame:
-    """``(xd, xln, yd, yln, quick)``: pairs of a line and an earlier one that may be similar.
+    """``(xd, xr, xln, yd, yr, yln, quick)``: pairs of a line and an earlier one that may be similar.
 
     ``quick`` pairs stem from the test against the earliest of a list. With ``later``,
     pairs of those lines only, all of them, without the short cut.
@@ -175,14 +180,14 @@ def candidates(lines: DataFrame, later: DataFrame | None = None) -> DataFrame:
         found = x.join(_as(posts, "y"), "w").filter(_earlier("y", "x") & _may_match("x", "y"))
         return found.select(*PAIR).distinct().withColumn("quick", F.lit(False))
     posts = posts.repartition("w")
-    in_list = Window.partitionBy("w").orderBy("d", "ln")
-    parts = ("d", "ln", "np", "s")
+    in_list = Window.partitionBy("w").orderBy(*LINE)
+    parts = (*LINE, "np", "s")
     headed = posts.withColumn("f", F.first(F.struct(*parts)).over(in_list)).select(
         "w",
         *(F.col(c).alias(f"x{c}") for c in parts),
         *(F.col(f"f.{c}").alias(f"y{c}") for c in parts),
     )
-    other = F.expr("not (xd = yd and xln = yln)")
+    other = F.expr("not (xd = yd and xr = yr and xln = yln)")
     short = F.expr(f"shiftright(xnp, 32) <= {QUICK_WORDS}")
     quick = headed.filter(other & short & _may_match("x", "y")).select(*PAIR)
     slow = (
@@ -208,26 +213,25 @@ def _few(df: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, lines: DataFrame, rarity: Column) -> DataFrame:
     """The later lines of pairs whose whole word sets are similar enough."""
     a, b = THRESHOLD
-    ends = durable(pairs.select("xd", "xln").union(pairs.select("yd", "yln")).distinct().toDF("d", "ln"))
+    ends = durable(pairs.select(*X).union(pairs.select(*Y)).distinct().toDF(*LINE))
     # Only lines that are in some pair are turned into sets again.
-    known = durable(line_sets(lines.join(_few(ends), ["d", "ln"], "left_semi"), rarity))
-    x = known.toDF("xd", "xln", "xk")
-    y = known.toDF("yd", "yln", "yk")
-    joined = pairs.join(x, ["xd", "xln"]).join(y, ["yd", "yln"])
+    known = durable(line_sets(lines.join(_few(ends), LINE, "left_semi"), rarity))
+    x = known.toDF(*X, "xk")
+    y = known.toDF(*Y, "yk")
+    joined = pairs.join(x, X).join(y, Y)
     common = F.size(F.array_intersect("xk", "yk"))
     alike = common * (a + b) >= (F.size("xk") + F.size("yk")) * a
-    return joined.filter(alike).select("xd", "xln").distinct()
+    return joined.filter(alike).select(*X).distinct()
 
 
-def removed_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(d, ln)``: the lines that have an earlier match, as a written table."""
+def removed_lines(df: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
+    """``(d, r, ln)``: the lines that have an earlier match, as a written table."""
     rarity = _rarity(word_buckets(df, text))
-    every = lines_of(df, doc_id, text)
+    every = lines_of(df, doc_id, text, row)
     n = F.size("keys")
     lines = durable(
         line_sets(every, rarity).select(
-            "d",
-            "ln",
+            *LINE,
             F.xxhash64("keys").alias("h"),
             n.alias("n"),
             _parity(F.col("keys")).alias("s"),
@@ -236,41 +240,44 @@ def removed_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     # Lines with one and the same set: the earliest stands for all.
     heads = durable(
-        lines.groupBy("h", "n").agg(F.min(F.struct("d", "ln")).alias("head"), F.count("*").alias("c"))
-    ).select("h", "n", F.col("head.d").alias("hd"), F.col("head.ln").alias("hln"), "c")
+        lines.groupBy("h", "n").agg(F.min(F.struct(*LINE)).alias("head"), F.count("*").alias("c"))
+    ).select("h", "n", F.col("head.d").alias("hd"), F.col("head.r").alias("hr"), F.col("head.ln").alias("hln"), "c")
     # Every other copy goes, and only the earliest meet one another.
-    narrow = lines.select("d", "ln", "h", "n")
+    narrow = lines.select(*LINE, "h", "n")
     repeated = _few(heads.filter("c > 1"))
-    later = durable(narrow.join(repeated, ["h", "n"]).filter("hd <> d or hln <> ln").select("d", "ln"))
+    later = durable(narrow.join(repeated, ["h", "n"]).filter("hd <> d or hr <> r or hln <> ln").select(*LINE))
     joining = lines.filter(F.col("n") >= JOIN_WORDS)
-    distinct = joining.join(_few(later), ["d", "ln"], "left_anti").select("d", "ln", "n", "s", "prefix")
+    distinct = joining.join(_few(later), LINE, "left_anti").select(*LINE, "n", "s", "prefix")
     pairs = durable(candidates(distinct))
     similar = durable(_verified(pairs.select(*PAIR), every, rarity))
-    tested = pairs.filter("quick").select("xd", "xln").distinct()
-    missed = durable(tested.join(similar, ["xd", "xln"], "left_anti"))
+    tested = pairs.filter("quick").select(*X).distinct()
+    missed = durable(tested.join(similar, X, "left_anti"))
     if not missed.isEmpty():
-        again = distinct.join(_few(missed).toDF("d", "ln"), ["d", "ln"], "left_semi")
+        again = distinct.join(_few(missed).toDF(*LINE), LINE, "left_semi")
         more = durable(candidates(distinct, again)).select(*PAIR)
         similar = similar.unionByName(_verified(more, every, rarity))
-    return durable(later.unionByName(similar.toDF("d", "ln")).distinct())
+    return durable(later.unionByName(similar.toDF(*LINE)).distinct())
 
 
-def without_removed(df: DataFrame, removed: DataFrame, doc_id: str, text: str) -> DataFrame:
+def without_removed(df: DataFrame, removed: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
     """``df`` with its text cut down to the lines that stay, and how many went."""
-    key, gone, cut = fresh(df, "_line_id", "_gone", "n_removed_lines")
-    per_doc = removed.groupBy(F.col("d").alias(key)).agg(F.collect_list("ln").alias(gone))
-    joined = df.join(_few(durable(per_doc)), _order_id(F.col(doc_id)) == F.col(key), "left")
+    key, part, gone, cut = fresh(df, "_line_id", "_line_row", "_gone", "n_removed_lines")
+    per_doc = removed.groupBy(F.col("d").alias(key), F.col("r").alias(part)).agg(F.collect_list("ln").alias(gone))
+    same = (_order_id(F.col(doc_id)) == F.col(key)) & (F.col(row) == F.col(part))
+    joined = df.join(_few(durable(per_doc)), same, "left")
     numbered = F.split(F.col(text), "\n")
     kept = F.array_join(F.filter(numbered, lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
     cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept)
     return joined.withColumns({text: cleaned, cut: F.coalesce(F.size(gone), F.lit(0)).cast("long")}).drop(
-        key, gone
+        key, part, gone, row
     )
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with later similar lines removed from ``text``; adds ``n_removed_lines``."""
-    return without_removed(df, removed_lines(df, doc_id, text), doc_id, text)
+    (row,) = fresh(df, "_row")
+    keyed = with_row_key(df, doc_id, text, row)
+    return without_removed(keyed, removed_lines(keyed, doc_id, text, row), doc_id, text, row)
 
 
 def deduped_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:

@@ -16,10 +16,12 @@ needs sums over all rows, one distributed pass. It goes on until the optimum is
 within a tolerance that does not depend on how rare a domain is; if it is not, the
 residual left is reported. Nothing per document is sent to the driver.
 
-A document stays if the hash of its id, as a number in [0, 1), lies below its rate.
+A document stays if the hash of its id, as a number in [0, 1), lies below its rate; one
+without an id takes the hash of its text.
 
 Null and empty texts have no words; they get the posterior of such a text. Repeated
-rows get equal rates and stay or go together. An empty table gives an empty result;
+rows get equal rates and stay or go together; different texts of one id, or without
+one, are decided each for itself. An empty table gives an empty result;
 without labelled documents of two classes at least, all rates are 1. Further
 columns pass through.
 """
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskmill.llm.common import fresh, map_text, text_or_empty
+from deskmill.llm.common import fresh, map_text, text_or_empty, with_row_key
 from deskmill.session import durable
 
 DOMAINS = ("high", "low", "toxic")
@@ -346,9 +348,10 @@ def with_rates(scored: DataFrame, names: list[str], residuals, step, name: str,
     return scored.withColumn(name, rate)
 
 
-def lot(doc_id: Column) -> Column:
-    """A number in [0, 1) drawn by the hash of an id."""
-    return F.pmod(F.xxhash64(doc_id, F.lit(8)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def lot(doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) drawn by the hash of an id, or of the text where that is null."""
+    drawn = F.when(doc_id.isNull(), F.xxhash64(text, F.lit(8))).otherwise(F.xxhash64(doc_id, F.lit(8)))
+    return F.pmod(drawn, F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def mix(
@@ -367,18 +370,22 @@ def mix(
     prefix, rate, kept = fresh(docs, "p_", "rate", "kept")
     while any(c.startswith(prefix) for c in docs.columns):
         prefix += "_"
-    scored = durable(with_posteriors(docs, model, text, prefix).drop(text))
+    draw = prefix + "lot"
+    drawn = with_posteriors(docs, model, text, prefix).withColumn(draw, lot(F.col(doc_id), F.col(text)))
+    scored = durable(drawn.drop(text))
     names = [prefix + d for d in DOMAINS]
     residuals, step = (
         fit_rates(scored, names, prefix + "words", targets) if model else (np.zeros((0, 3)), 0.0)
     )
     rated = with_rates(scored, names, residuals, step, rate)
-    return rated.withColumn(kept, lot(F.col(doc_id)) < F.col(rate))
+    return rated.withColumn(kept, F.col(draw) < F.col(rate)).drop(draw)
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The documents that the fitted rates keep, in the columns of ``docs``."""
-    decided = mix(docs.select(doc_id, text), labels, doc_id=doc_id, text=text, **settings)
-    (key,) = fresh(docs, "_gone_id")
-    gone = decided.filter("not kept").select(F.col(doc_id).alias(key)).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col(key)), "left_anti")
+    row, key, part = fresh(docs, "_row", "_gone_id", "_gone_row")
+    keyed = with_row_key(docs, doc_id, text, row)
+    decided = mix(keyed.select(doc_id, row, text), labels, doc_id=doc_id, text=text, **settings)
+    gone = decided.filter("not kept").select(F.col(doc_id).alias(key), F.col(row).alias(part)).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col(key)) & (F.col(row) == F.col(part))
+    return keyed.join(gone, same, "left_anti").drop(row)

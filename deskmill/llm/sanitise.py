@@ -16,8 +16,8 @@ a window around a span are paired with its entity, so the pairs grow with the sp
 not with the square of a document's words. Whatever is joined is joined by hash; a side
 is broadcast only below a measured size.
 
-Null texts are empty. Rows with equal ids share the terms found in any of them, and each
-is sanitised for itself. An empty table gives an empty result. Only id and text are read.
+Null texts are empty. Rows with one id and one text are one document; different texts of
+one id, and rows without an id, are documents of their own. Each row is sanitised for itself. An empty table gives an empty result. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskmill.llm.common import text_or_empty
+from deskmill.llm.common import text_or_empty, with_row_key
 from deskmill.session import durable
 
 # The kinds of personal data, in their order, and their patterns.
@@ -126,7 +126,7 @@ def _spans_of(kind: str, text: Column) -> Column:
 
 
 def with_base_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` (``doc_id``, ``text``) with ``base``: an array of ``(start, rank, end, kind, value)``."""
+    """``docs`` (``doc_id``, ``text``, ``doc``: its key) with ``base``: an array of ``(start, rank, end, kind, value)``."""
     # One column per kind, each in a projection of its own, so that a kind is searched once.
     found = docs
     for kind in KINDS:
@@ -162,8 +162,8 @@ def _term(word: Column) -> Column:
 
 
 def _contexts(spotted: DataFrame, limits: Thresholds) -> DataFrame:
-    """``(doc_id, entity, kind, context, term)``: words of the window around each span."""
-    one = spotted.select("doc_id", "text", F.explode("base").alias("s"))
+    """``(doc, entity, kind, context, term)``: words of the window around each span."""
+    one = spotted.select("doc", "text", F.explode("base").alias("s"))
     w = limits.window_chars
     before = F.substring(
         "text", F.greatest(F.col("s.start") - w, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(w))
@@ -179,7 +179,7 @@ def _contexts(spotted: DataFrame, limits: Thresholds) -> DataFrame:
     # Parts of entities are no terms of their own.
     terms = F.filter(words, lambda t: (F.char_length(t) >= 4) & ~t.rlike("[0-9@]"))
     return one.select(
-        "doc_id",
+        "doc",
         F.xxhash64(F.lower("s.value")).alias("entity"),
         F.col("s.kind").alias("kind"),
         F.xxhash64(around).alias("context"),
@@ -188,20 +188,20 @@ def _contexts(spotted: DataFrame, limits: Thresholds) -> DataFrame:
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    """``(doc_id, term)``: the distinct terms of every document."""
+    """``(doc, term)``: the distinct terms of every document."""
     terms = F.array_distinct(F.transform(F.split("text", _BLANKS), _term))
-    return docs.select("doc_id", F.explode(terms).alias("term")).filter(F.char_length("term") >= 4)
+    return docs.select("doc", F.explode(terms).alias("term")).filter(F.char_length("term") >= 4)
 
 
 def disclosing_terms(spotted: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
     """``(term, kind, share, bits)`` of the terms that reveal some entity too well."""
     seen = durable(_contexts(spotted, limits).distinct())
     pairs = seen.groupBy("term", "entity", "kind").agg(
-        F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id").alias("n_both")
+        F.count_distinct("context").alias("contexts"), F.count_distinct("doc").alias("n_both")
     )
     # A term is in at least as many documents as it was seen in near any entity. Those that
     # fall short of the share even so need not be counted: common words, above all.
-    met = seen.groupBy("term").agg(F.count_distinct("doc_id").alias("n_met"))
+    met = seen.groupBy("term").agg(F.count_distinct("doc").alias("n_met"))
     enough = pairs.filter(F.col("contexts") >= limits.min_contexts).join(met, "term")
     likely = durable(enough.filter(F.col("n_both") >= limits.min_share * F.col("n_met")).drop("n_met"))
     result = "term string, kind string, share double, bits double"
@@ -211,7 +211,7 @@ def disclosing_terms(spotted: DataFrame, limits: Thresholds = Thresholds()) -> D
     if terms.count() <= BROADCAST_ROWS:
         terms = F.broadcast(terms)
     held = _words(spotted).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    entities = seen.groupBy("entity").agg(F.count_distinct("doc_id").alias("n_entity"))
+    entities = seen.groupBy("entity").agg(F.count_distinct("doc").alias("n_entity"))
     total = spotted.count()
     share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
     scored = (
@@ -238,14 +238,14 @@ def with_spans(docs: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
     hits = (
         _words(spotted)
         .join(side, "term")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("term", "kind", (F.col("share") >= limits.remove_share).alias("remove"))).alias("hits"))
-        .withColumnRenamed("doc_id", "hit_id")
+        .groupBy("doc")
+        .agg(F.collect_set(F.struct("term", "kind", (F.col("share") >= limits.remove_share).alias("remove"))).alias("hits"))
+        .withColumnRenamed("doc", "hit_doc")
     )
     hits = durable(hits)
     if hits.count() <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
-    joined = spotted.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").drop("hit_id")
+    joined = spotted.join(hits, F.col("doc") == F.col("hit_doc"), "left").drop("hit_doc")
     known = F.map_from_entries(F.transform("hits", lambda h: F.struct(h["term"], F.struct(h["kind"].alias("kind"), h["remove"].alias("remove")))))
     spans = F.when(F.col("hits").isNull(), F.array().cast(kind)).otherwise(_term_spans(F.col("known")))
     return joined.withColumn("known", known).withColumn("terms", spans).drop("known", "hits")
@@ -332,4 +332,7 @@ def span_report(spanned: DataFrame) -> DataFrame:
 
 def find_personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text", limits: Thresholds = Thresholds()) -> DataFrame:
     """``(doc_id, text, base, terms)`` of every row of ``df``."""
-    return with_spans(df.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")), limits)
+    docs = df.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+    keyed = with_row_key(docs, "doc_id", "text", "row")
+    numbered = keyed.select("doc_id", "text", F.xxhash64("doc_id", "row").alias("doc"))
+    return with_spans(numbered, limits).drop("doc")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskmill.llm.common import fresh, map_text
+from deskmill.llm.common import fresh, map_text, with_row_key
 from deskmill.llm.components import components
 from deskmill.session import durable
 
@@ -218,12 +218,8 @@ def simhash_components(
 ) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` per row; the component's id is the
     smallest id reachable over links of at most ``radius`` differing bits."""
-    printed = with_fingerprint(df.select(doc_id, text), text, "fp_", words_per_shingle)
-    prints = durable(printed.select(F.col(doc_id).alias("doc_id"), F.col("fp_").alias("fp")))
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    links = durable(near_links(distinct, "fp", radius))
-    member = components(links, "a", "b").withColumnRenamed("vertex", "fp")
-    rooted = distinct.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    prints = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    prints, rooted = _rooted(prints, radius, words_per_shingle)
     least = rooted.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp").select(
@@ -231,18 +227,35 @@ def simhash_components(
     )
 
 
-def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The rows of ``df`` without near duplicates: of each component the document
-    with the smallest id stays. Of repeated rows of that id one stays; of a
-    component whose ids are all null, all stay, as nothing tells them apart."""
-    found = simhash_components(df, doc_id, text, **settings)
-    keep = durable(found.filter("doc_id <=> component_id").select("doc_id"))
-    (key,) = fresh(df, "_kept_id")
-    ids = keep.filter("doc_id is not null").distinct().withColumnRenamed("doc_id", key)
-    kept = df.join(ids, F.col(doc_id) == F.col(key), "left_semi")
-    repeated = keep.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates([doc_id])
-    if not keep.filter("doc_id is null").isEmpty():
-        kept = kept.unionByName(df.filter(F.col(doc_id).isNull()))
-    return kept
+def _rooted(docs: DataFrame, radius: int, words_per_shingle: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (``doc_id``, ``text`` and more) with ``fp`` for its text, as a written table, and
+    ``(fp, first_id, component)``: the component of every fingerprint."""
+    printed = with_fingerprint(docs, "text", "fp", words_per_shingle)
+    prints = durable(printed.drop("text"))
+    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    links = durable(near_links(distinct, "fp", radius))
+    member = components(links, "a", "b").withColumnRenamed("vertex", "fp")
+    rooted = distinct.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return prints, rooted
+
+
+def one_of_each(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, words_per_shingle: int = 3
+) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each component the document with
+    the smallest id stays, one without an id only where none has one. Decided per
+    document: of different texts with one id, each goes by its own component. Of
+    repeated rows of a document one stays."""
+    row, key, part = fresh(df, "_row", "_kept_id", "_kept_row")
+    keyed = with_row_key(df, doc_id, text, row)
+    docs = keyed.select(F.col(doc_id).alias("doc_id"), F.col(row).alias("row"), F.col(text).alias("text"))
+    prints, rooted = _rooted(docs, radius, words_per_shingle)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    keep = durable(prints.join(rooted.select("fp", "component"), "fp").groupBy("component").agg(first.alias("f")))
+    chosen = keep.select(F.col("f.doc_id").alias(key), F.col("f.row").alias(part))
+    same = F.col(doc_id).eqNullSafe(F.col(key)) & (F.col(row) == F.col(part))
+    kept = keyed.join(chosen, same, "left_semi")
+    repeated = prints.join(chosen, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col("row") == F.col(part)), "left_semi")
+    if not repeated.groupBy("doc_id", "row").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([doc_id, row])
+    return kept.drop(row)

@@ -147,3 +147,17 @@ def test_short_lines(spark):
         5: "ha " * 300,
         6: "",
     }
+
+
+def test_rows_that_share_an_id(spark):
+    """Different texts with no id, or one id, are told apart."""
+    line = "one two three four five six"
+    rows = [(-5, "first\n" + line), (None, "mine alone here\n" + line), (None, "other words stay\nunique words of this row"), (None, "third\nfurther words of the third")]
+    rows += [(7, "seven\n" + line), (7, "eight\nstays where it is")]
+    found = linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = sorted((tuple(r) for r in found.collect()), key=repr)
+    want = [(i, t, 0) for i, t in rows]
+    want[0], want[4] = (-5, "first", 1), (7, "seven", 1)
+    assert got == sorted(want, key=repr)
+    copies = linedup.dedup_lines(spark.createDataFrame([(None, line)] * 3, "doc_id long, text string"))
+    assert sorted(r.n_removed_lines for r in copies.collect()) == [0, 1, 1]

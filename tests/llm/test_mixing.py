@@ -103,3 +103,15 @@ def test_rare_toxic_domain_is_taken_out(spark, leak):
     assert rates[0] < 0.001 and rates[2] > 0.99
     if not leak:
         assert abs(rates[1] * 11 - 88 * 5 / 95) < 0.01
+
+
+def test_rows_that_share_an_id(spark):
+    docs, labels, kinds = corpus(200)
+    alone = [(None if i % 2 else 77_777, *d[1:]) for i, d in enumerate(docs)]
+    df = spark.createDataFrame(docs + alone, SCHEMA)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r.text for r in mixing.mixed_documents(df, table).filter("doc_id is null or doc_id = 77777").collect()}
+    clean = [d[1] for d in docs if kinds[d[0]] == 0]
+    toxic = [d[1] for d in docs if kinds[d[0]] == 2]
+    assert sum(x in kept for x in clean) >= 0.9 * len(clean)
+    assert sum(x in kept for x in toxic) <= 0.1 * len(toxic)

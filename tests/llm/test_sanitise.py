@@ -103,3 +103,13 @@ def test_empty_table_and_repeated_rows(spark):
     twice = spark.createDataFrame([(1, "a@b.cd"), (1, "a@b.cd"), (None, "1.1.1.1")], "doc_id long, text string")
     found = sanitise.span_report(sanitise.find_personal_data(twice.withColumn("base", F.lit(1))))
     assert sorted(r.spans for r in found.collect()) == ["email:0:6", "email:0:6", "ip:0:7"]
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(None, f"Doc {i} filler{i} word says Zanzibarov, reach {'jo@ex.com'} soon number{i} thing{i}") for i in range(6)]
+    rows += [(None if i % 2 else i, f"plain talk about weather and soon says word number {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    done = sanitise.sanitised(sanitise.find_personal_data(df)).collect()
+    assert len(done) == len(rows)
+    assert not [r for r in done if "Zanzibarov" in r.sanitised]
+    assert sum("weather" in r.sanitised for r in done) == 200

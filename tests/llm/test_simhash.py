@@ -155,3 +155,11 @@ def test_one_of_each(spark):
     assert len([r for r in kept if r.doc_id is None]) >= len(alone)
     assert kept[0].component_id == "k"
     assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rng.randrange(900)}" for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (1, b), (2, a), (3, b), (0, c), (2, c), (None, d), (None, d), (None, a), (5, "alone")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((tuple(r) for r in kept), key=repr) == sorted([(1, a), (1, b), (0, c), (None, d), (5, "alone")], key=repr)
