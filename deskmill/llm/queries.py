@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmill.llm import chat, divergence, htmltext, linedup, mixing, packing, quality, sanitise, separators, simhash, spots
+from deskmill.llm import chat, divergence, fptree, htmltext, linedup, mixing, packing, quality, sanitise, separators, simhash, spots
 from deskmill.llm.common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,11 @@ def op10_quality_rules(spark, sf_dir):
     return quality.with_verdict(docs).drop("text", "cleaned")
 
 
+@query
+def op11_ranked_search(spark, sf_dir):
+    return fptree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op13_source_divergence(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -98,4 +103,7 @@ def pipeline(spark, sf_dir):
 
 
 #: SQL counterparts, where SQL can express the query.
-ORACLE: dict[str, str] = {"op13_source_divergence": divergence.ORACLE_SQL}
+ORACLE: dict[str, str] = {
+    "op11_ranked_search": fptree.ORACLE_SQL,
+    "op13_source_divergence": divergence.ORACLE_SQL,
+}
