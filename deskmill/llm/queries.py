@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskmill.llm import chat, divergence, fptree, htmltext, linedup, mixing, packing, quality, sanitise, separators, simhash, spots
+from deskmill.llm import chat, divergence, fptree, htmltext, linedup, mixing, packing, quality, sanitise, separators, simhash, spots, suffixtree
 from deskmill.llm.common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,11 @@ def op11_ranked_search(spark, sf_dir):
     return fptree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op12_lm_scores(spark, sf_dir):
+    return suffixtree.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op13_source_divergence(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
