@@ -50,7 +50,7 @@ from deskmill.llm.common import text_or_empty
 from deskmill.session import durable
 
 # Weights that every task holds, at most.
-HEAD = 1 << 20
+HEAD = 1 << 21
 # Contexts that hold this share of all training symbols spread over several tasks.
 HOT_SHARE = 4096
 SALTS = 64
@@ -194,6 +194,31 @@ class Slots:
         return (bits >> ((keys >> np.uint64(_SLOT_SHIFT)) & np.uint64(63))) & np.uint64(1) == 1
 
 
+class Lookup:
+    """Positions of keys in a sorted array, found through the first position of each lane."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        lanes = np.arange(_LANES + 1, dtype=np.uint64) << np.uint64(_LANE_SHIFT)
+        self.first = np.searchsorted(keys, lanes[:-1]).astype(np.int32)
+        self.last = np.append(self.first[1:], np.int32(len(keys)))
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """The position of each key asked for, or -1."""
+        lane = (asked >> np.uint64(_LANE_SHIFT)).astype(np.int32)
+        at, last = self.first[lane], self.last[lane]
+        out = np.full(len(asked), -1, np.int32)
+        left = np.flatnonzero(at < last)
+        while len(left):
+            here = self.keys[at[left]]
+            hit = here == asked[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[here < asked[left]]
+            at[left] += 1
+            left = left[at[left] < last[left]]
+        return out
+
+
 def slots(keys: DataFrame, key: str) -> Slots:
     """The bitmap of a column of keys, put together by Spark: at most 2^20 rows come back."""
     rows = (
@@ -266,7 +291,7 @@ def vocabulary(docs: DataFrame) -> tuple[int, DataFrame]:
             break
         seed += 1
     ends = _training(docs).agg(F.lit(end).alias("symbol"), F.count("*").alias("n"))
-    return seed, durable(words.select("symbol", "n").unionByName(ends).filter("n > 0"))
+    return seed, words.select("symbol", "n").unionByName(durable(ends)).filter("n > 0")
 
 
 def _extended(df: DataFrame, keys: dict[str, str], symbol: str) -> DataFrame:
@@ -357,34 +382,34 @@ def base_share(n: Column | int, total: int, symbols: int) -> Column:
 
 
 def _level(entries: DataFrame, contexts: DataFrame, lower: DataFrame, growth: Growth) -> tuple[DataFrame, DataFrame]:
-    """``(shares, states)`` of one depth.
+    """``(shares, candidates)`` of one depth: entries and contexts with what they weigh.
 
     ``lower`` gives ``parent, symbol, q``: the shares after the contexts one word shorter, or
     ``symbol, q`` at the first depth.
     """
     on = [c for c in ("parent", "symbol") if c in lower.columns]
-    rows = durable(entries.join(contexts, "context").join(lower, on))
+    if "parent" in on:
+        rows = entries.join(contexts, "context").join(lower, on)
+    else:
+        rows = entries.join(lower, on).join(contexts, "context")
     d = growth.discount
     rest = rows.groupBy("context").agg(
-        F.first("parent").alias("parent"),
         F.count("*").alias("held"),
         F.max("c").alias("c"),
         ((F.max("c") - F.sum("n") + d * F.count("*")) / F.max("c")).alias("rest"),
-        F.sum("q").alias("_q"),
+        F.sum("q").alias("q_seen"),
     )
+    rest = durable(rest)
+    p = (F.col("n") - d) / F.col("c") + F.col("rest") * F.col("q")
     shares = durable(
-        rows.join(rest.select("context", "rest"), "context")
-        .withColumn("p", (F.col("n") - d) / F.col("c") + F.col("rest") * F.col("q"))
-        .select("context", "parent", "symbol", "n", "p", "q", "rest")
-    )
-    apart = shares.groupBy("context").agg(F.sum(F.expr("p * ln(p / q)")).alias("_seen"))
-    states = (
-        rest.join(apart, "context")
-        .withColumn("gain", F.expr("c * (_seen + rest * ln(rest) * greatest(1 - _q, 0))"))
-        .filter(F.col("gain") >= growth.gain * (F.col("held") + 1))
-        .select("context", "parent", "rest", "c")
-    )
-    return shares, durable(states)
+        rows.drop("c").join(rest.select("context", "c", "rest"), "context")
+        .withColumn("p", p)
+        .selectExpr("context", "symbol", "n", "p", "log10(p / q) AS apart", "log10(p / q) - log10(rest) AS extra")
+    )
+    seen = shares.groupBy("context").agg((F.sum(F.expr("p * apart")) * math.log(10)).alias("seen"))
+    pays = "c * (seen + rest * ln(rest) * greatest(1 - q_seen, 0)) >= " + f"{growth.gain!r} * (held + 1)"
+    candidates = rest.join(seen, "context").selectExpr("context", "c", "rest", f"{pays} AS pays")
+    return shares, durable(candidates)
 
 
 @dataclass
@@ -418,25 +443,27 @@ def grow(docs: DataFrame, growth: Growth = Growth()) -> Tree:
     for depth in range(1, growth.depth + 1):
         contexts = durable(contexts)
         entries = durable(_entries(docs, seed, depth, contexts, frequent, total, growth.min_entry))
-        shares, states = _level(entries, contexts, lower, growth)
-        levels.append((shares, states))
+        shares, candidates = _level(entries, contexts, lower, growth)
+        levels.append((shares, candidates.join(contexts.select("context", "parent"), "context")))
         longer = shares.filter((F.col("n") >= growth.min_context) & (F.col("symbol") != end))
-        contexts = _extended(longer.select("context", "parent", "symbol", "n"), {"longer": "context", "shorter": "parent"}, "symbol").select(
+        longer = longer.select("context", "symbol", "n").join(contexts.select("context", "parent"), "context")
+        contexts = _extended(longer, {"longer": "context", "shorter": "parent"}, "symbol").select(
             F.col("longer").alias("context"), F.col("shorter").alias("parent"), F.col("n").alias("c")
         )
         lower = shares.select(F.col("context").alias("parent"), "symbol", F.col("p").alias("q"))
 
     none, parts, needed = F.lit(0.0), [], None
-    for shares, states in reversed(levels):
-        kept = states.select("context")
+    for shares, candidates in reversed(levels):
+        states = candidates.filter("pays")
         if needed is not None:
-            kept = kept.unionByName(needed).distinct()
-        own = durable(shares.join(kept, "context", "left_semi"))
-        heads = own.groupBy("context").agg(F.first("parent").alias("parent"), F.first("rest").alias("rest"), F.sum("n").alias("n"))
-        entry = _extended(own, {"key": "context"}, "symbol")
-        parts.append(entry.select("key", "n", none.alias("base"), F.expr("log10(p / q) - log10(rest)").alias("extra"), none.alias("kind")))
-        parts.append(heads.select(F.col("context").alias("key"), "n", none.alias("base"), F.log10("rest").alias("extra"), none.alias("kind")))
-        needed = heads.filter("parent <> 0").select(F.col("parent").alias("context"))
+            states = states.unionByName(candidates.filter("NOT pays").join(needed, "context", "left_semi"))
+        states = durable(states)
+        entry = _extended(shares.join(states.select("context"), "context", "left_semi"), {"key": "context"}, "symbol")
+        parts.append(entry.select("key", "n", none.alias("base"), "extra", none.alias("kind")))
+        parts.append(
+            states.select(F.col("context").alias("key"), F.col("c").alias("n"), none.alias("base"), F.log10("rest").alias("extra"), none.alias("kind"))
+        )
+        needed = states.select(F.col("parent").alias("context"))
     parts.append(singles.select("key", "n", "base", none.alias("extra"), F.lit(1.0).alias("kind")))
     weights = parts[0]
     for part in parts[1:]:
@@ -465,42 +492,41 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD) -> DataFrame:
     unknown = math.log10(EXTRA / (tree.train_tokens + EXTRA * (tree.train_symbols + 1)))
     weights = tree.weights
     often = F.col("n") >= _threshold(weights, head)
-    table = weights.filter(often).select("key", "kind", "base", "extra").toArrow()  # at most ``head`` rows
+    table = weights.filter(often).select("key", "base", "extra").toArrow()  # at most ``head`` rows
     keys = table.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    columns = [keys[order], *(table.column(c).to_numpy()[order] for c in ("kind", "base", "extra"))]
+    columns = [keys[order], *(table.column(c).to_numpy()[order] for c in ("base", "extra"))]
     rare = weights.filter(~often)
     singles, longer = slots(rare.filter("kind = 1"), "key"), slots(weights.filter("kind = 0 OR extra <> 0"), "key")
     spread = docs.sparkSession.sparkContext.broadcast((columns, singles.lanes, longer.lanes))
     kind = docs.schema["doc_id"].dataType.simpleString()
     seed, depth = tree.seed, tree.depth
-    fields = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known double, base double, extra double, keys array<long>, times array<int>"
+    fields = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known double, base double, extra double, key long, times int"
+    names = [f.strip().split()[0] for f in fields.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(seed)
-        (keys, kinds, bases, extras), single, more = spread.value
-        single, more = Slots(single), Slots(more)
+        (keys, bases, extras), single, more = spread.value
+        lookup, single, more = Lookup(keys), Slots(single), Slots(more)
         next_row = TaskContext.get().partitionId() << 33
         for held, texts in _chunks(batches, 2):
             found, per_text = hasher.symbols(texts)
             n = len(texts)
-            text = np.repeat(np.arange(n), per_text)
+            text = np.repeat(np.arange(n, dtype=np.int32), per_text)
             sums = np.zeros((3, n))
             sums[1] = per_text * unknown
             open_texts, open_keys = [], []
             for size, (key, inside) in enumerate(keys_before(found, per_text, depth + 1), 1):
-                at = np.arange(len(key)) if size == 1 else np.flatnonzero(inside)
-                if size > 1:
-                    at = at[more.has(key[at])]
+                at = np.arange(len(key)) if size == 1 else np.flatnonzero(inside & more.has(key))
                 asked = key[at]
-                where = np.searchsorted(keys, asked)
-                hit = np.zeros(len(asked), bool)
-                inner = where < len(keys)
-                hit[inner] = keys[where[inner]] == asked[inner]
+                where = lookup.find(asked)
+                hit = where >= 0
                 to, which = text[at[hit]], where[hit]
-                for i, column in enumerate((kinds, bases, extras)):
-                    if size == 1 or i == 2:
-                        sums[i] += np.bincount(to, column[which], n)
+                if size == 1:
+                    # only single symbols have a base, and none of theirs is zero
+                    sums[0] += np.bincount(to, bases[which] != 0, n)
+                    sums[1] += np.bincount(to, bases[which], n)
+                sums[2] += np.bincount(to, extras[which], n)
                 missed = at[~hit]
                 if size == 1:
                     missed = missed[single.has(key[missed])]
@@ -513,41 +539,42 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD) -> DataFrame:
             new[1:] = (to[1:] != to[:-1]) | (rest[1:] != rest[:-1])
             starts = np.flatnonzero(new)
             times = np.diff(starts, append=len(to)).astype(np.int32)
-            offsets = pa.array(np.searchsorted(to[starts], np.arange(n + 1)).astype(np.int32))
+            to, rest = to[starts], rest[starts]
+            rows = np.arange(next_row, next_row + n)
             ids, out = (pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(next_row, next_row + n)), ids, out, pa.array(per_text),
-                    *(pa.array(s) for s in sums),
-                    pa.ListArray.from_arrays(offsets, _signed(rest[starts])),
-                    pa.ListArray.from_arrays(offsets, pa.array(times)),
-                ],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "extra", "keys", "times"],
-            )
+            # a row per document, dealt by any key, then one per sequence to be looked up
+            whole = [pa.array(rows), ids, out, pa.array(per_text), *(pa.array(x) for x in sums)]
+            yield pa.RecordBatch.from_arrays([*whole, _signed(_mix(rows.astype(np.uint64))), pa.nulls(n, pa.int32())], names=names)
+            for low in range(0, len(to), 1 << 18):
+                part = slice(low, low + (1 << 18))
+                size = len(to[part])
+                blank = [pa.nulls(size, c.type) for c in whole[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[to[part]]), *blank, _signed(rest[part]), pa.array(times[part])], names=names)
             next_row += n
 
-    scored = durable(docs.select("doc_id", "held_out", "text").mapInArrow(run, fields))
-    open_ = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("e")).select(
-        "row", F.col("e.keys").alias("key"), F.col("e.times").alias("times")
-    )
-    # each key left here is rare in training, so none of them is hot
-    late = (
-        open_.join(rare.select("key", F.col("kind").alias("k"), F.col("base").alias("b"), F.col("extra").alias("x")), "key")
+    # each key looked up here is rare in training, so none of them is hot
+    late = rare.select(F.col("key"), F.col("kind").alias("k"), F.col("base").alias("b"), F.col("extra").alias("x"))
+    scored = (
+        docs.select("doc_id", "held_out", "text").mapInArrow(run, fields)
+        .join(late, "key", "left")
         .groupBy("row")
-        .agg(*(F.sum(F.expr(f"times * {c}")).alias(c) for c in "kbx"))
-    )
-
-    def whole(first: str, then: str) -> Column:
-        return F.col(first) + F.coalesce(F.col(then), F.lit(0.0))
-
-    return scored.join(late, "row", "left").select(
+        .agg(
+            *(F.max(c).alias(c) for c in ("held_out", "n_tokens")),
+            F.max("doc_id").alias("doc_id"),
+            *(
+                (F.max(own) + F.coalesce(F.sum(F.expr(f"times * {then}")), F.lit(0.0))).alias(own)
+                for own, then in (("known", "k"), ("base", "b"), ("extra", "x"))
+            ),
+        )
+    )
+    return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        F.round(whole("known", "k")).cast("long").alias("n_known"),
+        F.round("known").cast("long").alias("n_known"),
         F.lit(tree.train_tokens).cast("long").alias("train_tokens"),
-        whole("base", "b").alias("base_score"),
-        (whole("base", "b") + whole("extra", "x")).alias("score"),
+        F.col("base").alias("base_score"),
+        (F.col("base") + F.col("extra")).alias("score"),
     )
 
 
