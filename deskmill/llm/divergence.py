@@ -19,20 +19,17 @@ running sums over the distinct shares of ``a``. Only shared terms are joined.
 Null text, language and source are the empty string; every row is a document, repeated
 ones too. Groups without terms take part; where a language keeps no term, all values are
 0. Equal values rank by the item's bytes. An empty table gives no rows; columns besides
-the three are not read. Texts of any length are scanned in pieces.
+the three are not read.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from deskmill.session import durable
 
@@ -41,95 +38,107 @@ TOP_TERMS = 50
 
 # Slots of the bitmap of repeated texts: at most 2^20 lanes of 64 bits, however many texts.
 SLOTS = 1 << 26
-# Entries of a task's counters, and characters of a text scanned at a time.
-FLUSH = 400_000
-PIECE = 1 << 20
+# Bytes of text that a task counts at a time.
+CHUNK = 12 << 20
 
 _COUNTS = "lang string, term string, df long, sources array<string>, counts array<long>"
 
 # Bytes that may stand in a term: ASCII letters, and all of any other script.
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_NO_LETTER = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
-
-
-def terms_of(text: bytes) -> Iterator[list[bytes]]:
-    """Terms of a UTF-8 text, one list per piece; a piece ends where no term does."""
-    at = 0
-    while at < len(text):
-        cut = _NO_LETTER.search(text, at + PIECE) if at + PIECE < len(text) else None
-        end = cut.end() if cut else len(text)
-        yield text[at:end].translate(_FOLD).split()
-        at = end
-
-
-class _Counts:
-    """Weighted counts of one task, given out whenever they grow large."""
-
-    def __init__(self) -> None:
-        self.counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
-        self.df: dict[str, Counter] = defaultdict(Counter)
-
-    def add(self, lang: str, sources: list[tuple[str, int]], text: bytes) -> None:
-        times = sum(n for _, n in sources)
-        held: set[bytes] = set()
-        for terms in terms_of(text):
-            held.update(terms)
-            if times == 1:
-                self.counts[lang][sources[0][0]].update(terms)
-                continue
-            tf = Counter(terms)
-            for source, n in sources:
-                mine = self.counts[lang][source]
-                for term, k in tf.items():
-                    mine[term] += n * k
-        df = self.df[lang]
-        if times == 1:
-            df.update(held)
-        else:
-            for term in held:
-                df[term] += times
-
-    def size(self) -> int:
-        return sum(len(c) for per in self.counts.values() for c in per.values())
-
-    def flush(self) -> Iterator[tuple]:
-        for lang, per in self.counts.items():
-            by_term: dict[bytes, tuple[list, list]] = {}
-            for source, counter in per.items():
-                for term, n in counter.items():
-                    names, numbers = by_term.setdefault(term, ([], []))
-                    names.append(source)
-                    numbers.append(n)
-            df = self.df[lang]
-            for term, (names, numbers) in by_term.items():
-                yield lang, term, df[term], names, numbers
-        self.__init__()
+_FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
+
+
+def terms_of(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """``numbers, terms, text``: the number of each term in turn, the distinct terms, and whose it is."""
+    data = _FOLD[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    solid = data != 32
+    edges = np.diff(solid.view(np.int8), prepend=np.int8(0))
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[solid].tobytes())]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+    borders = np.cumsum([len(t) + 1 for t in texts])
+    return coded.indices.to_numpy(), coded.dictionary, np.searchsorted(borders, starts, "right")
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts by ``keys``, the first one foremost, and where new ones start in it."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        ranked = key[order]
+        new[1:] |= ranked[1:] != ranked[:-1]
+    return order, np.flatnonzero(new)
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts) if len(starts) else values
+
+
+def _weighed(langs: list[str], sources: list[list[dict]], texts: list[bytes]) -> pa.RecordBatch | None:
+    """The counts of some texts, a row per language and term."""
+    numbers, terms, text = terms_of(texts)
+    if not len(numbers):
+        return None
+    order, starts = _runs(text, numbers)
+    text, numbers = text[order][starts], numbers[order][starts]
+    tf = np.diff(starts, append=len(order))
+
+    names: dict[str, int] = {}
+    own = np.cumsum([0, *map(len, sources)])
+    source = np.array([names.setdefault(s["source"], len(names)) for per in sources for s in per], np.int32)
+    times = np.array([s["n"] for per in sources for s in per], np.int64)
+    tongues: dict[str, int] = {}
+    lang = np.array([tongues.setdefault(x, len(tongues)) for x in langs], np.int32)
+
+    # every count once per source of its text
+    per = np.diff(own)[text]
+    back = np.repeat(np.arange(len(text)), per)
+    which = own[text][back] + np.arange(len(back)) - np.repeat(np.cumsum(per) - per, per)
+    of = (lang[text][back], numbers[back], source[which])
+    order, starts = _runs(*of)
+    of = [key[order][starts] for key in of]
+    counts = _sums((tf[back] * times[which])[order], starts)
+    df = _sums(times[which][order], starts)
+    new = np.ones(len(starts), bool)
+    new[1:] = (of[0][1:] != of[0][:-1]) | (of[1][1:] != of[1][:-1])
+    rows = np.flatnonzero(new)
+    offsets = pa.array(np.append(rows, len(starts)).astype(np.int32))
+
+    def named(labels: dict[str, int], at: np.ndarray) -> pa.Array:
+        return pa.array(list(labels), pa.string()).take(pa.array(at))
+
+    return pa.RecordBatch.from_arrays(
+        [
+            named(tongues, of[0][rows]),
+            terms.take(pa.array(of[1][rows])).cast(pa.binary()).cast(pa.string()),
+            pa.array(_sums(df, rows)),
+            pa.ListArray.from_arrays(offsets, named(names, of[2])),
+            pa.ListArray.from_arrays(offsets, pa.array(counts)),
+        ],
+        names=["lang", "term", "df", "sources", "counts"],
+    )
 
 
 def _counted(texts: DataFrame) -> DataFrame:
-    """Partial counts of ``(lang, sources, text)`` rows, one row per term and flush."""
-    schema = to_arrow_schema(StructType.fromDDL(_COUNTS))
-
-    def batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        held = list(rows)
-        for at in range(0, len(held), 50_000):
-            columns = zip(*held[at : at + 50_000])
-            arrays = [
-                pa.array(c, pa.binary()).cast(pa.string()) if f.name == "term" else pa.array(c, f.type)
-                for c, f in zip(columns, schema)
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = _Counts()
-        for part in parts:
-            langs, lists = part.column(0).to_pylist(), part.column(1).to_pylist()
-            texts = part.column(2).cast(pa.binary())
-            for i, (lang, sources) in enumerate(zip(langs, lists)):
-                task.add(lang, [(s["source"], s["n"]) for s in sources], texts[i].as_py())
-                if i % 100 == 99 and task.size() > FLUSH:
-                    yield from batches(task.flush())
-        yield from batches(task.flush())
+    """Partial counts of ``(lang, sources, text)`` rows, one row per term and chunk of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, sources, bodies, size = [], [], [], 0
+        for batch in batches:
+            langs += batch.column(0).to_pylist()
+            sources += batch.column(1).to_pylist()
+            found = batch.column(2).cast(pa.binary()).to_pylist()
+            bodies += found
+            size += sum(map(len, found))
+            if size > CHUNK:
+                counted = _weighed(langs, sources, bodies)
+                langs, sources, bodies, size = [], [], [], 0
+                if counted:
+                    yield counted
+        counted = _weighed(langs, sources, bodies)
+        if counted:
+            yield counted
 
     return texts.select("lang", "sources", "text").mapInArrow(run, _COUNTS)
 

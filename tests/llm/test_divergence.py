@@ -39,11 +39,10 @@ def found(df, **options):
     return sorted((r.lang, r.source, r.part, r.item, r.value, r["rank"]) for r in rows)
 
 
-@pytest.mark.parametrize("flush", [400_000, 50])
-def test_equals_sql(spark, monkeypatch, flush):
-    monkeypatch.setattr(divergence, "FLUSH", flush)
-    monkeypatch.setattr(divergence, "PIECE", 1000)
-    rows = rows_of(flush)
+@pytest.mark.parametrize("chunk", [12 << 20, 300])
+def test_equals_sql(spark, monkeypatch, chunk):
+    monkeypatch.setattr(divergence, "CHUNK", chunk)
+    rows = rows_of(chunk)
     df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(4)
     want = by_sql(rows)
     assert {r[2] for r in want} == {"pair", "term"} and any(r[5] == 1 and r[4] > 0 for r in want)
