@@ -50,7 +50,7 @@ from deskmill.llm.common import text_or_empty
 from deskmill.session import durable
 
 # Weights that every task holds, at most.
-HEAD = 1 << 21
+HEAD = 1 << 20
 # Contexts that hold this share of all training symbols spread over several tasks.
 HOT_SHARE = 4096
 SALTS = 64
@@ -393,23 +393,20 @@ def _level(entries: DataFrame, contexts: DataFrame, lower: DataFrame, growth: Gr
     else:
         rows = entries.join(lower, on).join(contexts, "context")
     d = growth.discount
-    rest = rows.groupBy("context").agg(
-        F.count("*").alias("held"),
+    rest = rows.groupBy("context").agg(((F.max("c") - F.sum("n") + d * F.count("*")) / F.max("c")).alias("rest"))
+    # sorted by context as written, so what belongs to a context takes next to no room
+    shares = durable(
+        rows.join(rest, "context")
+        .withColumn("p", (F.col("n") - d) / F.col("c") + F.col("rest") * F.col("q"))
+        .selectExpr("context", "c", "rest", "symbol", "n", "p", "q")
+    )
+    seen = shares.groupBy("context").agg(
         F.max("c").alias("c"),
-        ((F.max("c") - F.sum("n") + d * F.count("*")) / F.max("c")).alias("rest"),
-        F.sum("q").alias("q_seen"),
+        F.max("rest").alias("rest"),
+        F.count("*").alias("held"),
+        F.expr("sum(p * ln(p / q)) + max(rest * ln(rest)) * greatest(1 - sum(q), 0)").alias("apart"),
     )
-    rest = durable(rest)
-    p = (F.col("n") - d) / F.col("c") + F.col("rest") * F.col("q")
-    shares = durable(
-        rows.drop("c").join(rest.select("context", "c", "rest"), "context")
-        .withColumn("p", p)
-        .selectExpr("context", "symbol", "n", "p", "log10(p / q) AS apart", "log10(p / q) - log10(rest) AS extra")
-    )
-    seen = shares.groupBy("context").agg((F.sum(F.expr("p * apart")) * math.log(10)).alias("seen"))
-    pays = "c * (seen + rest * ln(rest) * greatest(1 - q_seen, 0)) >= " + f"{growth.gain!r} * (held + 1)"
-    candidates = rest.join(seen, "context").selectExpr("context", "c", "rest", f"{pays} AS pays")
-    return shares, durable(candidates)
+    return shares, durable(seen.selectExpr("context", "c", "rest", f"c * apart >= {growth.gain!r} * (held + 1) AS pays"))
 
 
 @dataclass
@@ -459,7 +456,7 @@ def grow(docs: DataFrame, growth: Growth = Growth()) -> Tree:
             states = states.unionByName(candidates.filter("NOT pays").join(needed, "context", "left_semi"))
         states = durable(states)
         entry = _extended(shares.join(states.select("context"), "context", "left_semi"), {"key": "context"}, "symbol")
-        parts.append(entry.select("key", "n", none.alias("base"), "extra", none.alias("kind")))
+        parts.append(entry.select("key", "n", none.alias("base"), F.expr("log10(p / q) - log10(rest)").alias("extra"), none.alias("kind")))
         parts.append(
             states.select(F.col("context").alias("key"), F.col("c").alias("n"), none.alias("base"), F.log10("rest").alias("extra"), none.alias("kind"))
         )
