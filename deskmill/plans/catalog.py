@@ -347,9 +347,13 @@ def model_infer_fallback(spark, sf_dir):
 
 
 def _local_model() -> Callable[[str], str]:
-    """Stands in for the local model of whole turns."""
+    """Stands in for the local model of whole turns; some of its answers follow from the turn before."""
 
     def answer(prompt: str) -> str:
+        after_task = prompt.startswith("Previous intent: {'intent': 'create_task'")
+        after_booking = prompt.startswith("Previous intent: {'intent': 'book_appointment'")
+        if 'Request: "Hello' in prompt and after_task:
+            return '{"intent": "create_task", "title": "More"}'
         if 'Request: "Hello' in prompt or 'Request: "Add' in prompt:
             raise RuntimeError("no answer")
         if 'Request: "Are you FREE' in prompt:
@@ -357,7 +361,7 @@ def _local_model() -> Callable[[str], str]:
         if 'Request: "Schedule' in prompt:
             return '{"intent": "book_appointment", "datetime": "2024-02-15T10:00:00", "title": "Call"}'
         if 'Request: "Please make' in prompt:
-            return '{"intent": "create_task", "title": "Noted"}'
+            return '{"intent": "create_task", "title": "%s"}' % ("Follow-up" if after_booking else "Noted")
         return "Sorry, say again"
 
     return answer

@@ -500,35 +500,52 @@ ORACLE = {
         turns=f"""SELECT event_id AS request_id, user_id, ts, event_type,
             CASE WHEN event_id % 11 <> 0 THEN user_id::VARCHAR END AS session_id,
             event_type = 'signup' AND event_id % 2 = 0
-                AND coalesce({_consent('event_id')}, false) AS escalated
+                AND coalesce({_consent('event_id')}, false) AS escalated,
+            CASE WHEN event_id % 11 <> 0 THEN user_id::VARCHAR ELSE '/' || event_id END AS k,
+            row_number() OVER (PARTITION BY k ORDER BY ts, event_id) AS turn
             FROM events""",
+        # turn by turn: the intent, and the title where it depends on the intent before
+        meant="""SELECT request_id, k, turn,
+                CASE event_type WHEN 'click' THEN 'check_availability' WHEN 'purchase'
+                    THEN 'book_appointment' WHEN 'signup' THEN 'create_task' ELSE 'unknown' END AS intent,
+                CASE WHEN escalated THEN 'Noted' END AS title
+            FROM turns WHERE turn = 1
+            UNION ALL
+            SELECT t.request_id, t.k, t.turn,
+                CASE event_type WHEN 'click' THEN 'check_availability' WHEN 'purchase'
+                    THEN 'book_appointment' WHEN 'signup' THEN 'create_task'
+                    WHEN 'error' THEN CASE m.intent WHEN 'create_task' THEN 'create_task' ELSE 'unknown' END
+                    ELSE 'unknown' END,
+                CASE WHEN escalated THEN CASE m.intent WHEN 'book_appointment' THEN 'Follow-up' ELSE 'Noted' END
+                    WHEN event_type = 'error' AND m.intent = 'create_task' THEN 'More' END
+            FROM meant m JOIN turns t ON t.k = m.k AND t.turn = m.turn + 1""",
         booked="""SELECT request_id FROM turns WHERE event_type = 'purchase'
             QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, request_id) = 1""",
         noted="""SELECT request_id, (SELECT max(task_id) FROM tasks)
-            + row_number() OVER (ORDER BY ts, request_id) AS task_id FROM turns WHERE escalated""",
-        answered="""SELECT t.request_id, session_id, ts,
-            CASE event_type WHEN 'click' THEN 'check_availability' WHEN 'purchase'
-                THEN 'book_appointment' WHEN 'signup' THEN 'create_task' ELSE 'unknown' END AS intent,
-            CASE WHEN event_type = 'error' THEN 0.3 WHEN event_type = 'signup' AND NOT escalated
-                THEN 0.5 ELSE 0.8 END::DOUBLE AS confidence,
+            + row_number() OVER (ORDER BY ts, request_id) AS task_id
+            FROM turns JOIN meant USING (request_id) WHERE title IS NOT NULL""",
+        answered="""SELECT t.request_id, session_id, ts, m.intent,
+            CASE WHEN event_type = 'error' AND title IS NULL THEN 0.3
+                WHEN event_type = 'signup' AND NOT escalated THEN 0.5 ELSE 0.8 END::DOUBLE AS confidence,
             CASE WHEN escalated THEN 'cloud' END AS source,
-            CASE event_type WHEN 'click' THEN 'I need a date and time to check availability.'
-                WHEN 'purchase' THEN CASE WHEN b.request_id IS NULL THEN 'Slot not available'
+            CASE m.intent WHEN 'check_availability' THEN 'I need a date and time to check availability.'
+                WHEN 'book_appointment' THEN CASE WHEN b.request_id IS NULL THEN 'Slot not available'
                     ELSE 'Booked for February 15 at 10:00 AM' END
-                WHEN 'signup' THEN CASE WHEN escalated THEN 'Task created with ID ' || task_id || '.'
+                WHEN 'create_task' THEN CASE WHEN title IS NOT NULL THEN 'Task created with ID ' || task_id || '.'
                     ELSE 'I didn''t get all the details. Please provide more information.' END
                 ELSE 'I''m not sure how to help with that. Can you rephrase?' END AS response,
-            CASE event_type
-                WHEN 'click' THEN '{"intent":"check_availability","title":"Call","confidence":"0.8"}'
-                WHEN 'purchase' THEN '{"intent":"book_appointment","datetime":"2024-02-15T10:00:00",'
-                    || '"title":"Call","confidence":"0.8"}'
-                WHEN 'view' THEN '{"intent":"unknown","text":"Sorry, say again","confidence":"0.8"}'
-                WHEN 'error' THEN '{''intent'': ''unknown'', ''confidence'': 0.3}'
-                ELSE CASE WHEN escalated
-                    THEN '{"intent":"create_task","title":"Noted","confidence":"0.8"}'
-                    ELSE '{''intent'': ''create_task'', ''confidence'': 0.5}' END END AS record
-            FROM turns t LEFT JOIN booked b ON b.request_id = t.request_id
-            LEFT JOIN noted n ON n.request_id = t.request_id""",
+            CASE WHEN title IS NOT NULL THEN '{''intent'': ''create_task'', ''title'': ''' || title
+                    || ''', ''confidence'': 0.8' || CASE WHEN escalated THEN ', ''source'': ''cloud''' ELSE '' END || '}'
+                WHEN event_type = 'click'
+                    THEN '{''intent'': ''check_availability'', ''title'': ''Call'', ''confidence'': 0.8}'
+                WHEN event_type = 'purchase' THEN '{''intent'': ''book_appointment'', '
+                    || '''datetime'': ''2024-02-15T10:00:00'', ''title'': ''Call'', ''confidence'': 0.8}'
+                WHEN event_type = 'view'
+                    THEN '{''intent'': ''unknown'', ''text'': ''Sorry, say again'', ''confidence'': 0.8}'
+                WHEN event_type = 'error' THEN '{''intent'': ''unknown'', ''confidence'': 0.3}'
+                ELSE '{''intent'': ''create_task'', ''confidence'': 0.5}' END AS record
+            FROM turns t JOIN meant m USING (request_id) LEFT JOIN booked b USING (request_id)
+            LEFT JOIN noted n USING (request_id)""",
     ),
     "validate_booking_requests": _sql(
         """SELECT form_id, payload->>'$.title' AS title,
