@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskmill.functions.times import DAY_US
+from deskmill.operators.ids import in_ranges
 
 # Spans up to 32 days meet in day cells; longer ones, and whatever meets them, in
 # cells of 1,024 days. A coarse cell carries its channel as last micro: 1 for a long
@@ -97,38 +98,33 @@ def label_islands(df: DataFrame, key: str, low: str, high: str, out: str = "isla
     """Label the groups of spans that hang together by overlap, per key.
 
     ``low < high`` is required; touching spans stay apart. The label is the first
-    ``low`` of the group. Spans should be distinct: a key is scanned day by day,
-    with what reaches in from earlier days, so a task holds the distinct spans of
-    one key and day at most. ``df`` is read three times, so it should be a table.
+    ``low`` of the group. A prefix maximum, segmented by key: the spans are cut into
+    written ranges of key, start and end, each range finds its running maximum of ends,
+    and one row per key and range carries the maximum of all ranges before. The same goes
+    for the starts that open a group. So a task's share is a range, however many spans one
+    key has on one day; only equal spans cannot part, and need not be here more than once.
     """
-    days = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy(key, "_day").orderBy(low)
-    earlier = within.rangeBetween(Window.unboundedPreceding, -1)
-
-    spans = df.withColumn("_day", F.expr(_floor(low, DAY_US)))
-    reach_in = (
-        spans.groupBy(key, "_day")
-        .agg(F.max(high).alias("_reach"))
-        .select(key, "_day", F.max("_reach").over(days).alias("_reach_in"))
-    )
+    ranged = in_ranges(df, [key, low, high])
+    # one task per range: by hash, some tasks would get several
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = ranged.repartitionById(tasks, "_range")
+    within = Window.partitionBy(key, "_range").orderBy(low, high)
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    carried = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+
+    def brought_in(rows: DataFrame, column: str, into: str) -> DataFrame:
+        """The greatest ``column`` of the key in all earlier ranges: one row per key and range."""
+        each = rows.groupBy(key, "_range").agg(F.max(column).alias(into))
+        return each.select(key, "_range", F.max(into).over(carried).alias(into))
+
     opened = (
-        spans.join(reach_in, [key, "_day"])
-        .withColumn("_before", F.max(high).over(earlier))
-        .withColumn(
-            "_opens",
-            F.expr(
-                f"CASE WHEN coalesce({low} >= greatest(_before, _reach_in), true) THEN {low} END"
-            ),
-        )
-    )
-    open_in = (
-        opened.groupBy(key, "_day")
-        .agg(F.max("_opens").alias("_open"))
-        .select(key, "_day", F.max("_open").over(days).alias("_open_in"))
+        ranged.withColumn("_before", F.max(high).over(before))
+        .join(brought_in(ranged, high, "_reach_in"), [key, "_range"])
+        .withColumn("_opens", F.expr(f"CASE WHEN coalesce({low} >= greatest(_before, _reach_in), true) THEN {low} END"))
     )
     return (
-        opened.withColumn("_own", F.max("_opens").over(within))
-        .join(open_in, [key, "_day"])
+        opened.withColumn("_own", F.max("_opens").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+        .join(brought_in(opened, "_opens", "_open_in"), [key, "_range"])
         .withColumn(out, F.coalesce("_own", "_open_in"))
-        .drop("_day", "_reach_in", "_before", "_opens", "_own", "_open_in")
+        .drop("_range", "_before", "_reach_in", "_opens", "_own", "_open_in")
     )

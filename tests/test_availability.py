@@ -174,3 +174,22 @@ def test_islands(spark):
         (1, 0): 0, (1, 5): 0, (1, 20): 20, (1, 40): 40, (1, 2 * day): 40,
         (1, 3 * day): 3 * day, (2, 7): 7,
     }
+
+
+def test_islands_of_one_hot_day(spark):
+    """One key whose spans all start on one day, many of them at one instant, over several ranges."""
+    rnd = random.Random(4)
+    spans = set()
+    for _ in range(3000):
+        low = rnd.choice([0, 500, rnd.randrange(200_000), rnd.randrange(200_000)])
+        spans.add((1, low, low + rnd.choice([1, 3, 40, 300])))
+    spans |= {(2, 5, 9), (2, 9, 10)}
+    df = spark.createDataFrame(sorted(spans), "k int, lo long, hi long").repartition(3)
+    found = {(r.k, r.lo, r.hi): r.island for r in label_islands(df, "k", "lo", "hi").collect()}
+    label, reach, key = None, None, None
+    for k, lo, hi in sorted(spans):
+        if k != key or lo >= reach:
+            key, label, reach = k, lo, hi
+        reach = max(reach, hi)
+        assert found[k, lo, hi] == label
+    assert len(found) == len(spans)
