@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import bisect
+import logging
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskmill.functions.times import SLOT_END, booking_message
@@ -29,11 +30,15 @@ INCOMPLETE = "No calendar or time given"
 
 MINUTE_US = 60_000_000
 
-# Islands up to this many slots are folded by a built-in expression, larger ones in
-# a Python worker, at most BATCH_SLOTS of them at a time.
+# Islands up to this many slots are folded by a built-in expression. Larger ones are settled
+# in parallel rounds while a round settles this share of the open slots; what is left of them
+# goes to a Python worker, at most BATCH_SLOTS of an island at a time.
 FOLD_SLOTS = 200
+LEAST_SHARE = 0.3
 BATCH_SLOTS = 200_000
 
+log = logging.getLogger(__name__)
+
 _SLOT = "calendar_id bigint, _start bigint, _end bigint, arrival timestamp, request_id bigint"
 
 
@@ -171,19 +176,116 @@ def _earliest(slots: DataFrame, batch_slots: int) -> tuple[DataFrame, DataFrame]
     )
 
 
-def admit(slots: DataFrame, fold_slots: int = FOLD_SLOTS, batch_slots: int = BATCH_SLOTS) -> DataFrame:
+def _reach(slots: DataFrame, top: Column) -> DataFrame:
+    """Slots once per dyadic cell of their hull: ``_level, _cell, _whole``.
+
+    A cell of level ``j`` is a run of ``2^j`` minutes. A hull is made up of the largest cells
+    that lie in it (``_whole``), at most two per level; above them are the cells it fills in
+    part, at most two per level again, up to the level ``top`` that no hull fills.
+    """
+    odd = "CASE WHEN _end <= _start THEN 1 ELSE 0 END"
+    hulls = slots.selectExpr(
+        "*",
+        f"least(_start, _end) div {MINUTE_US}L - {odd} AS _lo",
+        f"-((-greatest(_start, _end)) div {MINUTE_US}L) + {odd} AS _hi",
+    ).withColumn("_top", top)
+    parts = """flatten(transform(sequence(0, _top), j -> filter(array(
+        named_struct('l', j, 'c', -shiftright(-_lo, j), 'w', true),
+        named_struct('l', j, 'c', shiftright(_hi, j) - 1, 'w', true),
+        named_struct('l', j, 'c', shiftright(_lo, j), 'w', false),
+        named_struct('l', j, 'c', shiftright(_hi - 1, j), 'w', false)), x -> CASE
+            WHEN x.w THEN shiftleft(x.c, j) >= _lo AND shiftleft(x.c + 1, j) <= _hi
+                AND (j = _top OR shiftleft(shiftright(x.c, 1), j + 1) < _lo
+                    OR shiftleft(shiftright(x.c, 1) + 1, j + 1) > _hi)
+            ELSE shiftleft(x.c, j) < _lo OR shiftleft(x.c + 1, j) > _hi END)))"""
+    cells = hulls.select("calendar_id", "request_id", "arrival", F.explode(F.array_distinct(F.expr(parts))).alias("_x"))
+    return cells.select(
+        "calendar_id",
+        F.col("_x.l").alias("_level"),
+        F.col("_x.c").alias("_cell"),
+        F.col("_x.w").alias("_whole"),
+        F.struct("arrival", "request_id").alias("_rank"),
+    )
+
+
+def _first_in_reach(slots: DataFrame) -> DataFrame:
+    """``request_id`` of the slots that come before every other slot whose hull meets theirs.
+
+    Two hulls meet where a whole cell of one lies in, or holds, a whole cell of the other. So
+    per cell the earliest slot that fills it wholly and the earliest that reaches into it, both
+    found with partial aggregates, are all a slot needs to see: no pairs are formed, however
+    many slots share a minute.
+    """
+    longest = slots.selectExpr(f"max(abs(_end - _start)) div {MINUTE_US}L + 3 AS n").first().n or 1
+    cells = _reach(slots, F.lit(int(longest).bit_length()))
+    earliest = cells.groupBy("calendar_id", "_level", "_cell").agg(
+        F.min("_rank").alias("_reaching"), F.min(F.when(F.col("_whole"), F.col("_rank"))).alias("_filling")
+    )
+    seen = cells.join(earliest, ["calendar_id", "_level", "_cell"]).withColumn(
+        "_least", F.when(F.col("_whole"), F.col("_reaching")).otherwise(F.col("_filling"))
+    )
+    # nulls, of cells that nothing fills, do not count
+    return (
+        seen.groupBy("_rank")
+        .agg(F.min("_least").alias("_least"))
+        .filter("_least = _rank")
+        .select(F.col("_rank.request_id").alias("request_id"))
+    )
+
+
+def _settle(slots: DataFrame, columns: list[str], least_share: float) -> tuple[DataFrame | None, DataFrame]:
+    """``(winners, still open)`` after rounds of parallel admission over all slots at once.
+
+    A round admits each slot that is earlier than all open slots it could meet, and drops what
+    the admitted ones beat. In chance order a few rounds settle nearly all; where arrivals
+    follow the calendar, each slot waits for the one before it, and a round settles little.
+    So rounds go on only while each settles at least ``least_share`` of what was open.
+    """
+    won: DataFrame | None = None
+    open_, left = slots, slots.count()
+    while left:
+        first = durable(open_.join(_first_in_reach(open_), "request_id", "left_semi").select(*columns))
+        taken = first.selectExpr("calendar_id AS _w_cal", "_start AS _w_start", "_end AS _w_end")
+        others = open_.join(first.select("request_id"), "request_id", "left_anti")
+        beaten = overlap_join(
+            others,
+            taken,
+            ("calendar_id", "_w_cal"),
+            ("_start", "_end"),
+            ("_w_start", "_w_end"),
+            conflicts("_start", "_end", "_w_start", "_w_end"),
+            "left_semi",
+        )
+        open_ = durable(others.join(beaten.select("request_id"), "request_id", "left_anti").select(*columns))
+        won = first if won is None else won.unionByName(first)
+        before, left = left, open_.count()
+        log.info("admission round: %d of %d slots settled", before - left, before)
+        if before - left < least_share * before:
+            break
+    return won, open_
+
+
+def admit(
+    slots: DataFrame,
+    fold_slots: int = FOLD_SLOTS,
+    batch_slots: int = BATCH_SLOTS,
+    least_share: float = LEAST_SHARE,
+) -> DataFrame:
     """The slots that win when each calendar is served in arrival order.
 
-    Slots of different islands never meet, so islands are served side by side. An
-    island above ``batch_slots`` takes its earliest ones first; what collides with
-    the winners drops out, and the rest, now in smaller islands, takes the next
-    round. Every round settles some slots of each such island, typically nearly
-    all, and nothing is left over at the end.
+    Slots of different islands never meet, so islands are served side by side. Islands of up
+    to ``fold_slots`` are folded in the JVM. Larger ones are settled in parallel rounds over
+    all their slots (:func:`_settle`), which leaves smaller islands. Where that gains too
+    little, because the slots wait for one another in a chain, an island takes about its
+    earliest ``batch_slots`` in one task; what collides with the winners drops out, and the
+    rest goes on to the next round. Every round settles some slots of each large island, and
+    nothing is left over at the end.
     """
     columns = ["calendar_id", "_start", "_end", "arrival", "request_id"]
     group = ["calendar_id", "island"]
     winners: DataFrame | None = None
     pending = durable(slots)
+    parallel = True
     while True:
         pending = durable(_in_islands(pending).select(*columns, "island"))
         sizes = pending.groupBy(*group).agg(F.count("*").alias("_slots"))
@@ -194,16 +296,23 @@ def admit(slots: DataFrame, fold_slots: int = FOLD_SLOTS, batch_slots: int = BAT
         else:
             big = sizes.filter(F.col("_slots") > fold_slots).select(*group)
             head = pending.join(big, group, "left_semi")
-            if largest > batch_slots:
-                head, waiting = _earliest(head, batch_slots)
-            won = _fold(pending.join(big, group, "left_anti")).unionByName(
-                head.groupBy(*group).applyInPandas(_admit, _SLOT)
-            )
+            small = _fold(pending.join(big, group, "left_anti"))
+            if parallel:
+                first, waiting = _settle(durable(head.select(*columns)), columns, least_share)
+                won, parallel = small.unionByName(first), False
+            else:
+                if largest > batch_slots:
+                    head, waiting = _earliest(head, batch_slots)
+                won = small.unionByName(head.groupBy(*group).applyInPandas(_admit, _SLOT))
         if waiting is not None:
             won = durable(won)
         winners = won if winners is None else winners.unionByName(won)
         if waiting is None:
             return winners
+        if "island" not in waiting.columns:  # rounds have dropped what their winners beat
+            pending = waiting
+            continue
+        parallel = True
         taken = won.selectExpr("calendar_id AS _w_cal", "_start AS _w_start", "_end AS _w_end")
         beaten = overlap_join(
             waiting,

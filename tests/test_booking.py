@@ -56,8 +56,11 @@ def test_matches_the_loop(spark, seed):
         assert row.success == (row.appointment_id is not None)
 
 
-@pytest.mark.parametrize("fold, batch", [(200, 200_000), (1, 200_000), (1, 7), (3, 20)])
-def test_large_islands_take_rounds_and_agree(spark, fold, batch):
+@pytest.mark.parametrize(
+    "fold, batch, share",
+    [(200, 200_000, 0.3), (1, 200_000, 0.3), (1, 200_000, 0), (1, 7, 1.1), (3, 20, 1.1), (3, 20, 0.5)],
+)
+def test_large_islands_take_rounds_and_agree(spark, fold, batch, share):
     """One hot calendar whose slots all hang together, settled in every way."""
     rnd = random.Random(9)
     requests = [
@@ -67,7 +70,7 @@ def test_large_islands_take_rounds_and_agree(spark, fold, batch):
     ]
     df = spark.createDataFrame(requests, TITLED)
     none = spark.createDataFrame([], APPOINTMENT)
-    won = admit(_open_slots(df, none), fold, batch)
+    won = admit(_open_slots(df, none), fold, batch, share)
     expected = {rid for rid, (aid, _) in loop(requests, []).items() if aid is not None}
     assert {r.request_id for r in won.collect()} == expected
 
