@@ -8,12 +8,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deskmill.functions.times import DAY_US
 from deskmill.operators.availability import wished_span
 from deskmill.operators.booking import accept, appointment_rows, outcomes
+from deskmill.operators.intervals import LONG_US
 from deskmill.schemas import APPOINTMENTS
 from deskmill.session import durable, fresh_dir
 
-_STORED = T.StructType([*APPOINTMENTS.fields, T.StructField("batch", T.LongType())])
+# Booked rows lie in one folder per day of their start and bucket of calendars; those
+# longer than 32 days lie in a folder of their own, which every batch reads.
+BUCKETS = 16
+LONG_DAY = -10_000_000
+
+_FOLDERS = ("day", "bucket", "batch")
+_STORED = T.StructType([*APPOINTMENTS.fields, *(T.StructField(n, T.LongType()) for n in _FOLDERS)])
+_STATE = "highest bigint, longest bigint"
+
+_BUCKET = f"pmod(xxhash64(calendar_id), {BUCKETS}L)"
+
+
+def _day(micros: str) -> str:
+    return f"(({micros} - pmod({micros}, {DAY_US}L)) div {DAY_US}L)"
+
+
+def _low_high(start: str, end: str) -> list[str]:
+    return [f"least({start}, {end}) AS _low", f"greatest({start}, {end}) AS _high"]
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``, with one listing and no look inside them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
+
+
+def _asked_days(requests: DataFrame, longest: int) -> tuple[set[int], list[tuple[int, int]]]:
+    """Days whose bookings can reach into the wished slots, and runs of such days.
+
+    ``longest`` is the length of the longest booking outside the folder of long ones. Wishes
+    of ordinary length give single days, at most as many as the calendar has; longer ones
+    are taken together as one run.
+    """
+    spans = requests.selectExpr("start", *wished_span(requests)).filter("_start IS NOT NULL AND _end IS NOT NULL")
+    spans = spans.selectExpr(*_low_high("_start", "_end")).selectExpr(
+        f"{_day(f'(_low - {longest}L)')} AS first", f"{_day('_high')} AS last", f"_high - _low > {LONG_US}L AS wide"
+    )
+    days = spans.filter("NOT wide").selectExpr("explode(sequence(first, last)) AS day").distinct()
+    run = spans.filter("wide").agg(F.min("first").alias("first"), F.max("last").alias("last")).first()
+    return {r.day for r in days.collect()}, [] if run.first is None else [(run.first, run.last)]
+
+
+def near_bookings(spark: SparkSession, booked_path: str, requests: DataFrame, batch: int, longest: int) -> DataFrame:
+    """Bookings of earlier micro-batches that can reach into the slots of ``requests``.
+
+    Only the folders of the days asked about are opened, and in them only the buckets of
+    the calendars asked about, so what a batch reads does not grow with the history.
+    """
+    days, runs = _asked_days(requests, longest)
+    there = {int(n[4:]): n for n in _folders(spark, booked_path) if n.startswith("day=")}
+    opened = [
+        f"{booked_path}/{name}"
+        for day, name in there.items()
+        if day == LONG_DAY or day in days or any(low <= day <= high for low, high in runs)
+    ]
+    if not opened:
+        return spark.createDataFrame([], _STORED)
+    buckets = [r.b for r in requests.selectExpr(f"{_BUCKET} AS b").distinct().collect()]
+    stored = spark.read.schema(_STORED).option("basePath", booked_path).parquet(*opened)
+    return stored.filter((F.col("batch") < batch) & F.col("bucket").isin(buckets))
 
 
 def _near(appointments: DataFrame, requests: DataFrame) -> DataFrame:
@@ -30,39 +92,67 @@ def _near(appointments: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def _state(spark: SparkSession, path: str, batch: int) -> tuple[int, int]:
+    """Highest id and longest booking after the micro-batch before ``batch``."""
+    row = None
+    names = _folders(spark, path)
+    known = [int(n[6:]) for n in names if n.startswith("batch=") and int(n[6:]) < batch]
+    if known:
+        row = spark.read.schema(_STATE).parquet(f"{path}/batch={max(known)}").first()
+    return (row.highest, row.longest) if row else (0, 0)
+
+
 def booking_sink(
-    spark: SparkSession, standing: DataFrame, booked_path: str, outcomes_path: str
+    spark: SparkSession, standing: DataFrame, booked_path: str, outcomes_path: str, state_path: str | None = None
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that books one micro-batch after the other.
 
     The calendar is ``standing`` plus what earlier micro-batches wrote under
-    ``booked_path``: the table itself is the state, so nothing is kept per
-    calendar in memory and a busy calendar is spread as in a batch job. Each
-    micro-batch owns one folder and overwrites it, so a replay after a failure
-    leaves no duplicates.
+    ``booked_path``, by day and bucket of calendars: the table itself is the state, so
+    nothing is kept per calendar in memory and a busy calendar is spread as in a batch job.
+    A micro-batch opens the folders it asks about. The highest id and the length of the
+    longest booking are one row per micro-batch under ``state_path`` (by default beside the
+    bookings). Each micro-batch owns its folders and overwrites them, so a replay after a
+    failure leaves no duplicates.
     """
-
-    spark.createDataFrame([], _STORED).drop("batch").write.mode("overwrite").parquet(
-        f"{booked_path}/batch=-1"
+    state_path = state_path or f"{booked_path.rstrip('/')}-state"
+    spark.createDataFrame([], APPOINTMENTS).write.mode("overwrite").parquet(
+        f"{booked_path}/day={LONG_DAY}/bucket=0/batch=-1"
     )
+    # the standing table is no history of the stream: one look per start
+    highest_standing = standing.agg(F.max("id")).first()[0] or 0
 
     def take(requests: DataFrame, batch: int) -> None:
-        # also read by the min/max pass below, so not from the source twice
+        # also read by the passes that look for days, so not from the source twice
         requests = durable(requests)
-        earlier = (
-            spark.read.schema(_STORED)
-            .parquet(booked_path)
-            .filter(F.col("batch") < batch)
-            .drop("batch")
-        )
+        highest, longest = _state(spark, state_path, batch)
+        highest = max(highest, highest_standing)
+        earlier = near_bookings(spark, booked_path, requests, batch, longest)
         columns = ["id", "calendar_id", "title", "start", "end", "status"]
-        calendar = standing.select(*columns).unionByName(earlier.select(*columns))
-        near = _near(calendar, requests)
-        accepted = accept(requests, near, existing_ids=calendar.select("id"))
-        outcomes(requests, near, accepted).write.mode("overwrite").parquet(
-            f"{outcomes_path}/batch={batch}"
+        near = _near(standing.select(*columns).unionByName(earlier.select(*columns)), requests)
+        known = spark.range(1).select(F.lit(highest).cast("bigint").alias("id"))
+        accepted = accept(requests, near, existing_ids=known)
+        outcomes(requests, near, accepted).write.mode("overwrite").parquet(f"{outcomes_path}/batch={batch}")
+
+        spans = _low_high("unix_micros(start)", "unix_micros(end)")
+        rows = appointment_rows(accepted).selectExpr("*", *spans).selectExpr(
+            *(f"`{f.name}`" for f in APPOINTMENTS.fields),
+            f"CASE WHEN _high - _low > {LONG_US}L THEN {LONG_DAY}L ELSE {_day('_low')} END AS day",
+            f"{_BUCKET} AS bucket",
+            f"{batch}L AS batch",
+            "_high - _low AS _length",
+        )
+        after = rows.agg(F.max("id").alias("id"), F.max(F.expr(f"CASE WHEN day <> {LONG_DAY}L THEN _length END")).alias("l")).first()
+        (
+            rows.drop("_length")
+            .hint("rebalance", "day", "bucket")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*_FOLDERS)
+            .parquet(booked_path)
         )
-        appointment_rows(accepted).write.mode("overwrite").parquet(f"{booked_path}/batch={batch}")
+        state = [(max(highest, after.id or 0), max(longest, after.l or 0))]
+        spark.createDataFrame(state, _STATE).coalesce(1).write.mode("overwrite").parquet(f"{state_path}/batch={batch}")
 
     return take
 

@@ -12,7 +12,7 @@ from deskmill.operators.booking import book
 from deskmill.operators.sessions import with_context
 from deskmill.plans import views
 from deskmill.schemas import CALL_TURNS
-from deskmill.streaming.bookings import stream_bookings
+from deskmill.streaming.bookings import LONG_DAY, booking_sink, near_bookings, stream_bookings
 from deskmill.streaming.calls import answer_calls, stream_calls
 from deskmill.streaming.masking import stream_pii_mask
 from deskmill.streaming.runner import run_available
@@ -139,3 +139,31 @@ def test_bookings_over_micro_batches_and_replay(spark, sf_dir, tmp_path):
     assert same(stream_bookings(source, standing, *paths).drop("conflicts"), expected)
     booked = spark.read.parquet(paths[0])
     assert booked.count() == booked.select("id").distinct().count() == expected.filter("success").count()
+
+
+def test_a_late_batch_reads_its_days_only(spark, tmp_path):
+    """Bookings of other days stay closed, long ones and those that reach in over midnight do not."""
+    kind = "request_id bigint, calendar_id bigint, arrival timestamp, title string, start timestamp, duration_minutes int"
+    none = spark.createDataFrame([], "id bigint, calendar_id bigint, title string, start timestamp, end timestamp, status string")
+    booked, done = str(tmp_path / "booked"), str(tmp_path / "done")
+    take = booking_sink(spark, none, booked, done)
+    wishes = [(i, i % 5, at(8), "x", at(9, day=1) + timedelta(days=i), 30) for i in range(20)]
+    wishes += [(50, 1, at(8), "long", at(0, day=1) + timedelta(days=40), 60 * 24 * 40), (51, 2, at(8), "night", at(23, day=3), 120)]
+    take(spark.createDataFrame(wishes, kind), 0)
+    late = [
+        (100, 2, at(9), "meets the night", at(0, 30, day=4), 15),
+        (101, 1, at(9), "meets the long one", at(0, day=1) + timedelta(days=70), 15),
+        (102, 1, at(9), "free", at(12, day=4), 15),
+    ]
+    late = spark.createDataFrame(late, kind)
+    files = near_bookings(spark, booked, late, 1, 2 * 3_600_000_000).inputFiles()
+    # the days of the wishes, the day before each, and the folder of long bookings
+    days = {f.split("/day=")[1].split("/")[0] for f in files}
+    assert days == {str(LONG_DAY), "19785", "19786"}
+    take(late, 1)
+    outcome = {r.request_id: r for r in spark.read.parquet(f"{done}/batch=1").collect()}
+    assert [outcome[i].success for i in (100, 101, 102)] == [False, False, True]
+    assert outcome[102].appointment_id == 23
+    assert [c.title for c in outcome[100].conflicts] == ["night"]
+    take(late, 1)  # a replay
+    assert spark.read.parquet(booked).count() == 23
