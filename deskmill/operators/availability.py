@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deskmill.functions.times import DAY_US, FIRST_US, HOUR_US, LAST_US
+from deskmill.operators.ids import in_ranges
 from deskmill.operators.intervals import longest, overlap_join
+from deskmill.session import durable
 
 # Suggestions are whole hours after the wish, before seven days.
 LAST_HOUR = 7 * 24 - 1
@@ -136,13 +138,13 @@ def busy_times(appointments: DataFrame, booked: DataFrame | None = None) -> Data
     ``span``   appointments not contained in another one; right for slots of
                negative length, which only conflict inside a single appointment;
     ``exact``  appointments of no or negative length, and new bookings, as they are.
-    Equal starts are merged before the shuffle, so the sorted groups are bounded by
-    the number of distinct start times in one day of one calendar.
+    Equal starts are merged before the shuffle; what is left is cut into written ranges of
+    calendar and start, so a hot day is spread over tasks. A range unites its own rows, and
+    one row per calendar, day and range carries over how far the ranges before reach: what
+    lies within that is dropped. A union that goes on beyond the border of a range is two
+    overlapping blocks, which answer as one would. The result is written, as it is read twice.
     """
-    day = Window.partitionBy("_a_cal", "_day").orderBy("_a_start")
-    earlier = day.rangeBetween(Window.unboundedPreceding, -1)
-    block = Window.partitionBy("_a_cal", "_day", "_block")
-    rows = (
+    merged = (
         _standing(appointments)
         .selectExpr("_a_cal", "_a_start", "_a_end", "CASE WHEN _a_end <= _a_start THEN _a_end END AS _odd")
         .groupBy("_a_cal", "_a_start", "_odd")
@@ -152,12 +154,27 @@ def busy_times(appointments: DataFrame, booked: DataFrame | None = None) -> Data
             f"_a_start - pmod(_a_start, {DAY_US}L) AS _day",
             "CASE WHEN _odd IS NULL THEN _a_end END AS _proper_end",
         )
+    )
+    ranged = in_ranges(merged, ["_a_cal", "_a_start", "_odd"])
+    group = ["_a_cal", "_day", "_range"]
+    part = Window.partitionBy(*group).orderBy("_a_start")
+    earlier = part.rangeBetween(Window.unboundedPreceding, -1)
+    block = Window.partitionBy(*group, "_block")
+    ranges = Window.partitionBy("_a_cal", "_day").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    reach_in = (
+        ranged.groupBy(*group)
+        .agg(F.max("_proper_end").alias("_reach"), F.max("_a_start").alias("_last"))
+        .select(*group, F.max("_reach").over(ranges).alias("_reach_in"), F.max("_last").over(ranges).alias("_last_in"))
+    )
+    rows = (
+        ranged.withColumn("_reached", F.max("_proper_end").over(earlier))
+        .join(reach_in, group)
+        # rows of one start may lie on both sides of a border: those do not contain each other here
+        .withColumn("_reach_in", F.expr("CASE WHEN _last_in < _a_start THEN _reach_in END"))
+        .filter("_odd IS NOT NULL OR coalesce(_a_end > greatest(_reached, _reach_in), true)")
         .withColumn("_reached", F.max("_proper_end").over(earlier))
-        .filter("_odd IS NOT NULL OR _reached IS NULL OR _a_end > _reached")
-        .selectExpr(
-            "*", "_odd IS NULL AND (_reached IS NULL OR _a_start >= _reached) AS _opens"
-        )
-        .withColumn("_block", F.count(F.expr("CASE WHEN _opens THEN 1 END")).over(day))
+        .selectExpr("*", "_odd IS NULL AND (_reached IS NULL OR _a_start >= _reached) AS _opens")
+        .withColumn("_block", F.count(F.expr("CASE WHEN _opens THEN 1 END")).over(part))
         .withColumn("_block_end", F.max("_proper_end").over(block))
     )
     busy = rows.selectExpr(
@@ -173,6 +190,7 @@ def busy_times(appointments: DataFrame, booked: DataFrame | None = None) -> Data
     ).selectExpr(
         "*", "cast(NULL AS timestamp) AS since_ts", "cast(NULL AS bigint) AS since_id"
     )
+    busy = durable(busy)
     if booked is not None:
         busy = busy.unionByName(
             booked.selectExpr(
@@ -193,12 +211,15 @@ def _longest_busy(appointments: DataFrame, booked: DataFrame | None) -> Column:
 
 
 def blocked_wishes(
-    wishes: DataFrame, appointments: DataFrame, booked: DataFrame | None = None
+    wishes: DataFrame,
+    appointments: DataFrame,
+    booked: DataFrame | None = None,
+    busy: DataFrame | None = None,
 ) -> DataFrame:
     """Wishes (in join form) with at least one conflict; a wish may come twice."""
     return overlap_join(
         wishes,
-        busy_times(appointments, booked),
+        busy_times(appointments, booked) if busy is None else busy,
         ("_r_cal", "_a_cal"),
         ("_start", "_end"),
         ("_a_start", "_a_end"),
@@ -232,7 +253,8 @@ def suggest_slots(
     zero bits are the answer.
     """
     window = "_r_cal", "request_id", "arrival", "_start", "_end"
-    wishes = blocked_wishes(_wishes(requests), appointments, booked).selectExpr(
+    busy = busy_times(appointments, booked)
+    wishes = blocked_wishes(_wishes(requests), appointments, booked, busy).selectExpr(
         *window,
         f"_start + {HOUR_US}L + least(_end - _start, 0L) AS _from",
         f"_start + {LAST_HOUR * HOUR_US}L + greatest(_end - _start, 0L) AS _until",
@@ -244,7 +266,7 @@ def suggest_slots(
     last = f"least(-(({last}) div {HOUR_US}L) - 1, {LAST_HOUR}L)"
     hits = overlap_join(
         wishes,
-        busy_times(appointments, booked),
+        busy,
         ("_r_cal", "_a_cal"),
         ("_from", "_until"),
         ("_a_start", "_a_end"),
