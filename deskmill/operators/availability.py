@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deskmill.functions.times import DAY_US, FIRST_US, HOUR_US, LAST_US
-from deskmill.operators.ids import in_ranges
+from deskmill.operators.ids import in_ranges, ordinal
 from deskmill.operators.intervals import longest, overlap_join
 from deskmill.session import durable
 
 # Suggestions are whole hours after the wish, before seven days.
 LAST_HOUR = 7 * 24 - 1
 SUGGESTIONS = 3
+# Conflicts that one row lists at most; further ones go to further pages.
+PAGE = 10_000
 
 _WORDS = -(-LAST_HOUR // 64)
 
@@ -109,22 +111,52 @@ def conflict_pairs(
     return pairs.select("request_id", "id", "title")
 
 
-def conflict_lists(pairs: DataFrame) -> DataFrame:
-    """``conflicts array<struct<id,title>>`` per request, by id."""
-    return pairs.groupBy("request_id").agg(
-        F.expr("array_sort(collect_list(struct(id, title)))").alias("conflicts")
+def conflict_pages(pairs: DataFrame, page: int = PAGE) -> DataFrame:
+    """All conflicts in numbered pages: ``request_id, page, conflicts``.
+
+    Pages count from 1 and go by id; each holds ``page`` conflicts, the last one the rest. The
+    place of a pair is counted per range of pairs (:func:`ordinal`), so neither a task nor a
+    row ever holds all conflicts of one request.
+    """
+    placed = ordinal(pairs, "request_id", ["id", "title"], "_place")
+    return (
+        placed.withColumn("page", F.expr(f"(_place - 1) div {page}L + 1"))
+        .groupBy("request_id", "page")
+        .agg(F.expr("array_sort(collect_list(struct(id, title)))").alias("conflicts"))
+    )
+
+
+def conflict_lists(pairs: DataFrame, page: int = PAGE) -> DataFrame:
+    """``request_id, conflicts array<struct<id,title>>, n_conflicts`` per request, by id.
+
+    A list is whole where it fits on one page; otherwise it is the first page, and
+    ``n_conflicts`` tells that :func:`conflict_pages` has more. The pairs are written,
+    because they are counted before they are gathered.
+    """
+    pairs = durable(pairs)
+    long_ = pairs.groupBy("request_id").agg(F.count("*").alias("n")).filter(F.col("n") > page)
+    listed = F.expr("array_sort(collect_list(struct(id, title)))").alias("conflicts")
+    long_ = durable(long_)
+    if long_.isEmpty():
+        return pairs.groupBy("request_id").agg(listed, F.count("*").alias("n_conflicts"))
+    whole = pairs.join(long_, "request_id", "left_anti").groupBy("request_id").agg(listed, F.count("*").alias("n_conflicts"))
+    first = conflict_pages(pairs.join(long_, "request_id", "left_semi"), page).filter("page = 1")
+    return whole.unionByName(
+        first.join(long_, "request_id").select("request_id", "conflicts", F.col("n").alias("n_conflicts"))
     )
 
 
 def check_availability(
-    requests: DataFrame, appointments: DataFrame, booked: DataFrame | None = None
+    requests: DataFrame, appointments: DataFrame, booked: DataFrame | None = None, page: int = PAGE
 ) -> DataFrame:
-    """Each request with ``available`` and the conflicts that stand against it."""
-    found = conflict_lists(conflict_pairs(requests, appointments, booked))
+    """Each request with ``available``, the ``conflicts`` that stand against it, and their
+    number; beyond one page the rest is in :func:`conflict_pages`."""
+    found = conflict_lists(conflict_pairs(requests, appointments, booked), page)
     return requests.join(found, "request_id", "left").withColumns(
         {
             "available": F.expr("conflicts IS NULL"),
             "conflicts": F.expr(f"coalesce(conflicts, {NO_CONFLICTS})"),
+            "n_conflicts": F.coalesce("n_conflicts", F.lit(0)),
         }
     )
 

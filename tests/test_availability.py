@@ -193,3 +193,38 @@ def test_islands_of_one_hot_day(spark):
         reach = max(reach, hi)
         assert found[k, lo, hi] == label
     assert len(found) == len(spans)
+
+
+def test_long_conflict_lists_are_paged(spark):
+    """One request that meets more than fits on a page: nothing is lost, no row holds more."""
+    wish = [(1, 1, at(0), at(0), 600), (2, 1, at(0), at(2), 30), (3, 2, at(0), at(0), 60)]
+    appts = [(i, 1, f"t{i}", at(1), at(4), "confirmed") for i in range(95)] + [(500, 1, "early", at(0), at(1), "confirmed")]
+    requests, appointments = spark.createDataFrame(wish, REQUEST), spark.createDataFrame(appts, APPOINTMENT)
+    pages = av.conflict_pages(av.conflict_pairs(requests, appointments), 20).collect()
+    found = {}
+    for row in sorted(pages, key=lambda r: (r.request_id, r.page)):
+        assert len(row.conflicts) <= 20
+        found.setdefault(row.request_id, []).extend(c.id for c in row.conflicts)
+    assert found == {1: [*range(95), 500], 2: list(range(95))}
+    assert sorted((r.request_id, r.page) for r in pages) == [(i, p) for i in (1, 2) for p in range(1, 6)]
+    for page, kept in ((20, 20), (95, 95), (1000, 96)):
+        rows = {r.request_id: r for r in av.check_availability(requests, appointments, page=page).collect()}
+        assert [(rows[i].n_conflicts, len(rows[i].conflicts)) for i in (1, 2, 3)] == [(96, kept), (95, min(kept, 95)), (0, 0)]
+        assert [c.id for c in rows[2].conflicts] == list(range(min(kept, 95))) and rows[3].available
+
+
+def test_busy_times_of_a_hot_day(spark):
+    """One calendar whose appointments all start on one day, a long one first, over several ranges."""
+    rnd = random.Random(8)
+    appts = [(0, 0, "all day", at(0), at(9), "confirmed")]
+    for i in range(1, 700):
+        start = at(0) + timedelta(seconds=rnd.randrange(86_000))
+        appts.append((i, 0, f"t{i}", start, start + timedelta(seconds=rnd.choice([0, -40, 5, 60, 900])), "confirmed"))
+    wish = [(i, 0, at(0), at(0) + timedelta(seconds=rnd.randrange(90_000)), rnd.choice([-5, 0, 1, 30])) for i in range(150)]
+    want = brute(wish, appts)
+    answered = av.availability(spark.createDataFrame(wish, REQUEST), spark.createDataFrame(appts, APPOINTMENT).repartition(4))
+    for row in answered.collect():
+        assert (row.available, [(c.id, c.title) for c in row.conflicts], row.suggested_times) == want[row.request_id]
+    busy = av.busy_times(spark.createDataFrame(appts, APPOINTMENT))
+    inside = [r for r in busy.collect() if r.kind != "exact" and r._a_start > 0 and r._a_end <= at(9).timestamp() * 1e6]
+    assert len([r for r in inside if r.kind == "span"]) <= 1
