@@ -31,9 +31,13 @@ def infer(
 
     ``load`` runs once per partition and returns the model call: one prompt to one
     answer or, ``batched``, a list of prompts to a list of answers. A batch that raises is
-    asked again prompt by prompt. Answers that are no text are NULL. Only the prompts go
-    to Python. A table is written once with its answers, so that steps which read it
-    several times neither pay for a model call twice nor see two answers to one prompt.
+    asked again prompt by prompt. Answers that are no text are NULL; a NULL prompt is not asked.
+
+    Of a table each distinct prompt is asked once, and its answer is joined back to all rows
+    that share it; a prompt with a third of all rows is one call, and a skewed join at most.
+    Only the prompts go to Python. The answers are written, so that steps which read them
+    several times neither pay for a model call twice nor see two answers to one prompt. On a
+    stream every row is asked, since nothing is known of the prompts to come.
     """
 
     @F.pandas_udf(T.StringType())
@@ -60,8 +64,11 @@ def infer(
             answers = [a if isinstance(a, str) else None for a in many(batch.tolist())]
             yield pd.Series(answers, index=batch.index, dtype=object)
 
-    answered = df.withColumn(reply, ask.asNondeterministic()(F.col(prompt)))
-    return answered if df.isStreaming else durable(answered)
+    answer = ask.asNondeterministic()(F.col(prompt))
+    if df.isStreaming:
+        return df.withColumn(reply, answer)
+    distinct = df.select(prompt).filter(F.col(prompt).isNotNull()).distinct()
+    return df.join(durable(distinct.withColumn(reply, answer)), prompt, "left").select(*df.columns, reply)
 
 
 def intents_with_fallback(df: DataFrame, text: str = "text", reply: str = "reply") -> DataFrame:

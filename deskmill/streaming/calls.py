@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskmill.functions.intents import rule_intent
+from deskmill.functions.text import is_silent
 from deskmill.operators.dispatch import dispatch
-from deskmill.operators.gates import split_silent
+from deskmill.operators.gates import REPROMPT, split_silent
 from deskmill.operators.sessions import with_context
 from deskmill.streaming.sessions import stream_sessions
 
@@ -46,6 +47,15 @@ def answer_calls(turns: DataFrame) -> DataFrame:
 
 
 def stream_calls(turns: DataFrame, ttl: timedelta | None = None) -> DataFrame:
-    """``answer_calls`` over a stream of turns."""
-    silent, spoken = split_silent(turns)
-    return _answered(stream_sessions(_understood(spoken), "call_sid", ttl), silent)
+    """``answer_calls`` over a stream of turns, in one pass: silent turns pass by the state."""
+    heard = turns.withColumn("_silent", is_silent(F.col("speech_result")))
+    spoken = rule_intent(F.col("speech_result"))["intent"]
+    ruled = heard.withColumns(
+        {"intent": F.when(~F.col("_silent"), spoken), "entities": F.lit(None).cast("map<string,string>")}
+    )
+    answered = dispatch(ruled).select(
+        "call_sid", "ts", "event_id", "intent", "_silent",
+        F.when(F.col("_silent"), REPROMPT).otherwise(F.col("response")).alias("response"),
+    )
+    followed = stream_sessions(answered, "call_sid", ttl, passing="_silent")
+    return followed.withColumnRenamed("response", "reply").select(*_COLUMNS)

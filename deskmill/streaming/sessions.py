@@ -16,9 +16,13 @@ _STATE = T.StructType(
     [T.StructField("intent", T.StringType()), T.StructField("response", T.StringType())]
 )
 
+# Keys of turns that pass by the state, and over how many groups they spread.
+_PASSING = "\x00"
+_SPREAD = 1024
+
 
 def stream_sessions(
-    turns: DataFrame, key: str = "session_id", ttl: timedelta | None = None
+    turns: DataFrame, key: str = "session_id", ttl: timedelta | None = None, passing: str | None = None
 ) -> DataFrame:
     """Turns with ``prev_intent`` and ``prev_response``, kept as state per session.
 
@@ -26,8 +30,9 @@ def stream_sessions(
     the order of time and id, across micro-batches in the order they come. The
     state of a session is two strings. Without ``ttl`` it is kept for ever; with it
     (and a watermark on ``ts``) a session is forgotten that long after its last
-    turn. Turns without a session pass by the state. Bound the micro-batch at the
-    source: one session's turns of one micro-batch are ordered in one task.
+    turn. The source is read once: turns without a session, and those of the boolean column
+    ``passing``, go through the same step and neither see nor leave a state. Bound the
+    micro-batch at the source: one session's turns of one micro-batch are ordered in one task.
     """
     zone = turns.sparkSession.conf.get("spark.sql.session.timeZone")
     if ttl is not None and zone not in ("UTC", "Etc/UTC", "GMT", "Z"):
@@ -39,12 +44,16 @@ def stream_sessions(
     )
 
     def follow(
-        _: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState
+        session: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches), ignore_index=True)
+        if session[0].startswith(_PASSING):  # chunk by chunk, in no order
+            for batch in batches:
+                yield batch.drop(columns="_session").assign(prev_intent=None, prev_response=None)
+            return
+        rows = pd.concat(list(batches), ignore_index=True).drop(columns="_session")
         rows = rows.sort_values(["ts", "event_id"], kind="stable")
         last = state.get if state.exists else (None, None)
         for name, source, first in zip(
@@ -58,13 +67,12 @@ def stream_sessions(
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield rows
 
-    in_session = F.coalesce(F.col(key), F.lit("")) != ""
-    followed = (
-        turns.filter(in_session)
-        .groupBy(key)
+    alone = F.concat(F.lit(_PASSING), F.pmod(F.xxhash64("ts", "event_id"), F.lit(_SPREAD)).cast("string"))
+    session = F.coalesce(F.nullif(F.col(key), F.lit("")), alone)
+    if passing:
+        session = F.when(F.col(passing), alone).otherwise(session)
+    return (
+        turns.withColumn("_session", session)
+        .groupBy("_session")
         .applyInPandasWithState(follow, schema, _STATE, "append", timeout)
     )
-    single = turns.filter(~in_session).selectExpr(
-        "*", "cast(NULL AS string) AS prev_intent", "cast(NULL AS string) AS prev_response"
-    )
-    return followed.unionByName(single)

@@ -251,3 +251,24 @@ def test_inference_falls_back_per_row(spark):
     rows = {r.i: r for r in inference.intents_with_fallback(inference.infer(df, load)).collect()}
     assert (rows[1].intent, rows[1].confidence, rows[1].origin) == ("create_task", 0.8, "model")
     assert (rows[2].intent, rows[2].confidence, rows[2].origin) == ("book_appointment", 0.5, "rule")
+
+
+def test_each_distinct_prompt_is_asked_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def model(prompt):
+            calls.add(1)
+            if prompt == "fail":
+                raise ValueError("down")
+            return prompt.upper()
+
+        return model
+
+    rows = [(i, rnd) for i, rnd in enumerate(["hot"] * 300 + ["a", "b", "fail", "fail", None, "", "a"])]
+    df = spark.createDataFrame(rows, "i int, prompt string").repartition(6)
+    answered = inference.infer(df, load)
+    found = {r.i: r.reply for r in answered.collect()}
+    assert answered.count() == len(rows) == len(found)
+    assert calls.value == 5  # hot, a, b, fail and the empty one, however often they are read
+    assert all(found[i] == (None if p in (None, "fail") else p.upper()) for i, p in rows)

@@ -167,3 +167,15 @@ def test_a_late_batch_reads_its_days_only(spark, tmp_path):
     assert [c.title for c in outcome[100].conflicts] == ["night"]
     take(late, 1)  # a replay
     assert spark.read.parquet(booked).count() == 23
+
+
+def test_calls_read_the_source_once(spark, tmp_path):
+    schema = CALL_TURNS
+    rows = [("c", at(8), 1, "", "book it"), ("c", at(9), 2, "", None), ("c", at(10), 3, "", "a free day"), (None, at(10), 4, "", "a todo")]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    streamed = stream_calls(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    plan = streamed._jdf.queryExecution().analyzed().toString()
+    assert plan.count("StreamingRelation") == 1
+    found = {r.event_id: r for r in run_available(streamed, "c").collect()}
+    assert found[2].intent is None and found[2].prev_intent is None and found[2].reply.startswith("I didn't catch")
+    assert found[3].prev_intent == "book_appointment" and found[4].prev_intent is None
