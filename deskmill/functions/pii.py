@@ -23,9 +23,17 @@ _WIDE = {
     "NAME": rf"(?=[A-Z]){_EDGE}[A-Z][a-z]+ [A-Z][a-z]+{_EDGE}",
 }
 
+# What stands for personal data in a masked text, and so for itself in a text that came with it.
+PLACEHOLDER = r"\[(?:EMAIL|PHONE|NAME|LITERAL)_[0-9]{1,9}\]"
+
 _NONE = "array<string>"
 
 
+def _patterns(kind: str) -> tuple[str, str]:
+    """The pattern for ASCII texts and the one for all others."""
+    return (PLACEHOLDER, PLACEHOLDER) if kind == "LITERAL" else (_ASCII[kind], _WIDE[kind])
+
+
 def _is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
@@ -34,10 +42,12 @@ def _found(text: Column, kind: str) -> Column:
     def extract(pattern: str) -> Column:
         return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    found = F.when(_is_ascii(text), extract(_ASCII[kind])).otherwise(extract(_WIDE[kind]))
-    if kind == "EMAIL":
-        # no "@", no address: skips the scan for nearly every text
-        found = F.when(text.isNull() | text.contains("@"), found).otherwise(
+    narrow, wide = _patterns(kind)
+    found = F.when(_is_ascii(text), extract(narrow)).otherwise(extract(wide))
+    # no "@", no address, no bracket, no placeholder: skips the scan for nearly every text
+    sign = {"EMAIL": "@", "LITERAL": "["}.get(kind)
+    if sign:
+        found = F.when(text.isNull() | text.contains(sign), found).otherwise(
             F.array().cast(_NONE)
         )
     return found
@@ -49,7 +59,8 @@ def _substituted(text: Column, found: Column, keys: Column, kind: str) -> Column
     def pieces(pattern: str) -> Column:
         return F.split(text, pattern, -1)
 
-    between = F.when(_is_ascii(text), pieces(_ASCII[kind])).otherwise(pieces(_WIDE[kind]))
+    narrow, wide = _patterns(kind)
+    between = F.when(_is_ascii(text), pieces(narrow)).otherwise(pieces(wide))
     woven = F.transform(
         between, lambda piece, i: F.concat(piece, F.coalesce(F.get(keys, i), F.lit("")))
     )
@@ -64,20 +75,22 @@ def _keys(found: Column, kind: str, taken: Column) -> Column:
 
 
 def mask_pii(
-    df: DataFrame, column: str, masked: str = "masked", mapping: str = "mapping"
+    df: DataFrame, column: str, masked: str = "masked", mapping: str = "mapping", literals: bool = False
 ) -> DataFrame:
     """Add the masked text and the map from placeholder to original.
 
     Kinds are masked one after the other, each on the result of the one before.
     Every occurrence gets its own number, running through all kinds of the row.
-    Stateless, so it serves batch and streaming frames alike.
+    Stateless, so it serves batch and streaming frames alike. With ``literals`` what looks
+    like a placeholder in the text itself is masked before anything else, so that every
+    text can be put back.
     """
     text = F.col(column)
     taken = F.lit(0)
     helper: list[str] = []
     keys: list[Column] = []
     values: list[Column] = []
-    for kind in _ASCII:
+    for kind in (["LITERAL"] if literals else []) + list(_ASCII):
         found, named, out = f"_{kind}_found", f"_{kind}_keys", f"_{kind}_text"
         df = df.withColumn(found, _found(text, kind))
         df = df.withColumn(named, _keys(F.col(found), kind, taken))
@@ -106,11 +119,20 @@ def pii_entries(df: DataFrame, mapping: str = "mapping") -> DataFrame:
 
 
 def unmask(masked: Column, mapping: Column) -> Column:
-    """Put the originals back.
+    """Put the originals back, in one pass over the text.
 
-    Originals hold no brackets, so the order does not matter. A text that held a
-    placeholder-like literal before masking is not reversible.
+    The number of a placeholder is its place in the mapping, so each is found at once, however
+    many there are. What is put back is not looked at again. Placeholders without an
+    original stay. A text that held placeholders before masking comes back whole only where it
+    was masked with ``literals``.
     """
-    return F.aggregate(
-        F.map_entries(mapping), masked, lambda text, e: F.replace(text, e["key"], e["value"])
-    )
+    names, originals = F.map_keys(mapping), F.map_values(mapping)
+
+    def woven(piece: Column, hit: Column) -> Column:
+        at = F.regexp_extract(hit, "[0-9]+", 0).cast("int")
+        known = F.when(F.get(names, at) == hit, F.get(originals, at)).otherwise(F.try_element_at(mapping, hit))
+        return F.concat(piece, F.coalesce(known, hit, F.lit("")))
+
+    pieces = F.split(masked, PLACEHOLDER, -1)
+    hits = F.regexp_extract_all(masked, F.lit(PLACEHOLDER), F.lit(0))
+    return F.when(F.size(mapping) > 0, F.array_join(F.zip_with(pieces, hits, woven), "")).otherwise(masked)

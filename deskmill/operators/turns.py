@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Collection, Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deskmill.functions.intents import KEYWORDS, PROMPT, REPLY_CONFIDENCE, RULE_CONFIDENCE, UNKNOWN_CONFIDENCE, entity
-from deskmill.functions.pii import mask_pii
+from deskmill.functions.pii import PLACEHOLDER, mask_pii
 from deskmill.operators.dispatch import dispatch, dispatch_calendar
 from deskmill.operators.gates import ESCALATE_BELOW, choose_provider
 from deskmill.operators.inference import intents_with_fallback
@@ -21,6 +22,7 @@ from deskmill.session import durable
 
 Load = Callable[[], Callable]
 
+_PLACEHOLDER = re.compile(PLACEHOLDER)
 _MEANT = "reply string, heard string, source string, record string, last_record string"
 
 
@@ -104,9 +106,9 @@ def _wave(
     back = []
     for i, answer in zip(leave, said):
         if answer:
-            for placeholder, original in mapping[i]:
-                answer = answer.replace(placeholder, original)
-            heard[i], source[i] = answer, "cloud"
+            originals = dict(mapping[i])
+            heard[i] = _PLACEHOLDER.sub(lambda m: originals.get(m[0], m[0]), answer)
+            source[i] = "cloud"
             back.append(i)
     for i, reply in zip(back, _answered(local, [heard[i] for i in back], [context[i] for i in back])):
         replies[i] = reply
@@ -142,7 +144,7 @@ def understand(
     if not enabled:
         may_leave = F.lit(False)
     may_leave = may_leave & choose_provider(configured).isNotNull()
-    masked = mask_pii(turns.withColumn("_leaves", F.when(may_leave, F.col("text"))), "_leaves", "_masked", "_mapped")
+    masked = mask_pii(turns.withColumn("_leaves", F.when(may_leave, F.col("text"))), "_leaves", "_masked", "_mapped", literals=True)
     session = F.nullif(F.col("session_id"), F.lit(""))
     # a turn without a session is dealt by its id, and so never to one task with all others
     alone = F.concat(F.lit("\x00"), F.col("request_id").cast("string"))

@@ -183,7 +183,7 @@ def pii_mask_conversations(spark, sf_dir):
 @query
 def pii_roundtrip(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mask_pii(docs, "text").select(
+    return mask_pii(docs, "text", literals=True).select(
         "doc_id", unmask(F.col("masked"), F.col("mapping")).alias("text")
     )
 
