@@ -134,11 +134,11 @@ def conflict_lists(pairs: DataFrame, page: int = PAGE) -> DataFrame:
     because they are counted before they are gathered.
     """
     pairs = durable(pairs)
-    long_ = pairs.groupBy("request_id").agg(F.count("*").alias("n")).filter(F.col("n") > page)
+    sizes = pairs.groupBy("request_id").agg(F.count("*").alias("n"))
     listed = F.expr("array_sort(collect_list(struct(id, title)))").alias("conflicts")
-    long_ = durable(long_)
-    if long_.isEmpty():
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= page:
         return pairs.groupBy("request_id").agg(listed, F.count("*").alias("n_conflicts"))
+    long_ = durable(sizes.filter(F.col("n") > page))
     whole = pairs.join(long_, "request_id", "left_anti").groupBy("request_id").agg(listed, F.count("*").alias("n_conflicts"))
     first = conflict_pages(pairs.join(long_, "request_id", "left_semi"), page).filter("page = 1")
     return whole.unionByName(

@@ -17,7 +17,7 @@ from deskmill.session import durable, fresh_dir
 
 # Booked rows lie in one folder per day of their start and bucket of calendars; those
 # longer than 32 days lie in a folder of their own, which every batch reads.
-BUCKETS = 16
+BUCKETS = 4
 LONG_DAY = -10_000_000
 
 _FOLDERS = ("day", "bucket", "batch")
