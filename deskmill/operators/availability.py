@@ -174,7 +174,7 @@ def busy_times(appointments: DataFrame, booked: DataFrame | None = None) -> Data
     calendar and start, so a hot day is spread over tasks. A range unites its own rows, and
     one row per calendar, day and range carries over how far the ranges before reach: what
     lies within that is dropped. A union that goes on beyond the border of a range is two
-    overlapping blocks, which answer as one would. The result is written, as it is read twice.
+    overlapping blocks, which answer as one would.
     """
     merged = (
         _standing(appointments)
@@ -222,7 +222,6 @@ def busy_times(appointments: DataFrame, booked: DataFrame | None = None) -> Data
     ).selectExpr(
         "*", "cast(NULL AS timestamp) AS since_ts", "cast(NULL AS bigint) AS since_id"
     )
-    busy = durable(busy)
     if booked is not None:
         busy = busy.unionByName(
             booked.selectExpr(
@@ -285,7 +284,7 @@ def suggest_slots(
     zero bits are the answer.
     """
     window = "_r_cal", "request_id", "arrival", "_start", "_end"
-    busy = busy_times(appointments, booked)
+    busy = durable(busy_times(appointments, booked))
     wishes = blocked_wishes(_wishes(requests), appointments, booked, busy).selectExpr(
         *window,
         f"_start + {HOUR_US}L + least(_end - _start, 0L) AS _from",

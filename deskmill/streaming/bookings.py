@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,53 +44,66 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
 
 
-def _asked_days(requests: DataFrame, longest: int) -> tuple[set[int], list[tuple[int, int]]]:
-    """Days whose bookings can reach into the wished slots, and runs of such days.
+@dataclass(frozen=True)
+class Asked:
+    """What the slots of a micro-batch can meet: days of start, buckets, and instants."""
 
-    ``longest`` is the length of the longest booking outside the folder of long ones. Wishes
-    of ordinary length give single days, at most as many as the calendar has; longer ones
-    are taken together as one run.
+    days: frozenset[int]
+    run: tuple[int, int] | None  # for slots of over 32 days: all days between
+    buckets: tuple[int, ...]
+    low: datetime | None
+    high: datetime | None
+
+    def meets(self, day: int) -> bool:
+        return day == LONG_DAY or day in self.days or (self.run is not None and self.run[0] <= day <= self.run[1])
+
+
+def asked_days(requests: DataFrame, longest: int) -> Asked:
+    """One look at a micro-batch.
+
+    ``longest`` is the length of the longest booking outside the folder of long ones: so much
+    earlier a booking may start and still reach into a slot. Slots of ordinary length give
+    single days, at most as many as the calendar has.
     """
-    spans = requests.selectExpr("start", *wished_span(requests)).filter("_start IS NOT NULL AND _end IS NOT NULL")
-    spans = spans.selectExpr(*_low_high("_start", "_end")).selectExpr(
-        f"{_day(f'(_low - {longest}L)')} AS first", f"{_day('_high')} AS last", f"_high - _low > {LONG_US}L AS wide"
-    )
-    days = spans.filter("NOT wide").selectExpr("explode(sequence(first, last)) AS day").distinct()
-    run = spans.filter("wide").agg(F.min("first").alias("first"), F.max("last").alias("last")).first()
-    return {r.day for r in days.collect()}, [] if run.first is None else [(run.first, run.last)]
+    spans = requests.selectExpr("calendar_id", "start", *wished_span(requests))
+    spans = spans.filter("_start IS NOT NULL AND _end IS NOT NULL").selectExpr("calendar_id", *_low_high("_start", "_end"))
+    days = spans.selectExpr(
+        f"{_BUCKET} AS bucket", "_low", "_high", f"_high - _low > {LONG_US}L AS wide",
+        f"{_day(f'(_low - {longest}L)')} AS first", f"{_day('_high')} AS last",
+    ).selectExpr("*", "explode(CASE WHEN wide THEN array(first) ELSE sequence(first, last) END) AS day")
+    row = days.agg(
+        F.expr("collect_set(day) AS days"),
+        F.expr("min(CASE WHEN wide THEN first END) AS first"),
+        F.expr("max(CASE WHEN wide THEN last END) AS last"),
+        F.expr("collect_set(bucket) AS buckets"),
+        F.expr("timestamp_micros(min(_low)) AS low"),
+        F.expr("timestamp_micros(max(_high)) AS high"),
+    ).first()
+    run = None if row.first is None else (row["first"], row["last"])
+    return Asked(frozenset(row.days), run, tuple(row.buckets), row.low, row.high)
 
 
-def near_bookings(spark: SparkSession, booked_path: str, requests: DataFrame, batch: int, longest: int) -> DataFrame:
-    """Bookings of earlier micro-batches that can reach into the slots of ``requests``.
+def near_bookings(spark: SparkSession, booked_path: str, asked: Asked, batch: int) -> DataFrame:
+    """Bookings of earlier micro-batches that can reach into the slots asked about.
 
     Only the folders of the days asked about are opened, and in them only the buckets of
     the calendars asked about, so what a batch reads does not grow with the history.
     """
-    days, runs = _asked_days(requests, longest)
-    there = {int(n[4:]): n for n in _folders(spark, booked_path) if n.startswith("day=")}
-    opened = [
-        f"{booked_path}/{name}"
-        for day, name in there.items()
-        if day == LONG_DAY or day in days or any(low <= day <= high for low, high in runs)
-    ]
-    if not opened:
+    days = [n for n in _folders(spark, booked_path) if n.startswith("day=") and asked.meets(int(n[4:]))]
+    if not days:
         return spark.createDataFrame([], _STORED)
-    buckets = [r.b for r in requests.selectExpr(f"{_BUCKET} AS b").distinct().collect()]
+    opened = [f"{booked_path}/{name}" for name in days]
     stored = spark.read.schema(_STORED).option("basePath", booked_path).parquet(*opened)
-    return stored.filter((F.col("batch") < batch) & F.col("bucket").isin(buckets))
+    return stored.filter((F.col("batch") < batch) & F.col("bucket").isin(*asked.buckets))
 
 
-def _near(appointments: DataFrame, requests: DataFrame) -> DataFrame:
+def _near(appointments: DataFrame, asked: Asked) -> DataFrame:
     """Appointments that reach into the time the requests ask about."""
-    spans = requests.selectExpr("start", *wished_span(requests)).filter("_start IS NOT NULL AND _end IS NOT NULL")
-    low, high = spans.selectExpr(
-        "timestamp_micros(min(least(_start, _end)))", "timestamp_micros(max(greatest(_start, _end)))"
-    ).first()
-    if low is None:
+    if asked.low is None:
         return appointments.filter(F.lit(False))
     return appointments.filter(
-        ((F.col("start") <= high) | (F.col("end") <= high))
-        & ((F.col("start") >= low) | (F.col("end") >= low))
+        ((F.col("start") <= asked.high) | (F.col("end") <= asked.high))
+        & ((F.col("start") >= asked.low) | (F.col("end") >= asked.low))
     )
 
 
@@ -127,9 +142,12 @@ def booking_sink(
         requests = durable(requests)
         highest, longest = _state(spark, state_path, batch)
         highest = max(highest, highest_standing)
-        earlier = near_bookings(spark, booked_path, requests, batch, longest)
+        asked = asked_days(requests, longest)
         columns = ["id", "calendar_id", "title", "start", "end", "status"]
-        near = _near(standing.select(*columns).unionByName(earlier.select(*columns)), requests)
+        calendar = standing.select(*columns)
+        if batch:
+            calendar = calendar.unionByName(near_bookings(spark, booked_path, asked, batch).select(*columns))
+        near = _near(calendar, asked)
         known = spark.range(1).select(F.lit(highest).cast("bigint").alias("id"))
         accepted = accept(requests, near, existing_ids=known)
         outcomes(requests, near, accepted).write.mode("overwrite").parquet(f"{outcomes_path}/batch={batch}")
@@ -142,16 +160,18 @@ def booking_sink(
             f"{batch}L AS batch",
             "_high - _low AS _length",
         )
-        after = rows.agg(F.max("id").alias("id"), F.max(F.expr(f"CASE WHEN day <> {LONG_DAY}L THEN _length END")).alias("l")).first()
+        seen = Observation()
+        ordinary = F.max(F.expr(f"CASE WHEN day <> {LONG_DAY}L THEN _length END"))
         (
-            rows.drop("_length")
+            rows.observe(seen, F.max("id").alias("id"), ordinary.alias("length"))
+            .drop("_length")
             .hint("rebalance", "day", "bucket")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*_FOLDERS)
             .parquet(booked_path)
         )
-        state = [(max(highest, after.id or 0), max(longest, after.l or 0))]
+        state = [(max(highest, seen.get["id"] or 0), max(longest, seen.get["length"] or 0))]
         spark.createDataFrame(state, _STATE).coalesce(1).write.mode("overwrite").parquet(f"{state_path}/batch={batch}")
 
     return take

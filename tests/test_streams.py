@@ -12,7 +12,7 @@ from deskmill.operators.booking import book
 from deskmill.operators.sessions import with_context
 from deskmill.plans import views
 from deskmill.schemas import CALL_TURNS
-from deskmill.streaming.bookings import LONG_DAY, booking_sink, near_bookings, stream_bookings
+from deskmill.streaming.bookings import LONG_DAY, asked_days, booking_sink, near_bookings, stream_bookings
 from deskmill.streaming.calls import answer_calls, stream_calls
 from deskmill.streaming.masking import stream_pii_mask
 from deskmill.streaming.runner import run_available
@@ -156,7 +156,7 @@ def test_a_late_batch_reads_its_days_only(spark, tmp_path):
         (102, 1, at(9), "free", at(12, day=4), 15),
     ]
     late = spark.createDataFrame(late, kind)
-    files = near_bookings(spark, booked, late, 1, 2 * 3_600_000_000).inputFiles()
+    files = near_bookings(spark, booked, asked_days(late, 2 * 3_600_000_000), 1).inputFiles()
     # the days of the wishes, the day before each, and the folder of long bookings
     days = {f.split("/day=")[1].split("/")[0] for f in files}
     assert days == {str(LONG_DAY), "19785", "19786"}
