@@ -1,6 +1,6 @@
 """Token ids of whole texts, for vocabularies whose tokens never span a blank.
 
-A text is cut at its blanks, and every distinct piece is encoded once per task;
+A text is cut at its blanks, and every distinct piece is encoded once per worker;
 so most of a text costs one table look-up per word. That is exact for tokenizers
 that drop white space before they split into words, which is checked when the
 tokenizer is opened.
@@ -90,6 +90,18 @@ class PieceCodes(dict):
             self.update((p, np.array(f.ids, "<u4").tobytes()) for p, f in zip(part, found))
 
 
+def held_codes(path: str, plain_specials: bool = False) -> PieceCodes:
+    """The codes of this worker process, which outlive a task: functions travel to workers by
+    value, so what is kept for the next task hangs on the tokenizer library's module."""
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_piece_codes", {})
+    key = (path, plain_specials)
+    if key not in held:
+        held[key] = PieceCodes(path, plain_specials)
+    return held[key]
+
+
 def encoder(
     path: str, end_id: int, plain_specials: bool = False
 ) -> Callable[[Sequence[str]], Iterator[bytes]]:
@@ -98,7 +110,7 @@ def encoder(
     Only blank, tab and the line ends are cut at: characters that every notion of
     white space includes. Others stay inside a piece, where the tokenizer sees them.
     """
-    codes = PieceCodes(path, plain_specials)
+    codes = held_codes(path, plain_specials)
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(texts: Sequence[str]) -> Iterator[bytes]:
