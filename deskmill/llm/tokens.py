@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 
 # Distinct pieces held per worker; beyond that the table starts anew.
-HELD = 400_000
+HELD = 1_000_000
 # Marks that may follow a word.
 MARKS = ".,;:!?%$*&#"
 # Words of Latin letters: each is its own normal form but for case, and one pre-token.
