@@ -5,22 +5,26 @@ document id, row key, line number) has at least ``THRESHOLD`` Jaccard similarity
 Only lines without a word are left aside. Up to three words, similar means equal, which
 the hash of the set tells; longer lines are joined.
 
-1. Words are counted over all documents in hash buckets; every line's word hashes
-   are ordered by rarity.
+1. Words are counted over all documents; every line's word hashes are ordered by rarity.
+   Tasks look the rarity up in a table of fixed size, two rows of ``BUCKETS`` classes: a
+   bucket holds the greatest class of its words, a word has the lesser of its two buckets.
+   Any fixed order keeps the join exact; this one errs only towards "frequent". A word of
+   class 0 occurs once in all texts, so it needs no posting.
 2. Lines with equal sets meet by hash; the earliest stands for them all.
 3. Prefix filter: two similar lines share one of their rarest ``n - ceil(t n) + 1``
    words, so only those become postings. Partners must pass the length filter, the
    positional filter and a parity filter (bit parities of the word hashes differ in
    at most as many bits as the sets differ in words).
-4. In groups of many near copies nearly all pairs are similar. So every posting is first
-   tested against the earliest of its list; only postings that it does not pass with (or of
-   lines too long for a sharp test) meet the whole list. Survivors are verified on whole word sets. A line that passed with
-   the earliest, yet was not verified to be similar to anything, is joined again without
-   that short cut; so no match is lost.
+4. A line goes for one earlier match, so it leaves the search with the first that is
+   verified on the words themselves. First each posting meets the earliest of its list,
+   which settles groups of many near copies; then open lines meet their whole lists, and
+   the partner of nearest parity is verified; then lines still open have all partners that
+   pass the filters verified. No match is lost, and only the last step, where little is
+   left, writes more than one pair per line.
 
-Everything is DataFrame operations. What reaches the driver is the table of bucket
-counts, whose size is fixed. Word hashes have 58 bits, lines' hashes 64.
-Ids are whole numbers of at most 64 bits.
+Everything is DataFrame operations. What reaches the driver is the table of rarity
+classes, whose size is fixed. Word hashes have 58 bits in the order and 64 in equal sets,
+whose 128 parity bits must agree as well. Ids are whole numbers of at most 64 bits.
 
 Null and empty texts have no lines that could go. Repeated rows with one id and one text
 are the same lines, and the row itself stays. Different texts of one id are documents of
@@ -31,8 +35,7 @@ pass through.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,15 +44,12 @@ from deskmill.session import durable
 
 # Similar lines share at least four of five words of their union.
 THRESHOLD = (4, 5)
-MIN_WORDS = 1
 # Words from which a line can be similar to another set than its own.
 JOIN_WORDS = 4
-# Hash buckets in which words are counted.
-BUCKETS = 1 << 16
-# Rarity classes: log-scaled counts.
+# Buckets in each of the two rows of the table of rarity classes.
+BUCKETS = 1 << 21
+# Rarity classes: two per doubling of the count; 0 for words that occur once.
 CLASSES = 62
-# Words up to which parities of 64 bits tell sets apart; longer lines take no short cut.
-QUICK_WORDS = 120
 # Rows up to which the list of affected documents is broadcast instead of shuffled.
 BROADCAST_ROWS = 300_000
 
@@ -60,44 +60,52 @@ _BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
 def _word_hashes(line: Column) -> Column:
-    words = F.split(F.btrim(line, F.lit(" \t\r\x0b\x0c")), _BLANKS)
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+
 
+def _words(line: Column) -> Column:
+    return F.split(F.btrim(line, F.lit(" \t\r\x0b\x0c")), _BLANKS)
 
-def word_buckets(df: DataFrame, text: str) -> list[int]:
-    """Occurrences of words over the whole table, per hash bucket."""
+
+def rarity_table(df: DataFrame, text: str) -> bytes:
+    """The greatest class of each bucket's words, one byte each, both rows one after the other."""
     words = df.select(F.explode(F.split(F.lower(F.col(text)), _BLANKS)).alias("w")).filter("w <> ''")
-    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    counts = [0] * BUCKETS
-    for row in words.groupBy(bucket.alias("b")).count().collect():
-        counts[row.b] = row["count"]
-    return counts
+    counts = words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("c"))
+    classed = counts.select("h", F.least(F.lit(CLASSES - 1), F.floor(F.log2("c") * 2)).cast("int").alias("k"))
+    spread = classed.filter("k > 0").select(F.explode(F.array(*_buckets(F.col("h")))).alias("b"), "k")
+    filled = spread.groupBy("b").agg(F.max("k").alias("k")).toArrow()
+    table = np.zeros(2 * BUCKETS, np.uint8)
+    table[filled["b"].to_numpy()] = filled["k"].to_numpy()
+    return table.tobytes()
 
 
-def _rarity(counts: list[int]) -> Column:
-    """An array literal: the rarity class of every bucket, rare first."""
-    top = math.log1p(max(counts, default=0)) or 1.0
-    classes = (str(int((CLASSES - 1) * math.log1p(c) / top)) for c in counts)
-    return F.split(F.lit(",".join(classes)), ",").cast("array<int>")
+def _buckets(h: Column) -> list[Column]:
+    """A word's places in the two rows, from bits that do not overlap."""
+    mask = F.lit(BUCKETS - 1)
+    first, second = h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask)
+    return [first.cast("int"), (second + F.lit(BUCKETS)).cast("int")]
 
 
-def _ordered(hashes: Column, rarity: Column) -> Column:
+def _ordered(hashes: Column, table: Column) -> Column:
     """The hashes with their rarity class on top, so that natural order puts rare ones first."""
 
     def key(h: Column) -> Column:
-        rank = F.get(rarity, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) - F.lit(CLASSES // 2)
+        classes = (F.ascii(F.substring(table, at + 1, 1).cast("string")) for at in _buckets(h))
+        rank = F.least(*classes) - F.lit(CLASSES // 2)
         return F.shiftleft(rank.cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
 
     return F.sort_array(F.transform(hashes, key))
 
 
-def _parity(keys: Column) -> Column:
-    """Bit ``i`` tells whether an odd number of the words has ``i`` as low bits."""
-    return F.aggregate(
-        keys,
-        F.lit(0).cast("long"),
-        lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))),
-    )
+def _parity(hashes: Column, half: int) -> Column:
+    """Every word has one of 128 bits; of one half of them, whether an odd number of the words has it."""
+
+    def bit(h: Column) -> Column:
+        mine = F.shiftrightunsigned(h, 28).bitwiseAND(F.lit(1))
+        place = F.shiftrightunsigned(h, 22).bitwiseAND(F.lit(63)).cast("int")
+        return F.call_function("shiftleft", mine if half else F.lit(1).cast("long") - mine, place)
+
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
 
 
 def lines_of(df: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
@@ -110,12 +118,23 @@ def _order_id(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
 
 
-def line_sets(lines: DataFrame, rarity: Column) -> DataFrame:
-    """``(d, r, ln, keys)``: every line of at least ``MIN_WORDS`` words, as ordered word hashes."""
-    worded = lines.filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
-    hashed = worded.select(*LINE, _word_hashes(F.col("line")).alias("hashes"))
-    return hashed.filter(F.size("hashes") >= MIN_WORDS).select(
-        *LINE, _ordered(F.col("hashes"), rarity).alias("keys")
+def worded(lines: DataFrame) -> DataFrame:
+    return lines.filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+
+
+def line_sets(lines: DataFrame, table: bytes) -> DataFrame:
+    """``(d, r, ln, h, n, s, u, prefix)``: every line with a word.
+
+    ``h`` is the hash of its set, ``n`` its size, ``s`` and ``u`` are its parity bits, ``prefix`` its rarest words.
+    """
+    hashed = worded(lines).select(*LINE, F.sort_array(_word_hashes(F.col("line"))).alias("hashes"))
+    n = F.size("hashes")
+    return hashed.select(
+        *LINE,
+        F.xxhash64("hashes").alias("h"),
+        n.alias("n"),
+        *(_parity(F.col("hashes"), half).alias(name) for half, name in enumerate("su")),
+        F.slice(_ordered(F.col("hashes"), F.lit(bytearray(table))), F.lit(1), _prefix_length(n)).alias("prefix"),
     )
 
 
@@ -124,6 +143,10 @@ def _prefix_length(n: Column) -> Column:
     return n - F.ceil(n * F.lit(a) / F.lit(b)).cast("int") + 1
 
 
+def _distance(x: str, y: str) -> str:
+    return f"(bit_count({x}s ^ {y}s) + bit_count({x}u ^ {y}u))"
+
+
 def _may_match(x: str, y: str) -> Column:
     """Parity, length and positional filters for two postings of one word.
 
@@ -133,7 +156,7 @@ def _may_match(x: str, y: str) -> Column:
     n1, n2 = f"shiftright({x}np, 32)", f"shiftright({y}np, 32)"
     after1, after2 = (f"({n} - ({s}np & 4294967295))" for n, s in ((n1, x), (n2, y)))
     return F.expr(
-        f"{a + b} * bit_count({x}s ^ {y}s) <= {b - a} * ({n1} + {n2})"
+        f"{a + b} * {_distance(x, y)} <= {b - a} * ({n1} + {n2})"
         f" and {b} * least({n1}, {n2}) >= {a} * greatest({n1}, {n2})"
         f" and {a + b} * least({after1}, {after2}) >= {a} * ({n1} + {n2})"
     )
@@ -145,64 +168,52 @@ def _earlier(y: str, x: str) -> Column:
 
 
 def postings(lines: DataFrame) -> DataFrame:
-    """One row per prefix word of every line: ``(w, d, r, ln, np, s)``.
+    """One row per prefix word of every line: ``(w, d, r, ln, np, s, u)``.
 
     ``w`` is half of the word's hash: more would only keep apart what the filters and the
     verification keep apart anyway. ``np`` holds the line's words and the word's position.
-    Nothing is ever null; saying so lets both readers of the shuffled postings share them.
+    Words that occur once in all texts have no other line to find.
     """
-    spread = lines.select(F.posexplode("prefix").alias("p", "k"), *LINE, "n", "s")
+    once = F.expr(f"shiftright(k, 58) = {-(CLASSES // 2)}")
+    spread = lines.select(F.posexplode("prefix").alias("p", "k"), *LINE, "n", "s", "u").filter(~once)
     return spread.select(
-        F.hash("k").alias("w"),
-        *LINE,
-        F.expr("shiftleft(cast(n as bigint), 32) | p").alias("np"),
-        "s",
-    ).filter("w is not null and d is not null and r is not null and np is not null and s is not null")
-
-
-def _as(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select("w", *(F.col(c).alias(prefix + c) for c in df.columns if c != "w"))
+        F.hash("k").alias("w"), *LINE, F.expr("shiftleft(cast(n as bigint), 32) | p").alias("np"), "s", "u"
+    )
 
 
 X, Y = (["xd", "xr", "xln"], ["yd", "yr", "yln"])
 PAIR = [*X, *Y]
+PARTS = [*LINE, "np", "s", "u"]
 
 
-def candidates(lines: DataFrame, later: DataFrame | None = None) -> DataFrame:
-    """``(xd, xr, xln, yd, yr, yln, quick)``: pairs of a line and an earlier one that may be similar.
+def _as(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select("w", *(F.col(c).alias(prefix + c) for c in PARTS))
 
-    ``quick`` pairs stem from the test against the earliest of a list. With ``later``,
-    pairs of those lines only, all of them, without the short cut.
-    """
-    posts = postings(lines)
-    if later is not None:
-        x = _few(durable(_as(postings(later), "x")))
-        found = x.join(_as(posts, "y"), "w").filter(_earlier("y", "x") & _may_match("x", "y"))
-        return found.select(*PAIR).distinct().withColumn("quick", F.lit(False))
-    posts = posts.repartition("w")
-    in_list = Window.partitionBy("w").orderBy(*LINE)
-    parts = (*LINE, "np", "s")
-    headed = posts.withColumn("f", F.first(F.struct(*parts)).over(in_list)).select(
-        "w",
-        *(F.col(c).alias(f"x{c}") for c in parts),
-        *(F.col(f"f.{c}").alias(f"y{c}") for c in parts),
-    )
-    other = F.expr("not (xd = yd and xr = yr and xln = yln)")
-    short = F.expr(f"shiftright(xnp, 32) <= {QUICK_WORDS}")
-    quick = headed.filter(other & short & _may_match("x", "y")).select(*PAIR)
-    slow = (
-        headed.filter(other & ~(short & _may_match("x", "y")))
-        .select("w", *(f"x{c}" for c in parts))
-        .join(_as(posts, "y"), "w")
-        .filter(_earlier("y", "x") & _may_match("x", "y"))
-        .select(*PAIR)
-    )
-    return (
-        quick.withColumn("quick", F.lit(True))
-        .unionByName(slow.withColumn("quick", F.lit(False)))
-        .groupBy(*PAIR)
-        .agg(F.max("quick").alias("quick"))
+
+def lists(lines: DataFrame) -> DataFrame:
+    """The postings that share a word with another line, each with the earliest of its list as ``f``."""
+    in_list = Window.partitionBy("w")
+    headed = postings(lines).withColumn("f", F.first(F.struct(*PARTS)).over(in_list.orderBy(*LINE)))
+    return headed.withColumn("c", F.count("*").over(in_list)).filter("c > 1").drop("c")
+
+
+def against_earliest(listed: DataFrame) -> DataFrame:
+    """Per line the partner of nearest parity among the earliest of its lists."""
+    both = listed.select(
+        *(F.col(c).alias(f"x{c}") for c in PARTS), *(F.col(f"f.{c}").alias(f"y{c}") for c in PARTS)
     )
+    return _nearest(both.filter(_earlier("y", "x") & _may_match("x", "y")))
+
+
+def _in_lists(listed: DataFrame, few: DataFrame) -> DataFrame:
+    """Postings of the lines ``few`` with all earlier ones of their lists that pass the filters."""
+    x = _as(listed.join(few, LINE, "left_semi"), "x")
+    return x.join(_as(listed, "y"), "w").filter(_earlier("y", "x") & _may_match("x", "y"))
+
+
+def _nearest(found: DataFrame) -> DataFrame:
+    near = F.min(F.struct(F.expr(_distance("x", "y")).alias("apart"), *Y)).alias("y")
+    return found.groupBy(*X).agg(near).select(*X, *(f"y.{c}" for c in Y))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -210,53 +221,51 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, rarity: Column) -> DataFrame:
-    """The later lines of pairs whose whole word sets are similar enough."""
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The later lines of pairs (a written table) whose words are similar enough."""
     a, b = THRESHOLD
-    ends = durable(pairs.select(*X).union(pairs.select(*Y)).distinct().toDF(*LINE))
-    # Only lines that are in some pair are turned into sets again.
-    known = durable(line_sets(lines.join(_few(ends), LINE, "left_semi"), rarity))
-    x = known.toDF(*X, "xk")
-    y = known.toDF(*Y, "yk")
-    joined = pairs.join(x, X).join(y, Y)
-    common = F.size(F.array_intersect("xk", "yk"))
-    alike = common * (a + b) >= (F.size("xk") + F.size("yk")) * a
-    return joined.filter(alike).select(*X).distinct()
+    ends = pairs.select(*X).union(pairs.select(*Y)).distinct().toDF(*LINE)
+    # Only lines that are in some pair are read as words again.
+    known = durable(worded(lines).join(_few(durable(ends)), LINE, "left_semi").dropDuplicates(LINE))
+    joined = pairs.join(known.toDF(*X, "xl"), X).join(known.toDF(*Y, "yl"), Y)
+    sets = joined.select(*X, *(F.array_distinct(_words(F.col(c))).alias(c) for c in ("xl", "yl")))
+    common = F.size(F.array_intersect("xl", "yl"))
+    alike = common * (a + b) >= (F.size("xl") + F.size("yl")) * a
+    return durable(sets.filter(alike).select(*X).distinct().toDF(*LINE))
 
 
 def removed_lines(df: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
     """``(d, r, ln)``: the lines that have an earlier match, as a written table."""
-    rarity = _rarity(word_buckets(df, text))
     every = lines_of(df, doc_id, text, row)
-    n = F.size("keys")
-    lines = durable(
-        line_sets(every, rarity).select(
-            *LINE,
-            F.xxhash64("keys").alias("h"),
-            n.alias("n"),
-            _parity(F.col("keys")).alias("s"),
-            F.slice("keys", F.lit(1), _prefix_length(n)).alias("prefix"),
-        )
-    )
-    # Lines with one and the same set: the earliest stands for all.
+    lines = durable(line_sets(every, rarity_table(df, text)))
+    # Lines with one and the same set: the earliest stands for all, and only such lines meet one another.
+    same = ["h", "n", "s", "u"]
     heads = durable(
-        lines.groupBy("h", "n").agg(F.min(F.struct(*LINE)).alias("head"), F.count("*").alias("c"))
-    ).select("h", "n", F.col("head.d").alias("hd"), F.col("head.r").alias("hr"), F.col("head.ln").alias("hln"), "c")
-    # Every other copy goes, and only the earliest meet one another.
-    narrow = lines.select(*LINE, "h", "n")
-    repeated = _few(heads.filter("c > 1"))
-    later = durable(narrow.join(repeated, ["h", "n"]).filter("hd <> d or hr <> r or hln <> ln").select(*LINE))
-    joining = lines.filter(F.col("n") >= JOIN_WORDS)
-    distinct = joining.join(_few(later), LINE, "left_anti").select(*LINE, "n", "s", "prefix")
-    pairs = durable(candidates(distinct))
-    similar = durable(_verified(pairs.select(*PAIR), every, rarity))
-    tested = pairs.filter("quick").select(*X).distinct()
-    missed = durable(tested.join(similar, X, "left_anti"))
-    if not missed.isEmpty():
-        again = distinct.join(_few(missed).toDF(*LINE), LINE, "left_semi")
-        more = durable(candidates(distinct, again)).select(*PAIR)
-        similar = similar.unionByName(_verified(more, every, rarity))
-    return durable(later.unionByName(similar.toDF(*LINE)).distinct())
+        lines.groupBy(*same)
+        .agg(F.min(F.struct(*LINE, "prefix")).alias("head"), F.count("*").alias("c"))
+        .select(*same, "c", "head.*")
+    )
+    repeated = heads.filter("c > 1").select(*same, *(F.col(c).alias(f"h{c}") for c in LINE))
+    copies = lines.select(*LINE, *same).join(_few(repeated), same)
+    later = durable(copies.filter("hd <> d or hr <> r or hln <> ln").select(*LINE))
+    listed = durable(lists(heads.filter(F.col("n") >= JOIN_WORDS).select(*LINE, "n", "s", "u", "prefix")))
+    gone = later
+    rounds = (
+        lambda few: against_earliest(listed),
+        lambda few: _nearest(_in_lists(listed, few)),
+        lambda few: _in_lists(listed, few).select(*PAIR).distinct(),
+    )
+    # The lines still open: at first all, then those without a verified match, then those with an unverified one.
+    few = None
+    for number, search in enumerate(rounds):
+        pairs = durable(search(few))
+        found = _verified(pairs, every)
+        gone = gone.unionByName(found)
+        start = listed.select(*LINE).distinct() if number == 0 else pairs.select(*X).toDF(*LINE)
+        few = durable(start.join(found, LINE, "left_anti"))
+        if few.isEmpty():
+            break
+    return durable(gone.distinct())
 
 
 def without_removed(df: DataFrame, removed: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:

@@ -18,7 +18,7 @@ def brute(rows):
     for i, (doc_id, text) in enumerate(rows):
         for ln, line in enumerate((text or "").split("\n") if text is not None else []):
             words = frozenset(w for w in re.split(r"[\x20\x09-\x0D]+", line.lower()) if w)
-            if len(words) >= linedup.MIN_WORDS:
+            if words:
                 lines.append(((doc_id is not None, doc_id or 0, ln), i, ln, words))
     gone = {}
     for key, i, ln, words in lines:
