@@ -50,6 +50,8 @@ JOIN_WORDS = 4
 BUCKETS = 1 << 21
 # Rarity classes: two per doubling of the count; 0 for words that occur once.
 CLASSES = 62
+# Words of a line whose lists' earliest lines are tried first.
+EARLY_WORDS = 3
 # Rows up to which the list of affected documents is broadcast instead of shuffled.
 BROADCAST_ROWS = 300_000
 
@@ -101,9 +103,8 @@ def _parity(hashes: Column, half: int) -> Column:
     """Every word has one of 128 bits; of one half of them, whether an odd number of the words has it."""
 
     def bit(h: Column) -> Column:
-        mine = F.shiftrightunsigned(h, 28).bitwiseAND(F.lit(1))
-        place = F.shiftrightunsigned(h, 22).bitwiseAND(F.lit(63)).cast("int")
-        return F.call_function("shiftleft", mine if half else F.lit(1).cast("long") - mine, place)
+        mine = F.shiftrightunsigned(h if half else F.bitwise_not(h), 63)
+        return F.call_function("shiftleft", mine, h.bitwiseAND(F.lit(63)).cast("int"))
 
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
 
@@ -125,16 +126,20 @@ def worded(lines: DataFrame) -> DataFrame:
 def line_sets(lines: DataFrame, table: bytes) -> DataFrame:
     """``(d, r, ln, h, n, s, u, prefix)``: every line with a word.
 
-    ``h`` is the hash of its set, ``n`` its size, ``s`` and ``u`` are its parity bits, ``prefix`` its rarest words.
+    ``h`` is the hash of its set, ``n`` its size, ``s`` and ``u`` are its parity bits, ``prefix`` its
+    rarest words, as halves of their hashes: more would only keep apart what the filters and the verification keep
+    apart anyway. Words that occur once in all texts are null there, they have no other line to find.
     """
     hashed = worded(lines).select(*LINE, F.sort_array(_word_hashes(F.col("line"))).alias("hashes"))
     n = F.size("hashes")
+    rarest = F.slice(_ordered(F.col("hashes"), F.lit(bytearray(table))), F.lit(1), _prefix_length(n))
+    once = -(CLASSES // 2)
     return hashed.select(
         *LINE,
         F.xxhash64("hashes").alias("h"),
         n.alias("n"),
         *(_parity(F.col("hashes"), half).alias(name) for half, name in enumerate("su")),
-        F.slice(_ordered(F.col("hashes"), F.lit(bytearray(table))), F.lit(1), _prefix_length(n)).alias("prefix"),
+        F.transform(rarest, lambda k: F.when(F.shiftright(k, 58) > once, F.hash(k))).alias("prefix"),
     )
 
 
@@ -167,48 +172,57 @@ def _earlier(y: str, x: str) -> Column:
     return F.expr(f"{y}d < {x}d or ({y}d = {x}d and ({within}))")
 
 
-def postings(lines: DataFrame) -> DataFrame:
-    """One row per prefix word of every line: ``(w, d, r, ln, np, s, u)``.
-
-    ``w`` is half of the word's hash: more would only keep apart what the filters and the
-    verification keep apart anyway. ``np`` holds the line's words and the word's position.
-    Words that occur once in all texts have no other line to find.
-    """
-    once = F.expr(f"shiftright(k, 58) = {-(CLASSES // 2)}")
-    spread = lines.select(F.posexplode("prefix").alias("p", "k"), *LINE, "n", "s", "u").filter(~once)
-    return spread.select(
-        F.hash("k").alias("w"), *LINE, F.expr("shiftleft(cast(n as bigint), 32) | p").alias("np"), "s", "u"
-    )
-
-
 X, Y = (["xd", "xr", "xln"], ["yd", "yr", "yln"])
 PAIR = [*X, *Y]
 PARTS = [*LINE, "np", "s", "u"]
 
 
-def _as(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select("w", *(F.col(c).alias(prefix + c) for c in PARTS))
+def postings(lines: DataFrame, *more: str) -> DataFrame:
+    """``(w, d, r, ln, np, s, u)``, one row per prefix word of every line, and the columns ``more``.
 
+    ``np`` holds the line's words and the word's position.
+    """
+    spread = lines.select(F.posexplode("prefix").alias("p", "w"), *LINE, "n", "s", "u", *more).filter("w is not null")
+    return spread.select("w", *LINE, F.expr("shiftleft(cast(n as bigint), 32) | p").alias("np"), "s", "u", *more)
 
-def lists(lines: DataFrame) -> DataFrame:
-    """The postings that share a word with another line, each with the earliest of its list as ``f``."""
-    in_list = Window.partitionBy("w")
-    headed = postings(lines).withColumn("f", F.first(F.struct(*PARTS)).over(in_list.orderBy(*LINE)))
-    return headed.withColumn("c", F.count("*").over(in_list)).filter("c > 1").drop("c")
 
+def _as(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select("w", *(F.col(c).alias(prefix + c) for c in df.columns if c != "w"))
 
-def against_earliest(listed: DataFrame) -> DataFrame:
-    """Per line the partner of nearest parity among the earliest of its lists."""
-    both = listed.select(
+
+def against_earliest(lines: DataFrame) -> DataFrame:
+    """Per line the partner of nearest parity among the earliest of the lists of its rarest words."""
+    rare = F.slice(F.filter("prefix", lambda w: w.isNotNull()), 1, EARLY_WORDS)
+    own = F.transform(rare, lambda w: F.struct((F.array_position("prefix", w) - 1).alias("p"), w.alias("w")))
+    spread = lines.select(*LINE, "n", "s", "u", F.inline(own))
+    posts = spread.select("w", *LINE, F.expr("shiftleft(cast(n as bigint), 32) | p").alias("np"), "s", "u")
+    headed = posts.withColumn("f", F.first(F.struct(*PARTS)).over(Window.partitionBy("w").orderBy(*LINE)))
+    both = headed.select(
         *(F.col(c).alias(f"x{c}") for c in PARTS), *(F.col(f"f.{c}").alias(f"y{c}") for c in PARTS)
     )
     return _nearest(both.filter(_earlier("y", "x") & _may_match("x", "y")))
 
 
-def _in_lists(listed: DataFrame, few: DataFrame) -> DataFrame:
-    """Postings of the lines ``few`` with all earlier ones of their lists that pass the filters."""
-    x = _as(listed.join(few, LINE, "left_semi"), "x")
-    return x.join(_as(listed, "y"), "w").filter(_earlier("y", "x") & _may_match("x", "y"))
+def within_lists(lines: DataFrame, settled: DataFrame) -> DataFrame:
+    """Per line that is not settled the partner of nearest parity among all earlier lines of its lists.
+
+    Both sides of the join read one and the same shuffle. So what keeps settled lines from searching
+    must not be a filter of one side: their ``least`` is above any ``np``.
+    """
+    known = _few(settled.withColumn("done", F.lit(1 << 62)))
+    flagged = lines.join(known, LINE, "left").withColumn("least", F.coalesce("done", F.lit(0).cast("long")))
+    posts = postings(flagged, "least").repartition("w")
+    found = _as(posts, "x").join(_as(posts, "y"), "w").filter(
+        _earlier("y", "x") & _may_match("x", "y") & F.expr("xleast <= ynp")
+    )
+    return _nearest(found)
+
+
+def all_partners(lines: DataFrame, few: DataFrame) -> DataFrame:
+    """All pairs of the lines ``few`` with earlier ones that pass the filters."""
+    x = _few(durable(_as(postings(lines.join(_few(few), LINE, "left_semi")), "x")))
+    found = x.join(_as(postings(lines), "y"), "w").filter(_earlier("y", "x") & _may_match("x", "y"))
+    return found.select(*PAIR).distinct()
 
 
 def _nearest(found: DataFrame) -> DataFrame:
@@ -248,23 +262,15 @@ def removed_lines(df: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
     repeated = heads.filter("c > 1").select(*same, *(F.col(c).alias(f"h{c}") for c in LINE))
     copies = lines.select(*LINE, *same).join(_few(repeated), same)
     later = durable(copies.filter("hd <> d or hr <> r or hln <> ln").select(*LINE))
-    listed = durable(lists(heads.filter(F.col("n") >= JOIN_WORDS).select(*LINE, "n", "s", "u", "prefix")))
-    gone = later
-    rounds = (
-        lambda few: against_earliest(listed),
-        lambda few: _nearest(_in_lists(listed, few)),
-        lambda few: _in_lists(listed, few).select(*PAIR).distinct(),
-    )
-    # The lines still open: at first all, then those without a verified match, then those with an unverified one.
-    few = None
-    for number, search in enumerate(rounds):
-        pairs = durable(search(few))
-        found = _verified(pairs, every)
-        gone = gone.unionByName(found)
-        start = listed.select(*LINE).distinct() if number == 0 else pairs.select(*X).toDF(*LINE)
-        few = durable(start.join(found, LINE, "left_anti"))
-        if few.isEmpty():
-            break
+    joining = heads.filter(F.col("n") >= JOIN_WORDS).select(*LINE, "n", "s", "u", "prefix")
+    settled = _verified(durable(against_earliest(joining)), every)
+    nearest = durable(within_lists(joining, settled))
+    found = _verified(nearest, every)
+    gone = later.unionByName(settled).unionByName(found)
+    # Lines whose nearest partner is too far may still have another one.
+    few = durable(nearest.select(*X).toDF(*LINE).join(found, LINE, "left_anti"))
+    if not few.isEmpty():
+        gone = gone.unionByName(_verified(durable(all_partners(joining, few)), every))
     return durable(gone.distinct())
 
 
