@@ -159,7 +159,7 @@ def _may_match(x: str, y: str) -> Column:
     """
     a, b = THRESHOLD
     n1, n2 = f"shiftright({x}np, 32)", f"shiftright({y}np, 32)"
-    after1, after2 = (f"({n} - ({s}np & 4294967295))" for n, s in ((n1, x), (n2, y)))
+    after1, after2 = (f"({n} - ({s}np & 2147483647))" for n, s in ((n1, x), (n2, y)))
     return F.expr(
         f"{a + b} * {_distance(x, y)} <= {b - a} * ({n1} + {n2})"
         f" and {b} * least({n1}, {n2}) >= {a} * greatest({n1}, {n2})"
@@ -177,13 +177,16 @@ PAIR = [*X, *Y]
 PARTS = [*LINE, "np", "s", "u"]
 
 
-def postings(lines: DataFrame, *more: str) -> DataFrame:
-    """``(w, d, r, ln, np, s, u)``, one row per prefix word of every line, and the columns ``more``.
+def postings(lines: DataFrame) -> DataFrame:
+    """``(w, d, r, ln, np, s, u)``, one row per prefix word of every line.
 
-    ``np`` holds the line's words and the word's position.
+    ``np`` holds the line's words, whether it is ``done`` (where ``lines`` tells), and the word's position.
     """
-    spread = lines.select(F.posexplode("prefix").alias("p", "w"), *LINE, "n", "s", "u", *more).filter("w is not null")
-    return spread.select("w", *LINE, F.expr("shiftleft(cast(n as bigint), 32) | p").alias("np"), "s", "u", *more)
+    done = "cast(done as bigint)" if "done" in lines.columns else "0L"
+    spread = lines.withColumn("np", F.expr(f"shiftleft(cast(n as bigint), 32) | shiftleft({done}, 31)")).select(
+        F.posexplode("prefix").alias("p", "w"), *LINE, "np", "s", "u"
+    )
+    return spread.filter("w is not null").select("w", *LINE, F.expr("np | p").alias("np"), "s", "u")
 
 
 def _as(df: DataFrame, prefix: str) -> DataFrame:
@@ -206,15 +209,15 @@ def against_earliest(lines: DataFrame) -> DataFrame:
 def within_lists(lines: DataFrame, settled: DataFrame) -> DataFrame:
     """Per line that is not settled the partner of nearest parity among all earlier lines of its lists.
 
-    Both sides of the join read one and the same shuffle. So what keeps settled lines from searching
-    must not be a filter of one side: their ``least`` is above any ``np``.
+    Both sides of the join read one and the same shuffle. So what keeps settled lines from searching must be no
+    filter of one side: their bit ``done`` is above any number of words.
     """
-    known = _few(settled.withColumn("done", F.lit(1 << 62)))
-    flagged = lines.join(known, LINE, "left").withColumn("least", F.coalesce("done", F.lit(0).cast("long")))
-    posts = postings(flagged, "least").repartition("w")
-    found = _as(posts, "x").join(_as(posts, "y"), "w").filter(
-        _earlier("y", "x") & _may_match("x", "y") & F.expr("xleast <= ynp")
-    )
+    known = _few(settled.withColumn("done", F.lit(True)))
+    flagged = lines.join(known, LINE, "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    posts = postings(flagged).repartition("w")
+    is_open = F.expr("xnp & 2147483648L < shiftright(ynp, 32)")
+    both = _as(posts, "x").join(_as(posts, "y"), "w")
+    found = both.filter(_earlier("y", "x") & _may_match("x", "y") & is_open)
     return _nearest(found)
 
 
