@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -113,3 +114,102 @@ def test_rows_that_share_an_id(spark):
     assert len(done) == len(rows)
     assert not [r for r in done if "Zanzibarov" in r.sanitised]
     assert sum("weather" in r.sanitised for r in done) == 200
+
+
+def test_text_of_very_many_matches(spark):
+    """200,000 addresses in one text: positions in near-linear time and bounded memory."""
+    parts = [f"u{i}@ex.com" for i in range(200_000)]
+    text = "é😀 " + " ".join(parts)
+    df = spark.createDataFrame([(1, text), (2, "+4930123456789 " * 30_000)], "doc_id long, text string")
+    spanned = sanitise.find_personal_data(df)
+    found = {r.doc_id: r for r in sanitise.span_report(spanned).collect()}
+    at, spans = 3, []
+    for part in parts:
+        spans.append(f"email:{at}:{at + len(part)}")
+        at += len(part) + 1
+    assert found[1].spans == ",".join(spans) and found[2].n_phone == 30_000
+    done = {r.doc_id: r.sanitised for r in sanitise.sanitised(spanned).collect()}
+    assert done[1] == "é😀 " + " ".join(["[EMAIL]"] * len(parts))
+    assert done[2] == "[PHONE] " * 30_000
+
+
+def test_overlapping_spans_become_one(spark):
+    # The card's digits reach into the phone number's; nothing of either is left.
+    text = "x 4111 1111 1111 1111.+1234567890 y 1.2.3.4@ex.com z"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = sanitise.sanitised(sanitise.find_personal_data(df)).collect()
+    assert row.sanitised == "x [CARD].[PHONE] y [EMAIL] z"
+
+
+BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
+
+
+def term_of(word):
+    return re.sub(r"^[\W_]+|[\W_]+$", "", word).lower()
+
+
+def brute_terms(texts, limits):
+    """Disclosing terms by the definition, all pairs of all documents."""
+    words, mentions = [], []
+    for text in texts:
+        spans = expected(text)
+        bare = list(text)
+        for s, _, e, _ in spans:
+            bare[s:e] = " " * (e - s)
+        words.append({term_of(w) for w in re.split(f"[{BLANK}]+", "".join(bare))} - {""})
+        w = limits.surrounding_chars
+        around = {}
+        for s, _, e, kind in spans:
+            around.setdefault((text[s:e].lower(), kind), set()).add((text[max(0, s - w) : s], text[e : e + w]))
+        mentions.append(around)
+    found = {}
+    for entity in {x for m in mentions for x in m}:
+        holders = [i for i, m in enumerate(mentions) if entity in m]
+        for term in {t for i in holders for t in words[i]}:
+            both = [i for i in holders if term in words[i]]
+            # One surrounding per document here, so which one a document is known by is plain.
+            contexts = {next(iter(mentions[i][entity])) for i in both}
+            share = len(both) / sum(term in w for w in words)
+            bits = math.log2(share * len(texts) / len(holders))
+            if len(contexts) >= limits.min_contexts and share >= limits.min_share and bits >= limits.min_bits:
+                found[term] = max(found.get(term, (0, 0, "")), (share, bits, entity[1]))
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_terms_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    people = [("Wu", "wu@ex.com"), ("K7", "+4930123456789"), ("李雷", "li@ex.com"), ("Zanzibarov", "10.0.0.7"), ("Ann", "ann@ex.com")]
+    texts = []
+    for i in range(400):
+        said = [rng.choice(["the", "rain", "in", "Spain,", "falls", "mainly", "x1", "on"]) for _ in range(rng.randrange(40))]
+        if rng.random() < 0.15:
+            name, value = rng.choice(people)
+            if rng.random() < 0.9:
+                said.insert(0, f"({name})")
+            said += ["far"] * rng.choice([0, 2_000]) + [rng.choice(["call", "mail", "see", "ask"]), value]
+        elif rng.random() < 0.02:
+            said.append(rng.choice(people)[0])
+        texts += [" ".join(said)] * rng.choice([1, 1, 1, 4])
+    limits = sanitise.Thresholds(min_bits=2.0, min_share=0.4)
+    want = brute_terms(texts, limits)
+    assert {"wu", "k7", "李雷"} & set(want)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    spotted = sanitise.durable(sanitise.with_base_spans(df.withColumn("doc", F.col("doc_id"))))
+    terms, held = sanitise.disclosing_terms(spotted, limits)
+    got = {r.term: (r.share, r.bits, r.kind) for r in terms.collect()}
+    assert got.keys() == want.keys()
+    for term, (share, bits, kind) in want.items():
+        assert got[term] == (pytest.approx(share), pytest.approx(bits), kind)
+    assert {r.doc for r in held.filter(F.col("term") == "wu").collect()} == {
+        i for i, t in enumerate(texts) if re.search(r"\bWu\b", t)
+    } or "wu" not in want
+
+
+def test_a_name_far_from_the_address(spark):
+    rows = [(i, f"Zanzibarov {'word ' * 1_000} tell{i} jo@ex.com now{i}") for i in range(5)]
+    rows += [(100 + i, f"word tell and now {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    done = {r.doc_id: r.sanitised for r in sanitise.sanitised(sanitise.find_personal_data(df)).collect()}
+    assert all("Zanzibarov" not in done[i] and "jo@" not in done[i] and "word word" in done[i] for i in range(5))
+    assert done[100] == "word tell and now 0"
