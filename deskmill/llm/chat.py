@@ -304,6 +304,8 @@ def fold(tree: list) -> list:
 # -- closures --------------------------------------------------------------------
 
 Sink = Callable[[str, bool], None]
+# What is written: pieces of text, each with whether it is generated.
+Pieces = Iterator[tuple[str, bool]]
 
 
 def _value(tree: tuple) -> Callable[[dict], object]:
@@ -332,39 +334,35 @@ def _value(tree: tuple) -> Callable[[dict], object]:
     return lambda scope: apply(a(scope), b(scope))
 
 
-def _writer(tree: list) -> Callable[[dict, Sink, bool], None]:
+def _writer(tree: list) -> Callable[[dict, bool], Pieces]:
     steps = [_step(node) for node in tree]
     if len(steps) == 1:
         return steps[0]
 
-    def write(scope: dict, sink: Sink, generated: bool) -> None:
+    def write(scope: dict, generated: bool) -> Pieces:
         for step in steps:
-            step(scope, sink, generated)
+            yield from step(scope, generated)
 
     return write
 
 
-def _step(node: tuple) -> Callable[[dict, Sink, bool], None]:
+def _step(node: tuple) -> Callable[[dict, bool], Pieces]:
     kind = node[0]
     if kind == "text":
         text = node[1]
-        return lambda scope, sink, generated: sink(text, generated)
+        return lambda scope, generated: ((text, generated),)
     if kind == "put":
         value = _value(node[1])
-        return lambda scope, sink, generated: sink(_shown(value(scope)), generated)
+        return lambda scope, generated: ((_shown(value(scope)), generated),)
     if kind == "generation":
         inner = _writer(node[1])
-        return lambda scope, sink, generated: inner(scope, sink, True)
+        return lambda scope, generated: inner(scope, True)
     if kind == "if":
         test, then, other = _value(node[1]), _writer(node[2]), _writer(node[3])
-
-        def choose(scope: dict, sink: Sink, generated: bool) -> None:
-            (then if test(scope) else other)(scope, sink, generated)
-
-        return choose
+        return lambda scope, generated: (then if test(scope) else other)(scope, generated)
     name, body = node[1], _writer(node[2])
 
-    def walk(scope: dict, sink: Sink, generated: bool) -> None:
+    def walk(scope: dict, generated: bool) -> Pieces:
         messages = iter(scope["messages"])
         now = next(messages, None)
         index = 0
@@ -372,16 +370,28 @@ def _step(node: tuple) -> Callable[[dict, Sink, bool], None]:
             following = next(messages, None)
             index += 1
             loop = {"index": index, "first": index == 1, "last": following is None}
-            body({**scope, name: now, "loop": loop}, sink, generated)
+            yield from body({**scope, name: now, "loop": loop}, generated)
             now = following
 
     return walk
 
 
+def compile_stream(template: str) -> Callable[[Iterator[dict]], Pieces]:
+    """A function that gives the pieces of a conversation (an iterator of messages) one by
+    one, reading no more than one message ahead."""
+    write = _writer(fold(parse(template)))
+    return lambda messages: iter(write({"messages": messages}, False))
+
+
 def compile_template(template: str) -> Callable[[Iterator[dict], Sink], None]:
     """A function that writes a conversation (an iterator of messages) to a sink."""
-    write = _writer(fold(parse(template)))
-    return lambda messages, sink: write({"messages": messages}, sink, False)
+    stream = compile_stream(template)
+
+    def write(messages: Iterator[dict], sink: Sink) -> None:
+        for text, generated in stream(messages):
+            sink(text, generated)
+
+    return write
 
 
 # -- over tables -----------------------------------------------------------------
@@ -401,7 +411,6 @@ def format_conversations(
     Chunks break between messages only, and those of a conversation lie in one
     partition, in order; a conversation is streamed through, whatever its length.
     """
-    write = compile_template(template)
     turns = df.select(
         F.col(conv_id).alias("conv_id"),
         F.col(turn).alias("turn"),
@@ -411,6 +420,14 @@ def format_conversations(
     kind = turns.schema["conv_id"].dataType.simpleString()
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
+    return ordered.mapInArrow(chunked(template), f"conv_id {kind}, chunk long, text string, spans array<array<int>>")
+
+
+def chunked(template: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from batches of sorted turns to batches of chunks. It holds one message,
+    its batch, and about ``CHUNK`` code points of output."""
+    stream = compile_stream(template)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []
         id_type = None
@@ -423,14 +440,30 @@ def format_conversations(
 
         source = rows()
         head = next(source, None)
+        held = 0  # code points in the chunks that are ready
         while head is not None:
             key = head[0]
+            full = False  # whether a chunk may end before the next piece
+
+            def messages() -> Iterator[dict]:
+                nonlocal head, full
+                while head is not None and head[0] == key:
+                    now, head = head, next(source, None)
+                    yield {"role": now[1], "text": now[2]}
+                    # Looking ahead for loop.last runs one message before the pieces.
+                    full = length > CHUNK
+
             parts: list[str] = []
             spans: list[list[int]] = []
             length = chunk = 0
-
-            def sink(piece: str, generated: bool) -> None:
-                nonlocal length
+            for piece, generated in stream(messages()):
+                if full:
+                    ready.append((key, chunk, "".join(parts), spans))
+                    held += length
+                    parts, spans, length, chunk, full = [], [], 0, chunk + 1, False
+                    if held > CHUNK:
+                        yield _chunks(ready, id_type)
+                        ready, held = [], 0
                 if generated and piece:
                     if spans and spans[-1][1] == length:
                         spans[-1][1] += len(piece)
@@ -438,32 +471,15 @@ def format_conversations(
                         spans.append([length, length + len(piece)])
                 parts.append(piece)
                 length += len(piece)
-
-            def messages() -> Iterator[dict]:
-                nonlocal head, length, chunk
-                while head is not None and head[0] == key:
-                    now, head = head, next(source, None)
-                    yield {"role": now[1], "text": now[2]}
-                    # Looking ahead for loop.last runs one message before the writer.
-                    if length > CHUNK:
-                        close()
-
-            def close() -> None:
-                nonlocal length, chunk
-                ready.append((key, chunk, "".join(parts), list(spans)))
-                parts.clear()
-                spans.clear()
-                length, chunk = 0, chunk + 1
-
-            write(messages(), sink)
-            close()
-            if len(ready) >= 200 or sum(len(r[2]) for r in ready) > CHUNK:
+            ready.append((key, chunk, "".join(parts), spans))
+            held += length
+            if len(ready) >= 200 or held > CHUNK:
                 yield _chunks(ready, id_type)
-                ready.clear()
+                ready, held = [], 0
         if ready:
             yield _chunks(ready, id_type)
 
-    return ordered.mapInArrow(run, f"conv_id {kind}, chunk long, text string, spans array<array<int>>")
+    return run
 
 
 def _chunks(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:

@@ -9,7 +9,9 @@ table of blocks, decides which are main text.
 Character references are decoded, white space inside a block becomes one space, and
 the blocks are joined by line ends in page order. Scripts, styles, comments and forms
 are never text. Null and empty pages, and pages without main text, give an empty text.
-Unclosed and wrongly nested tags close with the landmark they lie in. Repeated rows
+Unclosed and wrongly nested tags close with what they lie in. Class words of adverts and the
+like count on every tag, also inside a line. A page is read in one pass in linear time,
+also where quotes, comments or tags are never closed. Repeated rows
 are extracted alike; an empty table gives an empty result; further columns pass
 through :func:`with_main_text`.
 """
@@ -49,16 +51,53 @@ BOILER_WORDS = re.compile(
     re.I,
 )
 COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|replies|discussion|disqus)(?:$|[\s_-])", re.I)
+# Of tags inside a line and of headings only these words count: others, such as "header" or
+# "search", often name parts of an article there.
+ADVERT_WORDS = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|popup|share|sharing|social|newsletter|subscribe|signup)(?:$|[\s_-])",
+    re.I,
+)
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-    r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
-    re.S,
+# What stands between tags, comments, declarations, and the name of a tag. Each alternative
+# ends where it fails or moves on, so a page is read once whatever its markup.
+_TOKEN = re.compile(r"[^<]+|<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)|<", re.S)
+# The end of a tag, or one attribute: its name, and its value in quotes or bare.
+_ATTRIBUTE = re.compile(
+    r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)?))?)"
 )
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in RAW_TAGS}
 
 
+class _Tags:
+    """Reads the attributes of one page's tags, each character once."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last_end = page.rfind(">")
+
+    def read(self, at: int) -> tuple[int, str, str]:
+        """The place after the tag, its class, and its class, id and role together.
+
+        A quote opens a value only where it is closed further on, and is part of a name
+        otherwise; a tag without an end takes the rest of the page.
+        """
+        classes, named = "", []
+        while at <= self.last_end:
+            m = _ATTRIBUTE.match(self.page, at)
+            if m is None:
+                break
+            at = m.end()
+            if m.group(1):
+                return at, classes, " ".join(named)
+            name = m.group(2).lower()
+            value = next(filter(None, m.group(3, 4, 5)), "")
+            if name in ("class", "id", "role"):
+                named.append(value)
+                if name == "class":
+                    classes = value
+        return len(self.page), classes, " ".join(named)
+
+
 @dataclass
 class Block:
     """A run of text and where it stands."""
@@ -72,14 +111,60 @@ class Block:
     item: bool
 
 
+class _Open:
+    """The open tags, innermost last, with what holds inside: main, boiler, unseen."""
+
+    def __init__(self):
+        self.tags: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
+
+    @property
+    def now(self) -> tuple[str, bool, bool, bool]:
+        return self.tags[-1]
+
+    def push(self, name: str, main: bool, boiler: bool, unseen: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.tags))
+        if name in BLOCK_TAGS:
+            self.block_places.append(len(self.tags))
+        self.tags.append((name, main, boiler, unseen))
+
+    def place(self, name: str) -> int:
+        """Where the innermost open ``name`` stands; 0 if there is none."""
+        places = self.places.get(name)
+        return places[-1] if places else 0
+
+    def close_from(self, place: int) -> None:
+        while len(self.tags) > place:
+            self.places[self.tags.pop()[0]].pop()
+        while self.block_places and self.block_places[-1] >= place:
+            self.block_places.pop()
+
+    def close(self, name: str) -> None:
+        """The innermost ``name`` and all inside it, unless a list or table stands between."""
+        place = self.place(name)
+        if place and place > max((self.place(t) for t in _BOUNDS.get(name, ())), default=0):
+            self.close_from(place)
+
+    def make_way(self, name: str) -> None:
+        """Close what the start of a block tag ends by itself: paragraphs, and items before an item."""
+        if self.place("p"):
+            self.close_from(self.place("p"))
+        if name == "body":
+            self.close("head")
+        while self.block_places and self.tags[self.block_places[-1]][0] in _ENDS.get(name, ()):
+            self.close_from(self.block_places[-1])
+
+
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     found: list[Block] = []
     parts: list[str] = []
     linked = 0
     in_link = 0
-    # Open landmarks: (tag, main, boiler) as they hold inside.
-    open_tags: list[tuple[str, bool, bool]] = [("", False, False)]
+    open_tags = _Open()
+    tags = _Tags(page)
+    last_cdata = page.rfind("]]>")
     tag_now = ""
 
     def close_block() -> None:
@@ -88,12 +173,19 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                _, main, boiler = open_tags[-1]
+                _, main, boiler, _ = open_tags.now
                 found.append(
                     Block(text, text.count(" ") + 1, linked, main, boiler, tag_now in _HEADINGS, tag_now in _ITEMS)
                 )
         linked = 0
 
+    def say(text: str) -> None:
+        nonlocal linked
+        if not open_tags.now[3]:
+            parts.append(text)
+            if in_link:
+                linked += len(text.split())
+
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
@@ -101,61 +193,85 @@ def blocks(page: str) -> list[Block]:
         name = m.group(2)
         if name is None:
             text = m.group()
-            if text[0] != "<" or text == "<":
-                parts.append(text)
-                if in_link:
-                    linked += len(text.split())
-            elif text.startswith("<![CDATA["):
-                parts.append(html.escape(text[9:-3], quote=False))
+            if text == "<![CDATA[":
+                # Its text stands for itself; an open one is a mark without meaning.
+                if at <= last_cdata:
+                    stop = page.index("]]>", at)
+                    say(html.escape(page[at:stop], quote=False))
+                    at = stop + 3
+            elif text[0] != "<" or text == "<":
+                say(text)
             continue
         name = name.lower()
         closing = bool(m.group(1))
+        at, classes, named = tags.read(at)
         if name in _RAW_END and not closing:
             stop = _RAW_END[name].search(page, at)
             at = stop.end()
             if name not in ("button", "svg", "math", "object"):
                 continue
-            parts.append(" ")
+            say(" ")
             continue
         if name == "a":
             in_link = 0 if closing else 1
-            continue
         if name == "br":
-            parts.append(" ")
+            say(" ")
             continue
         if name not in BLOCK_TAGS:
+            if closing:
+                open_tags.close(name)
+            elif name not in VOID_TAGS:
+                _, main, boiler, unseen = open_tags.now
+                advert = bool(classes and ADVERT_WORDS.search(classes))
+                # Other tags inside a line only matter where one of that name must be paired up.
+                if advert or open_tags.place(name):
+                    open_tags.push(name, main, boiler, unseen or advert)
             continue
         close_block()
         in_link = 0
         if closing:
             tag_now = ""
-            for i in range(len(open_tags) - 1, 0, -1):
-                if open_tags[i][0] == name:
-                    del open_tags[i:]
-                    break
+            # The end of any heading ends the open one.
+            open_tags.close(open_tags.now[0] if name in _HEADINGS and open_tags.now[0] in _HEADINGS else name)
             continue
         tag_now = name
-        if name in VOID_TAGS or name in _UNTRACKED:
+        open_tags.make_way(name)
+        if name in VOID_TAGS or name in ("html", "body"):
             continue
-        _, main, boiler = open_tags[-1]
-        named = " ".join(next(filter(None, x), "") for x in _NAMED.findall(m.group(3))) if m.group(3) else ""
+        _, main, boiler, unseen = open_tags.now
         if name in MAIN_TAGS:
             # An article inside a comment list or a sidebar stays what surrounds it.
             main = True
             boiler = boiler or bool(named and COMMENT_WORDS.search(named))
         elif name in BOILER_TAGS or name == "header" and not main:
             boiler = True
-        elif named and name not in ("body", "html") and BOILER_WORDS.search(named):
+        elif name in _HEADINGS:
+            boiler = boiler or bool(classes and ADVERT_WORDS.search(classes))
+        elif name in _LINES:
+            boiler = boiler or bool(classes and BOILER_WORDS.search(classes))
+        elif named and BOILER_WORDS.search(named):
             boiler = True
-        open_tags.append((name, main, boiler))
+        open_tags.push(name, main, boiler, unseen)
     close_block()
     return found
 
 
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _ITEMS = frozenset(("li", "td", "th", "dt", "dd", "option"))
-# Tags that are often left open and hold no landmarks.
-_UNTRACKED = _HEADINGS | _ITEMS | {"p", "tr", "thead", "tbody", "tfoot", "caption", "optgroup", "html", "body"}
+# Tags of which only the class is read: their ids are often made from an article's own words.
+_LINES = _ITEMS | {"p", "tr", "thead", "tbody", "tfoot", "caption", "optgroup"}
+# What the start of a tag closes where it stands innermost.
+_ENDS = {
+    **{h: _HEADINGS for h in _HEADINGS},
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
+    "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"},
+    **{t: {"td", "th", "tr", "thead", "tbody", "tfoot", "caption"} for t in ("thead", "tbody", "tfoot")},
+}
+# What the end of a tag does not reach beyond.
+_BOUNDS = {
+    "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",),
+    **{t: ("table",) for t in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption")},
+}
 
 
 def features(found: list[Block]) -> np.ndarray:

@@ -101,3 +101,46 @@ def test_round_trip(spark):
     assert found == expected(rows)
     assert formatted.filter("conv_id = 99").count() > 1
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_a_conversation_is_streamed():
+    """Pieces of a conversation come out while its messages are still being read."""
+    read = 0
+
+    def messages():
+        nonlocal read
+        for i in range(100_000):
+            read += 1
+            yield {"role": "assistant" if i % 2 else "user", "text": f"text {i}"}
+
+    pieces = chat.compile_stream(chat.TEMPLATE)(messages())
+    seen = "".join(next(pieces)[0] for _ in range(40))
+    assert "text 0" in seen and read <= 42
+    assert sum(len(t) for t, _ in pieces) > 1_000_000 and read == 100_000
+
+
+def test_chunks_come_out_before_the_end(spark):
+    """The chunks of one long conversation leave in several batches, each of bounded size."""
+    import pyarrow as pa
+
+    df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    taken = {}
+
+    formatted = chat.format_conversations(df)
+    run = chat.chunked(chat.TEMPLATE)
+
+    def batches():
+        for i in range(300):
+            taken["read"] = i
+            n = 100
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([1] * n), pa.array(range(n)), pa.array(["user"] * n), pa.array(["y" * 1_000] * n)],
+                names=["conv_id", "turn", "role", "text"],
+            )
+
+    out = run(batches())
+    first = next(out)
+    assert taken["read"] < 10 and first.num_rows <= 3
+    sizes = [sum(len(t) for t in b.column(2).to_pylist()) for b in [first, *out]]
+    assert max(sizes) < 4 * chat.CHUNK and sum(sizes) > 30_000_000
+    assert formatted.count() == 1

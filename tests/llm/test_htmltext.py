@@ -80,3 +80,46 @@ def test_random_bytes():
     rng = random.Random(2)
     for _ in range(300):
         htmltext.main_text("".join(rng.choice("<>/!-apdiv =\"'&;#x \n") for _ in range(rng.randrange(80))), TREE)
+
+
+def article(inner):
+    return htmltext.main_text(f"<main><article><p>Some words come first here.</p>{inner}</article></main>", TREE).split("\n")[1:]
+
+
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ('<p class="advert">Buy this</p><p>Kept</p>', ["Kept"]),
+        ('<p class="advert">Buy this<p>Kept', ["Kept"]),
+        ('<ul><li class="share">Share<li>Kept</ul>', ["Kept"]),
+        ('<ul><li class="share"><ul><li>In</li></ul>Out</li><li>Kept</li></ul>', ["Kept"]),
+        ('<ul><li><span class="ad">Buy<li>Kept</ul>', ["Kept"]),
+        ('<p>One <span class="ad">Buy <span>more</span> now</span> two</p>', ["One two"]),
+        ('<p>One <span class="ad">Buy</p><p>two</p>', ["One", "two"]),
+        ('<p>One <a class="promo-link" href="x">Buy</a> two <a href="y">three</a></p>', ["One two three"]),
+        ("<p><b don't>bold</b> text</p>", ["bold text"]),
+        ("<p><b x='>bold</b> text</p>", ["bold text"]),
+        ('<p title="a > b">x</p>', ["x"]),
+        ("<p>a<![CDATA[b</p><p>c</p>", ["ab", "c"]),
+        ("<p>a<![CDATA[1 < 2]]>b</p>", ["a1 < 2b"]),
+        ("<p>a<!-->b<!---->c<!-- <p>d</p> --!>e</p>", ["abce"]),
+        ('<h2 id="search">Search</h2><h2 class="entry-header">Head</h2><p id="notice">Text</p>', ["Search", "Head", "Text"]),
+        ("<table><tr><td class='ad'>x<td>y<tr><td>z</table>", ["y", "z"]),
+        ("<h2 class='advert'>Buy</h3><p>Kept</p>", ["Kept"]),
+    ],
+)
+def test_fragments(inner, want):
+    assert article(inner) == want
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<b x='", "<b x=", '<b x="', "<b ", "<", "</b", "<![CDATA[", "<!-", "<!--", "<div>", "</section>", "<div></td>", "<ul><li><div></li>", "<span class=ad><h1></h1>", "<p class=ad>", "<b x= ", "<a/", "&", "<script"],
+)
+def test_long_broken_markup(piece):
+    """Two megabytes of each end in time that grows with the length alone."""
+    import time
+
+    began = time.process_time()
+    htmltext.main_text("<article><p>text " + piece * (2_000_000 // len(piece)), TREE)
+    assert time.process_time() - began < 15
