@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from deskmill.functions.times import DAY_US, FIRST_US, HOUR_US, LAST_US
 from deskmill.operators.ids import in_ranges, ordinal
-from deskmill.operators.intervals import longest, overlap_join
+from deskmill.operators.intervals import longest, overlap_join, stored_cells
 from deskmill.session import durable
 
 # Suggestions are whole hours after the wish, before seven days.
@@ -100,17 +100,49 @@ def conflict_pairs(
     requests: DataFrame, appointments: DataFrame, booked: DataFrame | None = None
 ) -> DataFrame:
     """``request_id, id, title`` for every request and appointment in conflict."""
+    return _pairs(requests, _standing(appointments, booked))
+
+
+def _pairs(requests: DataFrame, standing: DataFrame, stored: bool = False) -> DataFrame:
     pairs = overlap_join(
         _wishes(requests),
-        _standing(appointments, booked),
+        standing,
         ("_r_cal", "_a_cal"),
         ("_start", "_end"),
         ("_a_start", "_a_end"),
         f"{_CONFLICTS} AND {_VISIBLE}",
+        stored=stored,
     )
     return pairs.select("request_id", "id", "title")
 
 
+def save_standing(appointments: DataFrame, name: str, buckets: int, path: str | None = None) -> None:
+    """Write the active appointments as table ``name``, once per time cell they reach,
+    bucketed and sorted by calendar and cell.
+
+    Many batches of requests can then be joined with a calendar that is never shuffled
+    again. Rows are spread over the buckets first, so each bucket is one file. A calendar's
+    days lie in different buckets; a single day of one calendar is one bucket's, and
+    adaptive skew splitting, which needs a shuffle on both sides, does not apply. For such data use
+    :func:`conflict_pairs`. Give at least as many ``buckets`` as the later jobs have shuffle partitions.
+    """
+    span = ("_a_start", "_a_end")
+    cells = stored_cells(_standing(appointments).drop("since_ts", "since_id"), span)
+    writer = cells.repartition(buckets, "_a_cal", "_r_cell").write.mode("overwrite").format("parquet")
+    if path:
+        writer = writer.option("path", path)
+    writer.bucketBy(buckets, "_a_cal", "_r_cell").sortBy("_a_cal", "_r_cell").saveAsTable(name)
+
+
+def stored_conflict_pairs(requests: DataFrame, name: str) -> DataFrame:
+    """As :func:`conflict_pairs`, with the calendar that :func:`save_standing` wrote; only the
+    requests are shuffled."""
+    standing = requests.sparkSession.table(name).selectExpr(
+        "*", "cast(NULL AS timestamp) AS since_ts", "cast(NULL AS bigint) AS since_id"
+    )
+    return _pairs(requests, standing, stored=True)
+
+
 def conflict_pages(pairs: DataFrame, page: int = PAGE) -> DataFrame:
     """All conflicts in numbered pages: ``request_id, page, conflicts``.
 

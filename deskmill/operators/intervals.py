@@ -48,6 +48,14 @@ def _cells(df: DataFrame, side: str, span: tuple[str, str], other_has_long: Colu
     )
 
 
+def stored_cells(right: DataFrame, span: tuple[str, str]) -> DataFrame:
+    """``right`` once per cell, for a table that serves as ``overlap_join(..., stored=True)``.
+
+    Cells for long spans on the left are written too, since a later left side may have some.
+    """
+    return _cells(right, "r", span, F.lit(True))
+
+
 def longest(df: DataFrame, span: tuple[str, str]) -> Column:
     """Length of the longest span of ``df``: one number, found inside the same query."""
     return df.selectExpr(f"coalesce(max(abs({span[1]} - {span[0]})), 0L)").scalar()
@@ -63,6 +71,7 @@ def overlap_join(
     how: str = "inner",
     left_longest: Column | None = None,
     right_longest: Column | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Equi join on a key and a time cell, then the exact ``condition``.
 
@@ -74,14 +83,16 @@ def overlap_join(
 
     Coarse cells are only written where the other side has long spans at all.
     ``left_longest`` and ``right_longest`` are upper bounds of the span lengths;
-    give them where a cheaper table than the side itself knows the bound.
+    give them where a cheaper table than the side itself knows the bound. With ``stored`` the
+    right side is a table of :func:`stored_cells`; bucketed by key and ``_r_cell``, it is
+    joined where it lies.
     """
-    if left_longest is None:
+    if left_longest is None and not stored:
         left_longest = longest(left, left_span)
     if right_longest is None:
         right_longest = longest(right, right_span)
     a = _cells(left, "l", left_span, right_longest > LONG_US)
-    b = _cells(right, "r", right_span, left_longest > LONG_US)
+    b = right if stored else _cells(right, "r", right_span, left_longest > LONG_US)
     latest = "greatest(_l_low, _r_low)"
     is_fine = f"pmod(_l_cell, {DAY_US}L) = 0"
     on = F.expr(

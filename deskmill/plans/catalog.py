@@ -98,6 +98,16 @@ def conflict_pairs(spark, sf_dir):
     return av.conflict_pairs(*_calendar(spark, sf_dir))
 
 
+@query
+def conflict_pairs_stored(spark, sf_dir):
+    requests, appointments = _calendar(spark, sf_dir)
+    path = fresh_dir(spark, "calendar")
+    name = "calendar_" + path[-32:]
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    av.save_standing(appointments, name, buckets, path)
+    return av.stored_conflict_pairs(requests, name)
+
+
 @query
 def availability_check(spark, sf_dir):
     checked = av.check_availability(*_calendar(spark, sf_dir))

@@ -348,6 +348,7 @@ ORACLE = {
         "active",
     ),
     "conflict_pairs": _sql(_PAIRS, *_CALENDAR),
+    "conflict_pairs_stored": _sql(_PAIRS, *_CALENDAR),
     "availability_check": _sql(
         """SELECT r.request_id, l.conflicts IS NULL AS available,
             coalesce(l.conflicts, '') AS conflicts

@@ -228,3 +228,29 @@ def test_busy_times_of_a_hot_day(spark):
     busy = av.busy_times(spark.createDataFrame(appts, APPOINTMENT))
     inside = [r for r in busy.collect() if r.kind != "exact" and r._a_start > 0 and r._a_end <= at(9).timestamp() * 1e6]
     assert len([r for r in inside if r.kind == "span"]) <= 1
+
+
+def test_stored_calendar_is_joined_where_it_lies(spark, tmp_path):
+    """Same pairs as the plain join, and no exchange on the calendar's side of the plan."""
+    rows, appts = random_calendar(11, 300, 300)
+    rows += [(9_000, None, at(1), at(1), 30), (9_001, 0, at(1), None, 30), (9_002, 0, at(1), at(2), None)]
+    appts += [(9_000, None, "t", at(1), at(2), "ok"), (9_001, 0, "t", None, at(2), "ok"), (9_002, 0, "t", at(1), at(2), None)]
+    requests, appointments = spark.createDataFrame(rows, REQUEST), spark.createDataFrame(appts, APPOINTMENT)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        av.save_standing(appointments, "stored_calendar", 8, str(tmp_path / "calendar"))
+        pairs = av.stored_conflict_pairs(requests, "stored_calendar")
+        plan = pairs._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+        )
+        assert "hashpartitioning(_r_cal" in plan and "hashpartitioning(_a_cal" not in plan
+        assert "Bucketed: true" in plan
+        got = sorted(map(tuple, pairs.collect()))
+        assert got == sorted(map(tuple, av.conflict_pairs(requests, appointments).collect())) and got
+        none = spark.createDataFrame([], APPOINTMENT)
+        av.save_standing(none, "stored_calendar", 8, str(tmp_path / "calendar"))
+        assert av.stored_conflict_pairs(requests, "stored_calendar").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE IF EXISTS stored_calendar")
