@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskmill.llm.common import fresh, with_row_key
-from deskmill.session import durable
+from deskmill.session import brief_plans, durable
 
 # Similar lines share at least four of five words of their union.
 THRESHOLD = (4, 5)
@@ -70,14 +70,19 @@ def _words(line: Column) -> Column:
 
 
 def rarity_table(df: DataFrame, text: str) -> bytes:
-    """The greatest class of each bucket's words, one byte each, both rows one after the other."""
+    """The greatest class of each bucket's words, one byte each, both rows one after the other.
+
+    Eight buckets come to the driver as one number.
+    """
     words = df.select(F.explode(F.split(F.lower(F.col(text)), _BLANKS)).alias("w")).filter("w <> ''")
     counts = words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("c"))
     classed = counts.select("h", F.least(F.lit(CLASSES - 1), F.floor(F.log2("c") * 2)).cast("int").alias("k"))
     spread = classed.filter("k > 0").select(F.explode(F.array(*_buckets(F.col("h")))).alias("b"), "k")
-    filled = spread.groupBy("b").agg(F.max("k").alias("k")).toArrow()
-    table = np.zeros(2 * BUCKETS, np.uint8)
-    table[filled["b"].to_numpy()] = filled["k"].to_numpy()
+    filled = spread.groupBy("b").agg(F.max("k").alias("k"))
+    byte = F.expr("shiftleft(cast(k as bigint), 8 * (b & 7))")
+    lanes = filled.groupBy(F.shiftright("b", 3).alias("lane")).agg(F.bit_or(byte).alias("bits")).toArrow()
+    table = np.zeros(2 * BUCKETS // 8, "<i8")
+    table[lanes["lane"].to_numpy()] = lanes["bits"].to_numpy()
     return table.tobytes()
 
 
@@ -254,7 +259,8 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def removed_lines(df: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
     """``(d, r, ln)``: the lines that have an earlier match, as a written table."""
     every = lines_of(df, doc_id, text, row)
-    lines = durable(line_sets(every, rarity_table(df, text)))
+    with brief_plans(df.sparkSession):  # the table of rarity classes is a literal there
+        lines = durable(line_sets(every, rarity_table(df, text)))
     # Lines with one and the same set: the earliest stands for all, and only such lines meet one another.
     same = ["h", "n", "s", "u"]
     heads = durable(

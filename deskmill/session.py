@@ -68,6 +68,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def brief_plans(spark: SparkSession, fields: int = 4) -> Iterator[None]:
+    """Inside the block, plans are described with at most ``fields`` columns or expressions per operator.
+
+    For steps with a large literal among the later ones: Spark writes literals out in full, and the driver keeps
+    the description of every plan that it ran.
+    """
+    brief = {"spark.sql.debug.maxToStringFields": str(fields), "spark.sql.ui.explainMode": "simple"}
+    before = {name: spark.conf.get(name) for name in brief}
+    for name, value in brief.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 _RUN: ContextVar[str | None] = ContextVar("run", default=None)
 
 

@@ -161,3 +161,16 @@ def test_rows_that_share_an_id(spark):
     assert got == sorted(want, key=repr)
     copies = linedup.dedup_lines(spark.createDataFrame([(None, line)] * 3, "doc_id long, text string"))
     assert sorted(r.n_removed_lines for r in copies.collect()) == [0, 1, 1]
+
+
+def test_the_rarity_table_is_in_no_description_of_a_plan(spark):
+    def described():
+        found = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return {found.apply(i).executionId(): len(found.apply(i).physicalPlanDescription()) for i in range(found.size())}
+
+    before, conf = described(), spark.conf.get("spark.sql.debug.maxToStringFields")
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "six five four three two one")], "doc_id long, text string")
+    assert sorted(r.n_removed_lines for r in linedup.dedup_lines(docs).collect()) == [0, 1]
+    new = [size for key, size in described().items() if key not in before]
+    assert len(new) > 10 and max(new) < 200_000
+    assert spark.conf.get("spark.sql.debug.maxToStringFields") == conf
