@@ -54,8 +54,10 @@ HEAD = 1 << 20
 # Contexts that hold this share of all training symbols spread over several tasks.
 HOT_SHARE = 4096
 SALTS = 64
-# Symbols that a task counts at a time, and bytes it hashes at a time.
+# Symbols that a task counts at a time, symbols it reads at a time where more would save nothing, and bytes it
+# hashes at a time.
 CHUNK = 1 << 21
+READ = 1 << 19
 PIECE = 1 << 20
 # Slots of a bitmap are the first 26 bits of a key: at most 2^20 lanes of 64 bits.
 _LANE_SHIFT, _SLOT_SHIFT, _LANES = 44, 38, 1 << 20
@@ -235,15 +237,15 @@ def _signed(keys: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(keys).view(np.int64))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[list[pa.RecordBatch], list[bytes]]]:
-    """Batches put together until they hold some ``6 CHUNK`` bytes, with their texts."""
+def _chunks(batches: Iterator[pa.RecordBatch], at: int, symbols: int) -> Iterator[tuple[list[pa.RecordBatch], list[bytes]]]:
+    """Batches put together until they hold some ``6 symbols`` bytes, with their texts."""
     held, texts, size = [], [], 0
     for batch in batches:
         held.append(batch)
         part = batch.column(at).cast(pa.binary()).to_pylist()
         texts += part
         size += sum(map(len, part))
-        if size > 6 * CHUNK:
+        if size > 6 * symbols:
             yield held, texts
             held, texts, size = [], [], 0
     if texts:
@@ -262,7 +264,7 @@ def _vocabulary(docs: DataFrame, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(seed)
-        for held, texts in _chunks(batches, 1):
+        for held, texts in _chunks(batches, 1, CHUNK):
             symbols, per_text, sizes, body = hasher.words(texts)
             if not len(symbols):
                 continue
@@ -309,10 +311,36 @@ def _extended(df: DataFrame, keys: dict[str, str], symbol: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _counted(context: np.ndarray, symbol: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
+    """One row per context and salt: the symbols after it, and how often each is. Contexts in ``large`` have salts."""
+    salt = np.zeros(len(context), np.int32)
+    if len(large):
+        salt = np.where(np.isin(context, large), symbol % np.uint64(SALTS), np.uint64(0)).astype(np.int32)
+    order = np.lexsort((symbol, salt, context))
+    context, symbol, salt = context[order], symbol[order], salt[order]
+    new_run = np.ones(len(order), bool)
+    new_run[1:] = (context[1:] != context[:-1]) | (salt[1:] != salt[:-1])
+    new = new_run.copy()
+    new[1:] |= symbol[1:] != symbol[:-1]
+    starts = np.flatnonzero(new)
+    n = np.diff(starts, append=len(order)).astype(np.int32)
+    runs = np.flatnonzero(new_run)
+    offsets = pa.array(np.append(np.searchsorted(starts, runs), len(starts)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [
+            _signed(context[runs]),
+            pa.array(salt[runs]),
+            pa.ListArray.from_arrays(offsets, _signed(symbol[starts])),
+            pa.ListArray.from_arrays(offsets, pa.array(n)),
+        ],
+        names=["context", "salt", "symbols", "counts"],
+    )
+
+
 def _entries(docs: DataFrame, seed: int, depth: int, contexts: DataFrame, symbols: Slots, total: int, least: int) -> DataFrame:
     """``context, symbol, n`` of the symbols seen at least ``least`` times after a context of ``depth`` words.
 
-    A task counts a chunk of its documents at a time and sends one row per context with all
+    A task counts ``CHUNK`` symbols that pass both bitmaps at a time and sends one row per context with all
     its symbols. A context with a large share of the corpus is dealt by symbol as well.
     """
     known = slots(contexts, "context")
@@ -326,7 +354,8 @@ def _entries(docs: DataFrame, seed: int, depth: int, contexts: DataFrame, symbol
         hasher = Hasher(seed)
         lanes, frequent, large = spread.value
         known, frequent = Slots(lanes), Slots(frequent)
-        for _, texts in _chunks(batches, 0):
+        contexts, following, held = [], [], 0
+        for _, texts in _chunks(batches, 0, min(READ, CHUNK)):
             found, per_text = hasher.symbols(texts)
             for key, inside in keys_before(found, per_text, depth):
                 pass
@@ -337,29 +366,14 @@ def _entries(docs: DataFrame, seed: int, depth: int, contexts: DataFrame, symbol
             at = np.flatnonzero(follows)
             at = at[frequent.has(found[at])]
             at = at[known.has(key[at - 1])]
-            if not len(at):
-                continue
-            context, symbol = key[at - 1], found[at]
-            salt = np.where(np.isin(context, large), symbol % np.uint64(SALTS), np.uint64(0)) if len(large) else np.zeros(len(at), np.uint64)
-            order = np.lexsort((symbol, salt, context))
-            context, symbol, salt = context[order], symbol[order], salt[order]
-            new_run = np.ones(len(at), bool)
-            new_run[1:] = (context[1:] != context[:-1]) | (salt[1:] != salt[:-1])
-            new = new_run.copy()
-            new[1:] |= symbol[1:] != symbol[:-1]
-            starts = np.flatnonzero(new)
-            n = np.diff(starts, append=len(at)).astype(np.int32)
-            runs = np.flatnonzero(new_run)
-            offsets = pa.array(np.append(np.searchsorted(starts, runs), len(starts)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    _signed(context[runs]),
-                    pa.array(salt[runs].astype(np.int32)),
-                    pa.ListArray.from_arrays(offsets, _signed(symbol[starts])),
-                    pa.ListArray.from_arrays(offsets, pa.array(n)),
-                ],
-                names=["context", "salt", "symbols", "counts"],
-            )
+            contexts.append(key[at - 1])
+            following.append(found[at])
+            held += len(at)
+            if held >= CHUNK:
+                yield _counted(np.concatenate(contexts), np.concatenate(following), large)
+                contexts, following, held = [], [], 0
+        if held:
+            yield _counted(np.concatenate(contexts), np.concatenate(following), large)
 
     dealt = _training(docs).mapInArrow(run, "context long, salt int, symbols array<long>, counts array<int>")
     pairs = dealt.repartition("context", "salt").select("context", "salt", F.explode(F.arrays_zip("symbols", "counts")).alias("e"))
@@ -506,7 +520,7 @@ def score(docs: DataFrame, tree: Tree, head: int = HEAD) -> DataFrame:
         (keys, bases, extras), single, more = spread.value
         lookup, single, more = Lookup(keys), Slots(single), Slots(more)
         next_row = TaskContext.get().partitionId() << 33
-        for held, texts in _chunks(batches, 2):
+        for held, texts in _chunks(batches, 2, min(READ, CHUNK)):
             found, per_text = hasher.symbols(texts)
             n = len(texts)
             text = np.repeat(np.arange(n, dtype=np.int32), per_text)

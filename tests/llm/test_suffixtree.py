@@ -168,3 +168,12 @@ def test_held_out_texts_gain(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = suffixtree.lm_scores(docs, growth=Growth(min_context=8, min_entry=2)).filter("held_out").collect()
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_symbols_are_read_in_smaller_pieces_than_they_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(suffixtree, "READ", 10)
+    monkeypatch.setattr(suffixtree, "CHUNK", 300)
+    monkeypatch.setattr(suffixtree, "HOT_SHARE", 50)
+    rows = rows_of(5) + [(900, "w0 w1 w2 " * 400), (901, None), (902, "w5 " + "y" * 300 + " w6 " * 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    same(found(suffixtree.lm_scores(df, growth=SMALL, head=40)), brute(rows, SMALL)[0])
